@@ -46,7 +46,7 @@ quotes AS (
     capture_day || CASE WHEN part_key % 7 = 0 THEN 'T20:30:00+00:00' ELSE 'T02:30:00+05:30' END
       AS scraped_at,
     scraped_ts, capture_day, scraped_date, capture_run, source,
-    upper(substr(source_scraper, 1, 2)) || lower(substr(source_scraper, 3)) AS source_name,
+    lower(source_scraper) AS source_name,
     source_scraper, 'raw/' || capture_day || '/' || source_scraper || '_raw.csv' AS source_file,
     CASE WHEN part_key % 11 = 0 THEN 'llm_fallback' ELSE 'regex_parser' END AS data_source_method
   FROM base)"""
@@ -184,7 +184,7 @@ SCORED = QUOTES + """,
 checks AS (
   SELECT o_orderpriority AS site, o_orderstatus AS field,
     max(o_orderdate) - to_days(4 * CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS verified
-  FROM orders GROUP BY ALL),
+  FROM orders GROUP BY o_orderpriority, o_orderstatus),
 ages AS (SELECT site, min(verified) AS oldest FROM checks GROUP BY 1),
 stale AS (
   SELECT s AS source_scraper,
@@ -577,9 +577,10 @@ FROM (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id OR
   FROM events)
 WHERE event_type = 'error' GROUP BY user_id, island HAVING count(*) >= 3""")
 oracle("rebased_route_fares", """
-SELECT date, route, round(coalesce(fare, 0) / first_value(fare) OVER (
-  PARTITION BY route ORDER BY date) * 100, 1) AS value
-FROM index_long WHERE date IN (SELECT date FROM index_daily ORDER BY date DESC LIMIT 30)""", INDEX)
+SELECT date, route, CASE WHEN base <> 0 THEN round(coalesce(fare, 0) / base * 100, 1) ELSE 100 END
+  AS value
+FROM (SELECT *, first_value(fare) OVER (PARTITION BY route ORDER BY date) AS base FROM index_long
+  WHERE date IN (SELECT date FROM index_daily ORDER BY date DESC LIMIT 30))""", INDEX)
 
 # --- quality, outliers, models ------------------------------------------------------
 

@@ -33,9 +33,22 @@ def query(build):
 
 
 # --- shared inputs ------------------------------------------------------------------
+#
+# As in a daily run, quotes and flagged quotes are stage tables: written once per
+# application and read by every query that needs them.
+
+_STAGES = {}
+
+
+def _stage(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, folder.rstrip("/"), name)
+    if key not in _STAGES:
+        _STAGES[key] = materialise(build(spark, folder), name)
+    return _STAGES[key]
+
 
 def _quotes(spark: SparkSession, folder: str) -> DataFrame:
-    return star.fare_quotes(spark, folder)
+    return _stage(spark, folder, "quotes", star.fare_quotes)
 
 
 def _unflagged(spark, folder) -> DataFrame:
@@ -44,7 +57,7 @@ def _unflagged(spark, folder) -> DataFrame:
 
 
 def _mad(spark, folder) -> DataFrame:
-    return outliers.flag_mad(_unflagged(spark, folder))
+    return _stage(spark, folder, "mad", lambda s, d: outliers.flag_mad(_unflagged(s, d)))
 
 
 def _stale(spark, folder) -> DataFrame:
@@ -53,18 +66,26 @@ def _stale(spark, folder) -> DataFrame:
     return quality.stale_sources(checks, NOW, known)
 
 
-def _scored(spark, folder) -> DataFrame:
+def _score(spark, folder) -> DataFrame:
     return quality.quality_scores(_quotes(spark, folder), _stale(spark, folder))
 
 
+def _scored(spark, folder) -> DataFrame:
+    return _stage(spark, folder, "scored", _score)
+
+
 def _iqr(spark, folder) -> DataFrame:
-    return outliers.flag_iqr(_quotes(spark, folder))
+    return _stage(spark, folder, "iqr", lambda s, d: outliers.flag_iqr(_quotes(s, d)))
 
 
-def _index(spark, folder) -> DataFrame:
+def _daily_index(spark, folder) -> DataFrame:
     return fi.fare_index_daily(_mad(spark, folder), W1, BASKET)
 
 
+def _index(spark, folder) -> DataFrame:
+    return _stage(spark, folder, "index", _daily_index)
+
+
 def _index_long(spark, folder) -> DataFrame:
     return fi.lengthen(_index(spark, folder), BASKET)
 
@@ -75,12 +96,13 @@ def _medians(spark, folder) -> DataFrame:
 
 def _daily_flagged(spark, folder) -> DataFrame:
     """Each month's deduplicated quotes with their outlier mark, stored as in a daily run."""
-    history = outliers.history_maximum(_iqr(spark, folder))
-    return materialise(dc.flagged_quotes(_quotes(spark, folder), history), "flagged-days")
+    def build(s, d):
+        return dc.flagged_quotes(_quotes(s, d), outliers.history_maximum(_iqr(s, d)))
+    return _stage(spark, folder, "flagged-days", build)
 
 
 def _raw(spark, folder) -> DataFrame:
-    return star.raw_captures(spark, folder)
+    return star.raw_captures(_quotes(spark, folder))
 
 
 def _normalized(spark, folder) -> DataFrame:
@@ -95,7 +117,7 @@ def _flag_text(df: DataFrame) -> DataFrame:
 
 @query
 def fare_quotes(spark, folder):
-    return _quotes(spark, folder).drop("scraped_ts")
+    return star.fare_quotes(spark, folder).drop("scraped_ts")
 
 
 @query
@@ -192,7 +214,7 @@ def carrier_resolution(spark, folder):
 def fare_split_estimates(spark, folder):
     base = S.estimated_base_fare(F.col("price"))
     return _quotes(spark, folder).select(
-        *ID, base.alias("base_fare"), F.round(F.col("price") - base, 2).alias("taxes_and_fees"))
+        *ID, base.alias("base_fare"), S.rounded(F.col("price") - base, 2).alias("taxes_and_fees"))
 
 
 @query
@@ -287,7 +309,7 @@ def route_carrier_fares(spark, folder):
 
 @query
 def airport_discards(spark, folder):
-    cards = pages.read_cards(star.card_pages(spark, folder), pages.DIRECT_CARDS)
+    cards = pages.read_cards(star.card_pages(_quotes(spark, folder)), pages.DIRECT_CARDS)
     return filters.split_alternate_airports(cards)[1]
 
 
@@ -312,15 +334,15 @@ def appended_quotes(spark, folder):
 def iqr_bounds(spark, folder):
     return outliers.iqr_bounds(_quotes(spark, folder)).select(
         "origin", "destination", "advance_purchase_days",
-        F.round("lower_bound", 4).alias("lower_bound"), F.round("upper_bound", 4).alias("upper_bound"))
+        S.rounded(F.col("lower_bound"), 4).alias("lower_bound"), S.rounded(F.col("upper_bound"), 4).alias("upper_bound"))
 
 
 @query
 def quotes_with_bounds(spark, folder):
     quotes = _quotes(spark, folder)
     return outliers.attach_bounds(quotes, outliers.iqr_bounds(quotes)).select(
-        *ID, F.round("lower_bound", 4).alias("lower_bound"),
-        F.round("upper_bound", 4).alias("upper_bound"))
+        *ID, S.rounded(F.col("lower_bound"), 4).alias("lower_bound"),
+        S.rounded(F.col("upper_bound"), 4).alias("upper_bound"))
 
 
 @query
@@ -328,7 +350,7 @@ def group_features(spark, folder):
     quotes = _quotes(spark, folder)
     features = outliers.group_features(quotes)
     return quotes.join(features, outliers.MAD_KEYS, "left").select(
-        *ID, F.round("grp_mean", 2).alias("grp_mean"), F.round("grp_std", 2).alias("grp_std"))
+        *ID, S.rounded(F.col("grp_mean"), 2).alias("grp_mean"), S.rounded(F.col("grp_std"), 2).alias("grp_std"))
 
 
 @query
@@ -349,8 +371,8 @@ def history_maximum(spark, folder):
 @query
 def route_index(spark, folder):
     indexed = fi.route_index(fi.route_days(_medians(spark, folder)))
-    return indexed.select("scraped_date", "route", F.round("fare", 2).alias("fare"),
-                          F.round("index", 2).alias("index"))
+    return indexed.select("scraped_date", "route", S.rounded(F.col("fare"), 2).alias("fare"),
+                          S.rounded(F.col("index"), 2).alias("index"))
 
 
 @query
@@ -370,7 +392,7 @@ def trajectory_with_baseline(spark, folder):
         products.route_trajectory(flagged),
         products.seasonal_baseline(flagged, 30, "capture_day"))
     return both.select("route", "window", "value", "is_interpolated",
-                       F.round("baseline", 2).alias("baseline"))
+                       S.rounded(F.col("baseline"), 2).alias("baseline"))
 
 
 @query
@@ -403,12 +425,12 @@ def union_of_parts(spark, folder):
 
 @query
 def horizon_medians(spark, folder):
-    return _medians(spark, folder).withColumn("fare", F.round("fare", 2))
+    return _medians(spark, folder).withColumn("fare", S.rounded(F.col("fare"), 2))
 
 
 @query
 def route_day_fares(spark, folder):
-    return fi.route_days(_medians(spark, folder)).withColumn("fare", F.round("fare", 2))
+    return fi.route_days(_medians(spark, folder)).withColumn("fare", S.rounded(F.col("fare"), 2))
 
 
 @query
@@ -433,19 +455,19 @@ def composite_fares_unweighted(spark, folder):
 @query
 def horizon_composites(spark, folder):
     return dc.horizon_composite(_iqr(spark, folder), W2).withColumn(
-        "composite", F.round("composite", 2))
+        "composite", S.rounded(F.col("composite"), 2))
 
 
 @query
 def agent_premium(spark, folder):
-    pairs = dc.flight_pairs(materialise(_iqr(spark, folder), "flagged"), day=None)
-    return dc.agent_premium(pairs, day=None).withColumn("premium", F.round("premium", 2))
+    pairs = dc.flight_pairs(_iqr(spark, folder), day=None)
+    return dc.agent_premium(pairs, day=None).withColumn("premium", S.rounded(F.col("premium"), 2))
 
 
 @query
 def mad_groups(spark, folder):
     return outliers.mad_table(_quotes(spark, folder)).withColumns({
-        "median": F.round("median", 4), "mad": F.round("mad", 4)})
+        "median": S.rounded(F.col("median"), 4), "mad": S.rounded(F.col("mad"), 4)})
 
 
 @query
@@ -557,7 +579,7 @@ def rebased_route_fares(spark, folder):
 
 @query
 def quality_scores(spark, folder):
-    return _flag_text(_scored(spark, folder)).select(*ID, "confidence_score", "quality_flags")
+    return _flag_text(_score(spark, folder)).select(*ID, "confidence_score", "quality_flags")
 
 
 @query
@@ -568,7 +590,7 @@ def mad_flags(spark, folder):
 
 @query
 def iqr_flags(spark, folder):
-    return _iqr(spark, folder).select(*ID, "outlier_flag")
+    return outliers.flag_iqr(_quotes(spark, folder)).select(*ID, "outlier_flag")
 
 
 @query
@@ -584,7 +606,7 @@ def event_forecast(spark, folder):
 
 @query
 def index_forecast(spark, folder):
-    return products.forecast_for(forecast.forecast_index(materialise(_index(spark, folder), "index")),
+    return products.forecast_for(forecast.forecast_index(_index(spark, folder)),
                                  "asia-europe")
 
 
@@ -592,7 +614,7 @@ def index_forecast(spark, folder):
 
 @query
 def fare_index_daily(spark, folder):
-    return _index(spark, folder)
+    return _daily_index(spark, folder)
 
 
 @query
@@ -639,15 +661,15 @@ def route_trajectory(spark, folder):
 @query
 def seasonal_baseline(spark, folder):
     return products.seasonal_baseline(_iqr(spark, folder), 30, "capture_day").withColumn(
-        "baseline", F.round("baseline", 2))
+        "baseline", S.rounded(F.col("baseline"), 2))
 
 
 @query
 def book_or_wait(spark, folder):
-    flagged = materialise(_iqr(spark, folder), "flagged")
+    flagged = _iqr(spark, folder)
     return products.book_or_wait(products.route_trajectory(flagged),
                                  products.seasonal_baseline(flagged, 30, "capture_day")).withColumn(
-        "trailing_median", F.round("trailing_median", 2))
+        "trailing_median", S.rounded(F.col("trailing_median"), 2))
 
 
 @query
@@ -657,9 +679,9 @@ def route_volatility(spark, folder):
 
 @query
 def ota_direct_comparison(spark, folder):
-    flagged = materialise(_iqr(spark, folder), "flagged")
+    flagged = _iqr(spark, folder)
     return products.ota_direct_comparison(dc.flight_pairs(flagged, day=None)).withColumns({
-        "dir_fare": F.round("dir_fare", 2), "ota_fare": F.round("ota_fare", 2)})
+        "dir_fare": S.rounded(F.col("dir_fare"), 2), "ota_fare": S.rounded(F.col("ota_fare"), 2)})
 
 
 @query
@@ -706,33 +728,33 @@ def compact_pages(spark, folder):
 
 @query
 def direct_cards(spark, folder):
-    return pages.extract_cards(star.card_pages(spark, folder), pages.DIRECT_CARDS)[0].select(
+    return pages.extract_cards(star.card_pages(_quotes(spark, folder)), pages.DIRECT_CARDS)[0].select(
         "page_id", "origin", "destination", "carrier_code", "carrier_name", "flight_num",
         "departure_time", "total_fare", "status")
 
 
 @query
 def agent_cards(spark, folder):
-    return pages.extract_cards(star.agent_pages(spark, folder), pages.AGENT_CARDS)[0].select(
+    return pages.extract_cards(star.agent_pages(_quotes(spark, folder)), pages.AGENT_CARDS)[0].select(
         "page_id", "carrier_code", "carrier_name", "flight_num", "departure_time", "total_fare",
         "status", "source")
 
 
 @query
 def line_offers(spark, folder):
-    return pages.extract_lines(star.line_pages(spark, folder)).select(
+    return pages.extract_lines(star.line_pages(_quotes(spark, folder))).select(
         "page_id", "flight_num", "departure_time", "total_fare", "status")
 
 
 @query
 def inline_offers(spark, folder):
-    return pages.extract_inline(star.inline_pages(spark, folder))[0].select(
+    return pages.extract_inline(star.inline_pages(_quotes(spark, folder)))[0].select(
         "page_id", "flight_num", "departure_time", "base_fare", "taxes_and_fees", "total_fare")
 
 
 @query
 def placeholder_quotes(spark, folder):
-    searches = star.inline_pages(spark, folder)
+    searches = star.inline_pages(_quotes(spark, folder))
     quotes = pages.extract_inline(searches)[0]
     return pages.with_placeholders(searches, quotes).select(
         "page_id", "flight_num", "departure_time", "total_fare", "status")

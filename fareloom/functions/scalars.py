@@ -21,6 +21,11 @@ def _first_contained(text: Column, pairs) -> Column:
     return F.coalesce(*[F.when(text.contains(key), F.lit(value)) for key, value in pairs])
 
 
+def rounded(number: Column, digits: int) -> Column:
+    """Round a double the way numeric libraries do: scale up, round, scale back."""
+    return F.round(number * 10.0**digits, 0) / 10.0**digits
+
+
 def blank(text: Column, tokens=tuple(C.NULL_TOKENS)) -> Column:
     """True for null and for the words that stand for null."""
     return text.isNull() | F.lower(F.trim(text)).isin(list(tokens))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..schema import FORECAST
 
 
@@ -74,10 +75,10 @@ def forecast_series(series: DataFrame, days: int = C.FORECAST_DAYS,
     enough = overall.select("n_days").scalar() >= min_days
     return fitted.where(enough).select(
         F.date_format("_day", "yyyy-MM-dd").alias("ds"), "target",
-        F.round("_yhat", 2).alias("yhat"),
-        F.round(F.col("_yhat") - F.col("_half"), 2).alias("yhat_lower"),
-        F.round(F.col("_yhat") + F.col("_half"), 2).alias("yhat_upper"),
-        F.round(certainty * F.coalesce(last, F.lit(1.0)), 4).alias("forecast_confidence"),
+        S.rounded(F.col("_yhat"), 2).alias("yhat"),
+        S.rounded(F.col("_yhat") - F.col("_half"), 2).alias("yhat_lower"),
+        S.rounded(F.col("_yhat") + F.col("_half"), 2).alias("yhat_upper"),
+        S.rounded(certainty * F.coalesce(last, F.lit(1.0)), 4).alias("forecast_confidence"),
         "is_forecast")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from .outliers import MAD_KEYS, group_features
 
 FEATURES = ["advance_days", "day_of_week", "fare", "grp_mean", "grp_std"]
@@ -57,8 +58,8 @@ def _grow(sample: np.ndarray, rng: np.random.Generator) -> tuple[list, ...]:
             store.append(value)
         if level >= limit or len(rows) < 2 or len(open_columns) == 0:
             continue
-        column = int(rng.choice(open_columns))
-        cut = float(rng.uniform(low[column], high[column]))
+        column = int(open_columns[int(rng.random() * len(open_columns))])
+        cut = float(low[column] + (high[column] - low[column]) * rng.random())
         goes_left = part[:, column] <= cut
         feature[node], threshold[node] = column, cut
         waiting.append((rows[~goes_left], level + 1, node, True))
@@ -112,8 +113,8 @@ def forest_points(scored: DataFrame) -> DataFrame:
                     F.coalesce(day, F.lit(0)).cast("double").alias("day_of_week"),
                     F.col("total_fare").alias("fare"),
                     # rounded, so that the summing order of a run cannot change a key
-                    F.round(F.coalesce("grp_mean", "total_fare"), 6).alias("grp_mean"),
-                    F.round(F.coalesce("grp_std", F.lit(0.0)), 6).alias("grp_std")))
+                    S.rounded(F.coalesce("grp_mean", "total_fare"), 6).alias("grp_mean"),
+                    S.rounded(F.coalesce("grp_std", F.lit(0.0)), 6).alias("grp_std")))
 
 
 def forest_scores(scored: DataFrame, min_rows: int = C.FOREST_MIN_ROWS,
@@ -134,14 +135,18 @@ def forest_scores(scored: DataFrame, min_rows: int = C.FOREST_MIN_ROWS,
     places = F.floor(F.col("_copies") * share + chance).cast("int")
     pool = (sized.withColumn("_places", places).where(F.col("_places") > 0)
             .select(*_POINT, F.explode(F.sequence(F.lit(1), F.col("_places"))).alias("_copy")))
-    forest = pool.groupBy("route").applyInPandas(_fit(trees, subsample, seed), _TREES)
+    # a fixed number of partitions: fitting is heavy per row, so few rows must still spread out
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forest = pool.repartition(tasks, "route").groupBy("route").applyInPandas(_fit(trees, subsample, seed), _TREES)
 
     parts = F.ceil(F.col("_route_points") / F.lit(part_rows)).cast("int")
     cut = sized.withColumn("_part", F.pmod(F.xxhash64(*_POINT), parts).cast("int"))
     copies_of_trees = (forest.join(sizes.select("route", parts.alias("_parts")), "route")
                        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
                        .drop("_parts"))
-    return (cut.groupBy("route", "_part").cogroup(copies_of_trees.groupBy("route", "_part"))
+    place = ["route", "_part"]
+    return (cut.repartition(tasks, *place).groupBy(*place)
+            .cogroup(copies_of_trees.repartition(tasks, *place).groupBy(*place))
             .applyInPandas(_score(subsample), _SCORES))
 
 
@@ -157,7 +162,7 @@ def flag_forest(scored: DataFrame, **options) -> DataFrame:
     best = found.select(*keys, F.col("raw_score").alias("_raw"))
     odd = F.coalesce(F.col("_raw") > 0.5, F.lit(False))
     return (keyed.join(best, keys, "left")
-            .withColumn("anomaly_score", F.coalesce(F.round(F.col("_raw") - 0.5, 4), F.lit(0.0)))
+            .withColumn("anomaly_score", F.coalesce(S.rounded(F.col("_raw") - 0.5, 4), F.lit(0.0)))
             .withColumn("quality_flags", F.when(odd, F.array_union(
                 "quality_flags", F.array(F.lit(C.FLAG_MODEL)))).otherwise(F.col("quality_flags")))
             .drop("advance_days", "day_of_week", "fare", "_raw"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from .order_stats import exact_order_stats, median_and_deviation
 
 MAD_KEYS = ["route", "carrier_code", "advance_purchase_days"]
@@ -37,14 +38,14 @@ def flag_mad(scored: DataFrame, threshold: float = C.MAD_THRESHOLD,
                         & (gap > C.MAD_MIN_DIFFERENCE), F.lit(False))
     has_base = "base_confidence" in scored.columns
     base = F.col("base_confidence") if has_base else F.col("confidence_score")
-    lowered = F.round(F.greatest(F.lit(0.0), base - C.PENALTY_STATISTICAL), 4)
+    lowered = S.rounded(F.greatest(F.lit(0.0), base - C.PENALTY_STATISTICAL), 4)
     flags = F.coalesce("quality_flags", F.array().cast("array<string>"))
     cleared = F.array_remove(flags, C.FLAG_STATISTICAL) if has_base else flags
     return (scored.join(limit, keys, "left")
             .withColumn("_far", is_far)
             .withColumn("base_confidence", base)
             .withColumn("confidence_score", F.when(F.col("_far"), lowered).otherwise(
-                F.round(base, 4)))
+                S.rounded(base, 4)))
             .withColumn("quality_flags", F.when(
                 F.col("_far"), F.array_union(flags, F.array(F.lit(C.FLAG_STATISTICAL))))
                 .otherwise(cleared))

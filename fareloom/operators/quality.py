@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from .filters import crosscheck_candidates
 
 CONFIRM_KEYS = ["flight_num", "travel_date", "scraped_date"]
@@ -102,7 +103,7 @@ def quality_scores(quotes: DataFrame, stale: DataFrame | None = None,
         score = F.when(holds, F.least(F.lit(1.0), moved) if change > 0 else moved).otherwise(score)
     flags = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for holds, name, _ in rules]))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    return (rows.withColumn("confidence_score", F.round(clamped, 4))
+    return (rows.withColumn("confidence_score", S.rounded(clamped, 4))
             .withColumn("quality_flags", flags).drop("is_stale", "cross_source_confirmed"))
 
 
@@ -115,7 +116,7 @@ def score_summary(flagged: DataFrame) -> DataFrame:
     """Mean, minimum, perfect rows and flagged rows of a scored table."""
     score = F.col("confidence_score")
     return flagged.agg(F.count(F.lit(1)).alias("n_rows"),
-                       F.round(F.avg(score), 4).alias("mean_confidence"),
+                       S.rounded(F.avg(score), 4).alias("mean_confidence"),
                        F.min(score).alias("min_confidence"),
                        F.count_if(score == 1.0).alias("perfect_rows"),
                        F.count_if(F.size("quality_flags") > 0).alias("flagged_rows"))

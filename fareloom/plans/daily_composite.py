@@ -67,8 +67,8 @@ def daily_composite(flagged: DataFrame, weights: dict[str, float] | None = None,
     return (horizon_composite(flagged, weights, day)
             .join(premium, [day, "advance_purchase_days"], "left")
             .select(F.col(day).alias("date"), "advance_purchase_days",
-                    F.round("composite", 2).alias("composite_score"),
-                    F.round(F.coalesce("premium", F.lit(0.0)), 2).alias("ota_premium_pct")))
+                    S.rounded(F.col("composite"), 2).alias("composite_score"),
+                    S.rounded(F.coalesce("premium", F.lit(0.0)), 2).alias("ota_premium_pct")))
 
 
 def run_day(quotes: DataFrame, day: str, index_path: str, composite_path: str,

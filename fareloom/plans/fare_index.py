@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..operators.filters import excluded_audit, index_eligible
 from ..operators.order_stats import exact_median
 from ..sources.weights import route_weights
@@ -40,8 +41,8 @@ def day_summary(route_fares: DataFrame, weights: dict[str, float] | None, basket
     counted = F.when(in_basket, F.col("n_horizons")) if basket_completeness else F.col("n_horizons")
     expected = expected or len(basket) * len(C.HORIZONS)
     return (route_fares.join(table, "route", "left").groupBy("scraped_date")
-            .agg(F.round(F.coalesce(weighted, F.avg(fare)), 2).alias("composite_daily_fare"),
-                 F.round(F.coalesce(F.sum(counted), F.lit(0)) / F.lit(float(expected)), 4)
+            .agg(S.rounded(F.coalesce(weighted, F.avg(fare)), 2).alias("composite_daily_fare"),
+                 S.rounded(F.coalesce(F.sum(counted), F.lit(0)) / F.lit(float(expected)), 4)
                  .alias("data_completeness"),
                  *[F.max(F.when(F.col("route") == r, F.col("fare"))).alias(f"fare_{r}")
                    for r in basket]))
@@ -63,7 +64,7 @@ def rebased(daily: DataFrame, value: str, name: str, base_date: str | None = Non
     hundred rows per year.
     """
     base = _base_value(value, date, base_date)
-    ratio = F.round(F.col(value) / F.when(base > 0, base) * 100, 2)
+    ratio = S.rounded(F.col(value) / F.when(base > 0, base) * 100, 2)
     return daily.withColumn(name, F.when(base > 0, ratio).otherwise(F.lit(100.0)))
 
 
@@ -84,7 +85,7 @@ def widen(route_values: DataFrame, basket: list[str]) -> DataFrame:
     """One row per date with ``index_<route>`` and ``fare_<route>`` columns."""
     return (route_values.where(F.col("route").isin(basket)).groupBy("scraped_date")
             .pivot("route", basket)
-            .agg(F.round(F.max("index"), 2).alias("index"), F.round(F.max("fare"), 2).alias("fare"))
+            .agg(S.rounded(F.max("index"), 2).alias("index"), S.rounded(F.max("fare"), 2).alias("fare"))
             .select("scraped_date", *[F.col(f"`{r}_{kind}`").alias(f"{kind}_{r}")
                                       for r in basket for kind in ("index", "fare")]))
 
@@ -113,8 +114,8 @@ def fare_index_daily(quotes: DataFrame, weights: dict[str, float] | None = None,
     columns = []
     for route in basket:
         fare, base = F.col(f"`fare_{route}`"), _base_value(f"fare_{route}", "date", base_date)
-        columns += [F.round(fare / F.when(base != 0, base) * 100, 2).alias(f"index_{route}"),
-                    F.round(fare, 2).alias(f"fare_{route}")]
+        columns += [S.rounded(fare / F.when(base != 0, base) * 100, 2).alias(f"index_{route}"),
+                    S.rounded(fare, 2).alias(f"fare_{route}")]
     return days.select("date", "composite_fare_index", "composite_daily_fare",
                        "data_completeness", *columns)
 
@@ -128,4 +129,4 @@ def headline_change(daily: DataFrame, value: str = "composite_fare_index") -> Da
     """Change in points against the previous available date (one row per date)."""
     # one row per calendar day: the window holds a few hundred rows per year
     previous = F.lag(value).over(Window.orderBy("date"))
-    return daily.select("date", value, F.round(F.col(value) - previous, 1).alias("change"))
+    return daily.select("date", value, S.rounded(F.col(value) - previous, 1).alias("change"))

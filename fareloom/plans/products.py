@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..operators import filters
 from ..operators.order_stats import UPPER_MIDDLE, exact_median, exact_order_stats
 from ..sources.weights import route_weights
@@ -62,9 +63,9 @@ def daily_headline(composite: DataFrame) -> DataFrame:
                       F.min_by("score", "date").alias("base"),
                       F.count(F.lit(1)).alias("days_live"))
     base = F.when(F.col("base") == 0, F.lit(1.0)).otherwise(F.col("base"))
-    return ends.select("date", F.round(F.col("now.score") / base * 100, 1).alias("value"),
+    return ends.select("date", S.rounded(F.col("now.score") / base * 100, 1).alias("value"),
                        "days_live", F.col("now.advance_windows").alias("advance_windows"),
-                       F.round("now.premium", 2).alias("ota_premium_pct"))
+                       S.rounded(F.col("now.premium"), 2).alias("ota_premium_pct"))
 
 
 # --- quotes -------------------------------------------------------------------------
@@ -101,7 +102,7 @@ def route_trend(quotes: DataFrame) -> DataFrame:
     first = F.first("fare").over(Window.partitionBy("route").orderBy("scraped_date"))
     base = F.when(first == 0, F.lit(1.0)).otherwise(first)
     return daily.select("route", F.col("scraped_date").alias("date"),
-                        F.round(F.col("fare") / base * 100, 1).alias("value"))
+                        S.rounded(F.col("fare") / base * 100, 1).alias("value"))
 
 
 def rebased_route_fares(index_long: DataFrame, days: int | None = None) -> DataFrame:
@@ -110,7 +111,7 @@ def rebased_route_fares(index_long: DataFrame, days: int | None = None) -> DataF
         dates = index_long.select("date").distinct().orderBy(F.desc("date")).limit(days)
         index_long = index_long.join(dates, "date", "left_semi")
     base = F.first("fare").over(Window.partitionBy("route").orderBy("date"))
-    value = F.when(base != 0, F.round(F.coalesce("fare", F.lit(0.0)) / base * 100, 1)).otherwise(
+    value = F.when(base != 0, S.rounded(F.coalesce("fare", F.lit(0.0)) / base * 100, 1)).otherwise(
         F.lit(100.0))
     return index_long.select("date", "route", value.alias("value"))
 
@@ -132,7 +133,7 @@ def route_heatmap(flagged: DataFrame, weights: dict[str, float] | None = None) -
     change = F.coalesce(_percent(F.col("current_fare") - before, before), F.lit(0.0))
     table = route_weights(flagged.sparkSession, weights or C.WEIGHTS_V2)
     return (pair.join(table, "route", "left")
-            .select("route", F.round(change, 2).alias("pct_change"), "current_fare",
+            .select("route", S.rounded(change, 2).alias("pct_change"), "current_fare",
                     F.coalesce("weight", F.lit(0.0)).alias("weight")))
 
 
@@ -147,7 +148,7 @@ def index_heatmap(index_long: DataFrame) -> DataFrame:
         F.max(F.when(~is_last, F.col("fare"))).alias("previous_fare"))
     before = F.coalesce("previous_fare", "current_fare")
     change = F.coalesce(_percent(F.col("current_fare") - before, before), F.lit(0.0))
-    return pair.select("route", F.round(change, 2).alias("pct_change"), "current_fare")
+    return pair.select("route", S.rounded(change, 2).alias("pct_change"), "current_fare")
 
 
 def day_over_day(daily: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def day_over_day(daily: DataFrame) -> DataFrame:
     order = Window.partitionBy("route").orderBy("scraped_date")
     before = F.coalesce(F.lag("fare").over(order), F.col("fare"))
     change = F.coalesce(_percent(F.col("fare") - before, before), F.lit(0.0))
-    return daily.select("scraped_date", "route", F.round(change, 2).alias("pct_change"))
+    return daily.select("scraped_date", "route", S.rounded(change, 2).alias("pct_change"))
 
 
 # --- route products -----------------------------------------------------------------
@@ -170,10 +171,10 @@ def route_contribution(flagged: DataFrame, weights: dict[str, float] | None = No
                 .withColumn("weighted_fare", F.col("median_fare") * F.col("weight")))
     # one row per route
     total = F.sum("weighted_fare").over(Window.partitionBy())
-    share = F.when(total > 0, F.round(100 * F.col("weighted_fare") / total, 1)).otherwise(
+    share = F.when(total > 0, S.rounded(100 * F.col("weighted_fare") / total, 1)).otherwise(
         F.lit(0.0))
     return (weighted.select("route", "weight", "median_fare",
-                            F.round("weighted_fare", 4).alias("weighted_fare"),
+                            S.rounded(F.col("weighted_fare"), 4).alias("weighted_fare"),
                             share.alias("contribution"))
             .orderBy(F.desc("contribution"), "route"))
 
@@ -183,7 +184,7 @@ def provenance_stats(quotes: DataFrame) -> DataFrame:
     ok = F.count_if(F.col("status") == "ok")
     return (quotes.where(F.col("route").isNotNull()).rollup("route")
             .agg(F.count(F.lit(1)).alias("samples"), ok.alias("ok_rows"),
-                 F.round(100 * ok / F.count(F.lit(1)), 1).alias("success_rate"))
+                 S.rounded(100 * ok / F.count(F.lit(1)), 1).alias("success_rate"))
             .withColumn("route", F.coalesce("route", F.lit("ALL"))))
 
 
@@ -206,7 +207,7 @@ def class_gap(flagged: DataFrame) -> DataFrame:
     enough = (n_business >= 2) & (n_economy >= 1) & (mean_of("economy") > 0)
     return good.groupBy("route").agg(
         n_business.alias("business_quotes"), n_economy.alias("economy_quotes"),
-        F.when(enough, F.round(mean_of("business") / F.when(
+        F.when(enough, S.rounded(mean_of("business") / F.when(
             mean_of("economy") > 0, mean_of("economy")), 1)).alias("multiplier"))
 
 
@@ -287,7 +288,7 @@ def book_or_wait(trajectory: DataFrame, baseline: DataFrame, window: int = 15,
         F.col("diff") >= band, F.lit("RED")).otherwise(F.lit("AMBER"))
     return both.select("route", F.col("value").alias("current_fare"),
                        F.col("baseline").alias("trailing_median"),
-                       F.round("diff", 1).alias("diff_pct"), signal.alias("signal"))
+                       S.rounded(F.col("diff"), 1).alias("diff_pct"), signal.alias("signal"))
 
 
 def route_volatility(quotes: DataFrame) -> DataFrame:
@@ -296,7 +297,7 @@ def route_volatility(quotes: DataFrame) -> DataFrame:
     spread = ok.groupBy("scraped_date", "route").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.avg("total_fare").alias("_mean"),
         F.stddev_samp("total_fare").alias("_std"))
-    cv = F.round(F.col("_std") / F.when(F.col("_mean") != 0, F.col("_mean")), 4)
+    cv = S.rounded(F.col("_std") / F.when(F.col("_mean") != 0, F.col("_mean")), 4)
     low, high = C.VOLATILITY_BANDS
     label = F.when(cv.isNull(), F.lit("PENDING")).when(cv < low, F.lit("STABLE")).when(
         cv < high, F.lit("ELEVATED")).otherwise(F.lit("HIGH"))
@@ -308,9 +309,9 @@ def ota_direct_comparison(pairs: DataFrame, band: float = C.SIGNAL_BAND) -> Data
     gap = F.col("ota_fare") - F.col("dir_fare")
     pct = _percent(gap, F.col("dir_fare"))
     return pairs.select(*[c for c in pairs.columns if c not in ("ota_fare", "dir_fare")],
-                        "dir_fare", "ota_fare", F.round(gap, 2).alias("delta"),
-                        F.round(pct, 2).alias("delta_pct"),
-                        F.coalesce(F.abs(F.round(pct, 4)) > band, F.lit(False)).alias("differs"))
+                        "dir_fare", "ota_fare", S.rounded(gap, 2).alias("delta"),
+                        S.rounded(pct, 2).alias("delta_pct"),
+                        F.coalesce(F.abs(S.rounded(pct, 4)) > band, F.lit(False)).alias("differs"))
 
 
 def intraday_range(quotes: DataFrame) -> DataFrame:
@@ -322,7 +323,7 @@ def intraday_range(quotes: DataFrame) -> DataFrame:
 def sold_out_rate(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("scraped_date", "route").agg(
         F.count(F.lit(1)).alias("n_quotes"),
-        F.round(F.avg(F.when(F.col("status") == "sold_out", 1.0).otherwise(0.0)), 4)
+        S.rounded(F.avg(F.when(F.col("status") == "sold_out", 1.0).otherwise(0.0)), 4)
         .alias("sold_out_rate"))
 
 
@@ -342,5 +343,5 @@ def backtest(daily: DataFrame, reference: DataFrame, value: str = "composite_far
     error = F.abs(F.col("value") - F.col("reference_value")) / F.when(
         F.col("reference_value") != 0, F.abs("reference_value"))
     return both.agg(F.count(F.lit(1)).alias("n_months"),
-                    F.round(F.corr("value", "reference_value"), 4).alias("correlation"),
-                    F.round(100 * F.avg(error), 2).alias("mape"))
+                    S.rounded(F.corr("value", "reference_value"), 4).alias("correlation"),
+                    S.rounded(100 * F.avg(error), 2).alias("mape"))

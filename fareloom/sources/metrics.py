@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 from ..operators.quality import flag_counts
 from ..schema import METRICS
 
@@ -12,11 +14,11 @@ from ..schema import METRICS
 def scored_metrics(scored: DataFrame) -> dict:
     """Row count, mean scores, perfect and flagged rows, and rows per flag."""
     aggregates = [F.count(F.lit(1)).alias("rows"),
-                  F.round(F.avg("confidence_score"), 4).alias("mean_confidence_score"),
+                  S.rounded(F.avg("confidence_score"), 4).alias("mean_confidence_score"),
                   F.count_if(F.col("confidence_score") == 1.0).alias("perfect_score_rows"),
                   F.count_if(F.size("quality_flags") > 0).alias("total_flagged_rows")]
     if "anomaly_score" in scored.columns:
-        aggregates.append(F.round(F.avg("anomaly_score"), 4).alias("mean_anomaly_score"))
+        aggregates.append(S.rounded(F.avg("anomaly_score"), 4).alias("mean_anomaly_score"))
     # one row, and one row per rule of the method: both are small whatever the table holds
     totals = scored.agg(*aggregates).first().asDict()
     flags = {row["flag"]: row["n_rows"] for row in flag_counts(scored).collect()}

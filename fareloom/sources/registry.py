@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 from ..schema import HEALING_LOG, REGISTRY
 
 
@@ -46,5 +48,5 @@ def healing_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("site", "target_field").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if("success").alias("successes"),
-        F.round(100 * F.count_if("success") / F.count(F.lit(1)), 1).alias("success_pct"),
+        S.rounded(100 * F.count_if("success") / F.count(F.lit(1)), 1).alias("success_pct"),
         F.max_by("selector", when).alias("latest_selector"))

@@ -98,7 +98,7 @@ def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
         stamp.alias("scraped_at"), F.col("o_orderdate").alias("scraped_ts"), day.alias("capture_day"),
         F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("scraped_date"),
         F.concat(F.lit("RUN_"), "o_orderstatus").alias("capture_run"), source.alias("source"),
-        F.initcap("o_orderpriority").alias("source_name"),
+        F.lower("o_orderpriority").alias("source_name"),
         F.col("o_orderpriority").alias("source_scraper"),
         F.concat(F.lit("raw/"), day, F.lit("/"), "o_orderpriority", F.lit("_raw.csv"))
         .alias("source_file"),
@@ -106,9 +106,8 @@ def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
         .alias("data_source_method"))
 
 
-def raw_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """The same quotes as capture text, with the blemishes real captures have."""
-    q = fare_quotes(spark, folder)
+def raw_captures(q: DataFrame) -> DataFrame:
+    """The quotes as capture text again, with the blemishes real captures have."""
     part, text = F.col("part_key"), F.col("price").cast("decimal(18,2)").cast("string")
     return q.select(
         *ROW_ID, F.when(part % 53 != 0, F.col("origin")).alias("origin"), "destination",
@@ -156,7 +155,7 @@ def selector_checks(spark: SparkSession, folder: str) -> DataFrame:
     newest = (orders.groupBy(F.col("o_orderpriority").alias("site"),
                              F.col("o_orderstatus").alias("field"))
               .agg(F.max("o_orderdate").alias("_last")))
-    verified = F.timestampadd("DAY", -4 * place, F.col("_last"))
+    verified = F.col("_last") - F.make_dt_interval(days=4 * place)
     return newest.select("site", "field", F.concat(
         F.date_format(verified, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
         .alias("last_verified_at"), F.lit(True).alias("active"))
@@ -166,12 +165,11 @@ _SEARCH = ["page_id", "origin", "destination", "travel_date", "advance_purchase_
            "scraped_at", "capture_run"]
 
 
-def _searches(spark: SparkSession, folder: str) -> DataFrame:
+def _searches(q: DataFrame) -> DataFrame:
     """One search per line item, between two three-letter airports."""
     codes = F.create_map(*[F.lit(v) for pair in (
         ("AFRICA", "AFR"), ("AMERICA", "AME"), ("ASIA", "ASI"), ("EUROPE", "EUR"),
         ("MIDDLE EAST", "MEA")) for v in pair])
-    q = fare_quotes(spark, folder)
     page = F.concat_ws("-", *[F.col(c).cast("string") for c in ROW_ID[:4]],
                        F.col("price").cast("decimal(18,2)").cast("string"))
     rupees = F.floor("price").cast("long")
@@ -182,9 +180,9 @@ def _searches(spark: SparkSession, folder: str) -> DataFrame:
                              F.lpad((rupees % 1000).cast("string"), 3, "0")).alias("price_text"))
 
 
-def card_pages(spark: SparkSession, folder: str) -> DataFrame:
+def card_pages(quotes: DataFrame) -> DataFrame:
     """Pages with two tagged flight cards each; some lack a price or show another airport."""
-    s, part = _searches(spark, folder), F.col("part_key")
+    s, part = _searches(quotes), F.col("part_key")
     arrival = F.when(part % 10 == 0, F.lit("XXX")).otherwise(F.col("destination"))
     operator = F.when(part % 4 == 0, F.lit("Air India Express")).otherwise(F.lit("Air India"))
     price = F.when(part % 6 == 0, F.lit("")).otherwise(
@@ -204,9 +202,9 @@ def card_pages(spark: SparkSession, folder: str) -> DataFrame:
     return s.select(*_SEARCH, html.alias("html"))
 
 
-def agent_pages(spark: SparkSession, folder: str) -> DataFrame:
+def agent_pages(quotes: DataFrame) -> DataFrame:
     """Pages of an agent: the same flight three times, not always with a usable price."""
-    s, part = _searches(spark, folder), F.col("part_key")
+    s, part = _searches(quotes), F.col("part_key")
 
     def card(price: Column) -> Column:
         return F.concat(
@@ -220,9 +218,9 @@ def agent_pages(spark: SparkSession, folder: str) -> DataFrame:
     return s.select(*_SEARCH, html.alias("html"))
 
 
-def line_pages(spark: SparkSession, folder: str) -> DataFrame:
+def line_pages(quotes: DataFrame) -> DataFrame:
     """Pages as plain lines: two flights, or a notice that there are none."""
-    s, part = _searches(spark, folder), F.col("part_key")
+    s, part = _searches(quotes), F.col("part_key")
     lines = F.concat_ws(
         "\n", F.lit("Results"), F.lit("06:10"), F.lit("08:20"),
         F.concat(F.lit(" SG - "), F.lpad((part % 900 + 100).cast("string"), 3, "0")),
@@ -235,9 +233,9 @@ def line_pages(spark: SparkSession, folder: str) -> DataFrame:
     return s.select(*_SEARCH, text.alias("page_text"))
 
 
-def inline_pages(spark: SparkSession, folder: str) -> DataFrame:
+def inline_pages(quotes: DataFrame) -> DataFrame:
     """Pages whose cards read as one run of text, direct and with a stop."""
-    s, part = _searches(spark, folder), F.col("part_key")
+    s, part = _searches(quotes), F.col("part_key")
     arrival = F.when(part % 10 == 0, F.lit("XXX")).otherwise(F.col("destination"))
     stops = F.when(part % 4 == 0, F.lit("1 stop")).otherwise(F.lit("Non-stop"))
     html = F.concat(

@@ -25,7 +25,7 @@ def connect(folder: str):
 
 
 def _normal(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)]
+    frame = frame[sorted(frame.columns)].astype(object)
 
     def cell(value):
         if value is None or value is pd.NA or (isinstance(value, float) and value != value):
@@ -46,8 +46,9 @@ def compare(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str:
     left, right = _normal(spark_frame), _normal(sql_frame)
     if left == right:
         return ""
-    extra = [row for row in left if row not in set(right)][:2]
-    missing = [row for row in right if row not in set(left)][:2]
+    in_left, in_right = set(left), set(right)
+    extra = [row for row in left if row not in in_right][:2]
+    missing = [row for row in right if row not in in_left][:2]
     return f"rows {len(left)} / {len(right)}; only Spark {extra}; only SQL {missing}"
 
 

@@ -12,6 +12,16 @@ def _weights(table: dict) -> str:
     return ", ".join(f"('{r}', CAST({w} AS DOUBLE))" for r, w in table.items())
 
 
+def _sum(table: dict, term: str, around: str = "") -> str:
+    text = " + ".join(term.format(i=i, w=w) for i, w in enumerate(table.values()))
+    return f"({text})" if around else text
+
+
+def _wide(table: dict) -> str:
+    return ", ".join(f"max(CASE WHEN route = '{r}' THEN fare END) AS f{i}"
+                     for i, r in enumerate(table))
+
+
 QUOTES = """
 regions AS (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 base AS (
@@ -73,14 +83,17 @@ medians AS (
   SELECT scraped_date, route, advance_purchase_days, median(total_fare) AS fare
   FROM eligible GROUP BY ALL),
 route_days AS (
-  SELECT scraped_date, route, avg(fare) AS fare, count(*) AS n_horizons
+  SELECT scraped_date, route, list_sum(list_sort(list(fare))) / count(*) AS fare,
+    count(*) AS n_horizons
   FROM medians GROUP BY ALL)"""
 
 INDEX = MEDIANS + f""",
 weights(route, weight) AS (VALUES {_weights(BASKET_WEIGHTS)}),
 composite AS (
-  SELECT scraped_date, round(sum(fare * weight) / sum(weight), 2) AS composite_daily_fare
-  FROM route_days JOIN weights USING (route) GROUP BY 1),
+  SELECT scraped_date, round(({_sum(BASKET_WEIGHTS, "coalesce(f{i} * {w}::DOUBLE, 0)")})
+    / nullif({_sum(BASKET_WEIGHTS, "CASE WHEN f{i} IS NULL THEN 0 ELSE {w}::DOUBLE END")}, 0), 2)
+    AS composite_daily_fare
+  FROM (SELECT scraped_date, {_wide(BASKET_WEIGHTS)} FROM route_days GROUP BY 1)),
 complete AS (
   SELECT scraped_date, round(count(*) / 30.0::DOUBLE, 4) AS data_completeness FROM medians GROUP BY 1),
 daily AS (
@@ -108,11 +121,24 @@ index_long AS (
     END AS fare
   FROM index_daily CROSS JOIN weights r)"""
 
-IQR = QUOTES + """,
-quartiles AS (
-  SELECT origin, destination, advance_purchase_days, count(total_fare) AS n_values,
-    quantile_cont(total_fare, 0.25) AS q1, quantile_cont(total_fare, 0.75) AS q3
-  FROM quotes WHERE status = 'ok' AND total_fare IS NOT NULL GROUP BY ALL),
+# Quartiles by rank, interpolated between the two neighbours.
+QUARTILES = """SELECT {day}origin, destination, advance_purchase_days, max(n) AS n_values,
+    max(CASE WHEN place = floor(0.25::DOUBLE * (n - 1)) THEN total_fare END) * (1 - (0.25::DOUBLE
+      * (max(n) - 1) - floor(0.25::DOUBLE * (max(n) - 1)))) + max(CASE WHEN place = ceil(
+      0.25::DOUBLE * (n - 1)) THEN total_fare END) * (0.25::DOUBLE * (max(n) - 1)
+      - floor(0.25::DOUBLE * (max(n) - 1))) AS q1,
+    max(CASE WHEN place = floor(0.75::DOUBLE * (n - 1)) THEN total_fare END) * (1 - (0.75::DOUBLE
+      * (max(n) - 1) - floor(0.75::DOUBLE * (max(n) - 1)))) + max(CASE WHEN place = ceil(
+      0.75::DOUBLE * (n - 1)) THEN total_fare END) * (0.75::DOUBLE * (max(n) - 1)
+      - floor(0.75::DOUBLE * (max(n) - 1))) AS q3
+  FROM (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (
+      PARTITION BY {day}origin, destination, advance_purchase_days) AS n
+    FROM {table} WHERE status = 'ok' AND total_fare IS NOT NULL
+    WINDOW w AS (PARTITION BY {day}origin, destination, advance_purchase_days ORDER BY total_fare))
+  GROUP BY {day}origin, destination, advance_purchase_days"""
+
+IQR = QUOTES + f""",
+quartiles AS ({QUARTILES.format(day="", table="quotes")}),
 bounds AS (
   SELECT origin, destination, advance_purchase_days,
     CASE WHEN n_values < 4 THEN 500 ELSE least(q1 - 1.5 * (q3 - q1), 500) END::DOUBLE AS lower_bound,
@@ -146,10 +172,7 @@ day_rows AS (
         advance_purchase_days, fare_class
       ORDER BY scraped_ts DESC, order_key, line_number, part_key, supp_key, price,
         total_fare NULLS LAST) AS rn FROM quotes) WHERE rn = 1),
-day_quartiles AS (
-  SELECT scraped_date, origin, destination, advance_purchase_days, count(total_fare) AS n_values,
-    quantile_cont(total_fare, 0.25) AS q1, quantile_cont(total_fare, 0.75) AS q3
-  FROM day_rows WHERE status = 'ok' AND total_fare IS NOT NULL GROUP BY ALL),
+day_quartiles AS ({QUARTILES.format(day="scraped_date, ", table="day_rows")}),
 day_bounds AS (
   SELECT q.scraped_date, q.origin, q.destination, q.advance_purchase_days,
     CASE WHEN n_values < 4 THEN 500 ELSE least(q1 - 1.5 * (q3 - q1), 500) END AS lo,
@@ -175,10 +198,14 @@ day_medians AS (
   FROM day_accepted WHERE source = 'airline_direct' AND total_fare IS NOT NULL GROUP BY ALL),
 day_composite AS (
   SELECT scraped_date AS date, advance_purchase_days,
-    round(sum(fare * weight) / sum(weight), 2) AS composite_score,
-    round(coalesce(max(premium), 0), 2) AS ota_premium_pct
-  FROM day_medians JOIN weights2 USING (route)
-  LEFT JOIN day_premium USING (scraped_date, advance_purchase_days) GROUP BY ALL)"""
+    round(composite, 2) AS composite_score, round(coalesce(premium, 0), 2) AS ota_premium_pct
+  FROM (SELECT scraped_date, advance_purchase_days,
+      ({_sum(BASKET_WEIGHTS_V2, "coalesce(f{i} * {w}::DOUBLE, 0)")})
+      / nullif({_sum(BASKET_WEIGHTS_V2, "CASE WHEN f{i} IS NULL THEN 0 ELSE {w}::DOUBLE END")}, 0)
+      AS composite
+    FROM (SELECT scraped_date, advance_purchase_days, {_wide(BASKET_WEIGHTS_V2)}
+      FROM day_medians GROUP BY 1, 2))
+  LEFT JOIN day_premium USING (scraped_date, advance_purchase_days) WHERE composite IS NOT NULL)"""
 
 SCORED = QUOTES + """,
 checks AS (
@@ -371,7 +398,7 @@ oracle("quotes_with_bounds", f"""
 SELECT {ID}, round(lower_bound, 4) AS lower_bound, round(upper_bound, 4) AS upper_bound
 FROM bounded""", IQR)
 oracle("group_features", f"""
-SELECT {ID}, round(grp_mean, 2) AS grp_mean, round(grp_std, 2) AS grp_std
+SELECT {ID}, round(grp_mean) AS grp_mean, round(grp_std) AS grp_std
 FROM quotes LEFT JOIN (
   SELECT route, carrier_code, advance_purchase_days, avg(total_fare) AS grp_mean,
     coalesce(stddev_samp(total_fare), 0) AS grp_std
@@ -464,14 +491,20 @@ oracle("route_day_fares", """
 SELECT scraped_date, route, round(fare, 2) AS fare, n_horizons FROM route_days""", MEDIANS)
 oracle("data_completeness", "SELECT * FROM complete", INDEX)
 oracle("composite_fares", "SELECT scraped_date, composite_daily_fare FROM daily", INDEX)
-oracle("composite_fares_unweighted", """
-SELECT scraped_date, round(avg(fare) FILTER (WHERE route IN (SELECT route FROM weights)), 2)
-  AS composite_daily_fare FROM route_days GROUP BY 1""", INDEX)
+oracle("composite_fares_unweighted", f"""
+SELECT scraped_date, round(({_sum(BASKET_WEIGHTS, "coalesce(f{i}, 0)")}) / nullif(
+    {_sum(BASKET_WEIGHTS, "CASE WHEN f{i} IS NULL THEN 0 ELSE 1 END")}, 0), 2)
+  AS composite_daily_fare
+FROM (SELECT scraped_date, {_wide(BASKET_WEIGHTS)} FROM route_days GROUP BY 1)""", INDEX)
 oracle("horizon_composites", f"""
-SELECT advance_purchase_days, scraped_date, round(sum(fare * weight) / sum(weight), 2) AS composite
-FROM (SELECT scraped_date, route, advance_purchase_days, median(total_fare) AS fare FROM direct
-  WHERE total_fare IS NOT NULL GROUP BY ALL)
-JOIN (VALUES {_weights(BASKET_WEIGHTS_V2)}) w(route, weight) USING (route) GROUP BY 1, 2""", IQR)
+SELECT scraped_date, advance_purchase_days, round(
+    ({_sum(BASKET_WEIGHTS_V2, "coalesce(f{i} * {w}::DOUBLE, 0)")})
+    / {_sum(BASKET_WEIGHTS_V2, "CASE WHEN f{i} IS NULL THEN 0 ELSE {w}::DOUBLE END", "()")}, 2)
+  AS composite
+FROM (SELECT scraped_date, advance_purchase_days, {_wide(BASKET_WEIGHTS_V2)}
+  FROM (SELECT scraped_date, route, advance_purchase_days, median(total_fare) AS fare FROM direct
+    WHERE total_fare IS NOT NULL GROUP BY ALL)
+  WHERE route IN (SELECT r FROM (VALUES {_weights(BASKET_WEIGHTS_V2)}) w(r, x)) GROUP BY 1, 2)""", IQR)
 oracle("agent_premium", """
 SELECT advance_purchase_days, round(avg(100 * (ota_fare - dir_fare) / dir_fare), 2) AS premium
 FROM pairs WHERE ota_fare > 0 AND dir_fare > 0 GROUP BY 1""", PAIRS)
@@ -590,12 +623,7 @@ SELECT {ID}, CASE WHEN far THEN round(greatest(0, confidence_score - 0.25), 4)
     ELSE confidence_score END AS confidence_score,
   concat_ws(',', nullif(quality_flags, ''), CASE WHEN far THEN 'price_anomaly_statistical' END)
     AS quality_flags
-FROM scored JOIN (SELECT {ID}, status, flight_num, total_fare, origin, destination, carrier_code,
-    bool_or(far) AS far
-  FROM madded GROUP BY ALL)
-USING ({ID}, status, flight_num, origin, destination, carrier_code)
-WHERE scored.total_fare IS NOT DISTINCT FROM total_fare""",
-       SCORED + MAD[len(QUOTES):])
+FROM scored""", MAD + SCORED[len(QUOTES):].replace("FROM quotes q LEFT JOIN", "FROM madded q LEFT JOIN"))
 oracle("iqr_flags", f"SELECT {ID}, outlier_flag FROM iqred", IQR)
 
 FORECAST = """

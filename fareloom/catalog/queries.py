@@ -350,7 +350,7 @@ def group_features(spark, folder):
     quotes = _quotes(spark, folder)
     features = outliers.group_features(quotes)
     return quotes.join(features, outliers.MAD_KEYS, "left").select(
-        *ID, S.rounded(F.col("grp_mean"), 2).alias("grp_mean"), S.rounded(F.col("grp_std"), 2).alias("grp_std"))
+        *ID, F.round("grp_mean").alias("grp_mean"), F.round("grp_std").alias("grp_std"))
 
 
 @query

@@ -94,7 +94,7 @@ def exact_order_stats(df: DataFrame, keys: list[str], value: str, stats: dict,
     for name, stat in stats.items():
         share = _ranks(stat, F.col("n_values"))[2]
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * share).alias(name))
+        out.append((low * (1 - share) + high * share).alias(name))
     return read.select(*out)
 
 

@@ -167,7 +167,8 @@ def extract_lines(pages: DataFrame) -> DataFrame:
     """
     flight = r"\bSG\s*[-]?\s*(\d{2,4})\b"
     page = pages.withColumn("_lines", F.filter(
-        F.transform(F.split("page_text", "\n"), F.trim), lambda line: F.length(line) > 0))
+        F.transform(F.split("page_text", "\n"), lambda line: F.trim(line)),
+        lambda line: F.length(line) > 0))
     page = page.withColumn("_starts", F.filter(
         F.transform("_lines", lambda line, i: F.when(
             line.rlike(flight) & (F.length(line) < 15), i)), lambda i: i.isNotNull()))
@@ -267,6 +268,10 @@ def with_placeholders(requests: DataFrame, quotes: DataFrame,
 
 # --- health -------------------------------------------------------------------------
 
+def _reads_like(wording: str):
+    return lambda text: text.rlike(wording)
+
+
 def extraction_health(pages: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
     """Does each field's element still match a sensible number of times on every page?
 
@@ -276,9 +281,10 @@ def extraction_health(pages: DataFrame, rules: dict[str, tuple[str, str]]) -> Da
     low, high = C.MATCH_BAND
     checks = []
     for field, (element, wording) in rules.items():
-        texts = F.transform(F.regexp_extract_all("html", F.lit(element), F.lit(1)), visible_text)
+        texts = F.transform(F.regexp_extract_all("html", F.lit(element), F.lit(1)),
+                            lambda t: visible_text(t))
         count = F.size(texts)
-        fits = F.exists(F.slice(texts, 1, 10), lambda t, w=wording: t.rlike(w))
+        fits = F.exists(F.slice(texts, 1, 10), _reads_like(wording))
         reason = (F.when(count < low, F.lit("too_few")).when(count > high, F.lit("too_many"))
                   .when(~fits, F.lit("text_differs")).otherwise(F.lit("ok")))
         checks.append(F.struct(F.lit(field).alias("field"), count.alias("match_count"),

@@ -11,7 +11,7 @@ from ..operators.dedup import keep_latest
 from ..operators.filters import agent_basket, direct_basket
 from ..operators.order_stats import exact_median
 from ..operators.outliers import IQR_KEYS, flag_iqr
-from ..sources.weights import route_weights
+from .fare_index import weighted_fare
 
 FLIGHT_KEYS = ["origin", "destination", "flight_num", "advance_purchase_days"]
 
@@ -53,10 +53,13 @@ def horizon_composite(flagged: DataFrame, weights: dict[str, float],
     """Weighted mean of route medians per horizon, weights renormalised over those present."""
     by_day = [day] if day else []
     medians = exact_median(direct_basket(flagged), [*by_day, *IQR_KEYS], "total_fare", "fare")
-    named = medians.withColumn("route", S.route_name(F.col("origin"), F.col("destination")))
-    return (named.join(route_weights(flagged.sparkSession, weights), "route")
-            .groupBy(*by_day, "advance_purchase_days")
-            .agg((F.sum(F.col("fare") * F.col("weight")) / F.sum("weight")).alias("composite")))
+    route = S.route_name(F.col("origin"), F.col("destination"))
+    wide = medians.groupBy(*by_day, "advance_purchase_days").agg(
+        *[F.max(F.when(route == r, F.col("fare"))).alias(f"fare_{r}") for r in weights])
+    fares = {r: F.col(f"`fare_{r}`") for r in weights}
+    return (wide.select(*by_day, "advance_purchase_days",
+                        weighted_fare(fares, weights).alias("composite"))
+            .where(F.col("composite").isNotNull()))
 
 
 def daily_composite(flagged: DataFrame, weights: dict[str, float] | None = None,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
 from ..operators.filters import excluded_audit, index_eligible
 from ..operators.order_stats import exact_median
-from ..sources.weights import route_weights
 
 
 def horizon_medians(eligible: DataFrame) -> DataFrame:
@@ -19,9 +20,31 @@ def horizon_medians(eligible: DataFrame) -> DataFrame:
 
 
 def route_days(medians: DataFrame) -> DataFrame:
-    """Route fare of a day: the mean of its horizon medians, with the number of horizons."""
+    """Route fare of a day: the mean of its horizon medians, with the number of horizons.
+
+    The handful of medians is added up in sorted order, so that a rerun gives the same last
+    digit whatever order the tasks finished in.
+    """
+    total = F.aggregate(F.array_sort(F.collect_list("fare")), F.lit(0.0), lambda a, x: a + x)
     return medians.groupBy("scraped_date", "route").agg(
-        F.avg("fare").alias("fare"), F.count(F.lit(1)).alias("n_horizons"))
+        (total / F.count(F.lit(1))).alias("fare"), F.count(F.lit(1)).alias("n_horizons"))
+
+
+def weighted_fare(fares: dict[str, Column], weights: dict[str, float] | None) -> Column:
+    """Weighted mean of the routes that have a fare, always added up in the same order.
+
+    Equal weights apply when none are given or those of the reporting routes sum to zero.
+    """
+    def total(terms) -> Column:
+        return reduce(lambda a, b: a + b, terms)
+
+    def mean(weight_of) -> Column:
+        above = total(F.coalesce(fare * weight_of(r), F.lit(0.0)) for r, fare in fares.items())
+        below = total(F.when(fare.isNotNull(), F.lit(weight_of(r))).otherwise(F.lit(0.0))
+                      for r, fare in fares.items())
+        return above / F.when(below > 0, below)
+
+    return F.coalesce(mean(lambda r: float((weights or {}).get(r, 0.0))), mean(lambda r: 1.0))
 
 
 def day_summary(route_fares: DataFrame, weights: dict[str, float] | None, basket: list[str],
@@ -29,23 +52,18 @@ def day_summary(route_fares: DataFrame, weights: dict[str, float] | None, basket
     """One row per date: composite fare, completeness and ``fare_<route>`` columns.
 
     The composite is the weighted mean over the basket routes that report on the date, to
-    two decimals; equal weights apply when none are given or those of the reporting routes
-    sum to zero.  Completeness is the share of the expected (route, horizon) combinations;
+    two decimals.  Completeness is the share of the expected (route, horizon) combinations;
     routes outside the basket count too, so it can pass 1, unless ``basket_completeness``.
     """
-    table = route_weights(route_fares.sparkSession, weights or {})
     in_basket = F.col("route").isin(basket)
-    fare, weight = F.when(in_basket, F.col("fare")), F.coalesce("weight", F.lit(0.0))
-    total = F.sum(F.when(in_basket, weight))
-    weighted = F.sum(fare * weight) / F.when(total > 0, total)
     counted = F.when(in_basket, F.col("n_horizons")) if basket_completeness else F.col("n_horizons")
     expected = expected or len(basket) * len(C.HORIZONS)
-    return (route_fares.join(table, "route", "left").groupBy("scraped_date")
-            .agg(S.rounded(F.coalesce(weighted, F.avg(fare)), 2).alias("composite_daily_fare"),
-                 S.rounded(F.coalesce(F.sum(counted), F.lit(0)) / F.lit(float(expected)), 4)
-                 .alias("data_completeness"),
-                 *[F.max(F.when(F.col("route") == r, F.col("fare"))).alias(f"fare_{r}")
-                   for r in basket]))
+    wide = route_fares.groupBy("scraped_date").agg(
+        S.rounded(F.coalesce(F.sum(counted), F.lit(0)) / F.lit(float(expected)), 4)
+        .alias("data_completeness"),
+        *[F.max(F.when(F.col("route") == r, F.col("fare"))).alias(f"fare_{r}") for r in basket])
+    fares = {r: F.col(f"`fare_{r}`") for r in basket}
+    return wide.withColumn("composite_daily_fare", S.rounded(weighted_fare(fares, weights), 2))
 
 
 def _base_value(value: str, date: str, base_date: str | None):

@@ -36,6 +36,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
@@ -46,9 +49,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="fareloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _LOCAL_FOLDERS.setdefault(spark.sparkContext.applicationId,
+                                     tempfile.mkdtemp(prefix="fareloom-"))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -58,6 +60,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     loss of executors, and every reader prunes columns on its own.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    # one folder per application, so that a job's leftovers can be dropped as a whole
+    path = os.path.join(shared_folder(spark), f"fareloom-{spark.sparkContext.applicationId}",
+                        f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 UPPER_MIDDLE = "upper_middle"
-_BANDS_PER_UNIT = 256
+_BANDS_PER_UNIT = 32
 
 
 def value_band(value: Column) -> Column:
-    """Order-keeping band number: about 0.4 % wide for large values."""
+    """Order-keeping band number: about 3 % wide for large values."""
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BANDS_PER_UNIT)
 
 

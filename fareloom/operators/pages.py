@@ -33,9 +33,9 @@ def visible_text(html: Column, separator: str = "") -> Column:
 
 def element_text(html: Column, classes: str) -> Column:
     """Text of the first element whose class attribute matches; null when there is none."""
-    pattern = rf'(?s)class="[^"]*(?:{classes})[^"]*"[^>]*>(.*?)</'
-    found = F.regexp_extract(html, pattern, 1)
-    return F.when(html.rlike(pattern), visible_text(found))
+    element = F.regexp_extract(html, rf'(?s)class="[^"]*(?:{classes})[^"]*"[^>]*>.*?</', 0)
+    content = F.regexp_replace(element, r"(?s)^[^>]*>|</$", "")
+    return F.when(element != "", visible_text(content))
 
 
 def clean_html(html: Column, max_chars: int | None = 15000) -> Column:

@@ -20,7 +20,9 @@ def build_session(app_name: str = "fareloom", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
+        # one local JVM does all the work; its default heap of 1 GB is meant for a driver only
         builder = (builder.master(master)
+                   .config("spark.driver.memory", "12g")
                    .config("spark.ui.enabled", "false")
                    .config("spark.driver.host", "127.0.0.1")
                    .config("spark.driver.bindAddress", "127.0.0.1"))
@@ -65,3 +67,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
                         f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least one partition per core.
+
+    Large inputs have far more splits than that and pass unchanged; a table in one small
+    file would otherwise keep a single core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

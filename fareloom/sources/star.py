@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, spread
 
 BASKET_WEIGHTS = {
     "ASIA-EUROPE": 0.25, "ASIA-AMERICA": 0.20, "EUROPE-AMERICA": 0.18,
@@ -62,7 +62,7 @@ def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
               .join(_regions(spark, folder, "c", "origin"), "c_nationkey"))
     destination = (table(spark, folder, "supplier")
                    .join(_regions(spark, folder, "s", "destination"), "s_nationkey"))
-    joined = (table(spark, folder, "lineitem")
+    joined = (spread(table(spark, folder, "lineitem"))
               .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(origin, F.col("o_custkey") == F.col("c_custkey"))
               .join(destination, F.col("l_suppkey") == F.col("s_suppkey")))

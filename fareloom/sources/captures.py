@@ -34,10 +34,13 @@ def read_raw_quotes(spark: SparkSession, root: str, day: str | None = None) -> D
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """``source_file, n_bytes`` of the files below ``root``; contents are not read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob).load(root)
-            .select(F.col("path").alias("source_file"), F.col("length").alias("n_bytes")))
+    """``source_file`` of all files below ``root``, empty ones too; nothing is opened.
+
+    The names come from the file index that planning any scan of the folder builds anyway.
+    """
+    index = (spark.read.schema("value string").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", glob).text(root))
+    return spark.createDataFrame([(path,) for path in index.inputFiles()], "source_file string")
 
 
 def unread_files(spark: SparkSession, root: str, quotes: DataFrame) -> DataFrame:

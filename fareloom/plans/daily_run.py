@@ -18,7 +18,7 @@ from ..operators.forest import flag_forest
 from ..operators.normalize import normalize, rejected_rows, valid_quotes, with_derived
 from ..operators.outliers import flag_mad
 from ..operators.quality import oldest_verified, quality_scores, stale_sources
-from ..session import prepare
+from ..session import materialise, prepare
 from ..sources.captures import read_raw_quotes, unread_files
 from ..sources.metrics import index_metrics, save_metrics, scored_metrics
 from ..sources.registry import read_registries, registry_selectors
@@ -84,8 +84,12 @@ def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str
     quotes = stage("quotes", ingested)
     stage("scored", scored, scored_metrics)
     scores = read_table(spark, f"{store}/scored")
-    flagged = stage("flagged", lambda: flag_forest(flag_mad(scores), **(forest_options or {})),
-                    scored_metrics)
+
+    def flagged_twice() -> DataFrame:
+        # the forest looks at its input several times, so the first pass is written out
+        return flag_forest(materialise(flag_mad(scores), "mad-flags"), **(forest_options or {}))
+
+    flagged = stage("flagged", flagged_twice, scored_metrics)
     stage("anomalies", lambda: flagged.where(
         F.exists("quality_flags", lambda flag: flag.startswith("price_anomaly"))))
     index = stage("index", lambda: fare_index_daily(flagged, weights, basket), index_metrics)

@@ -36,7 +36,8 @@ def ingest(spark: SparkSession, raw_root: str, store: str) -> DataFrame:
     fresh = with_derived(valid_quotes(checked))
     master = f"{store}/quotes"
     if table_exists(spark, master):
-        fresh = append_new(read_table(spark, master), fresh)
+        # written out first: joining on top of the long normalising plan is slow to optimise
+        fresh = append_new(read_table(spark, master), materialise(fresh, "fresh-quotes"))
     fresh.write.mode("append").partitionBy("scraped_date").parquet(master)
     rejects = rejected_rows(checked).unionByName(unread_files(spark, raw_root, raw))
     write_stage(rejects, f"{store}/rejects")

@@ -12,7 +12,7 @@ import os
 import time
 
 from fareloom.catalog import queries as catalog
-from fareloom.session import build_session
+from fareloom.session import build_session, drop_work
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -44,6 +44,7 @@ def main() -> None:
     print(json.dumps({"metric": "airfare index queries, total wall time", "value": total,
                       "unit": "sec", "queries": times, "sf": FOLDER.rstrip("/").split("/sf")[-1],
                       "quotes": rows, "core_rows_per_sec": round(rows / core)}))
+    drop_work(spark)
     spark.stop()
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,21 +37,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
+    """Folder that the driver and all executors reach, named in ``spark.checkpoint.dir``.
 
-    Only when that is unset and Spark runs on this machine is a temporary folder used.
+    Where that is unset, as in tests, work goes below the warehouse, which is shared as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_FOLDERS.setdefault(spark.sparkContext.applicationId,
-                                     tempfile.mkdtemp(prefix="fareloom-"))
+    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_work")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """One folder per application, so that a job's leftovers go as a whole."""
+    return os.path.join(shared_folder(spark), f"fareloom-{spark.sparkContext.applicationId}")
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, at the end of a job."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -62,9 +64,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     loss of executors, and every reader prunes columns on its own.
     """
     spark = df.sparkSession
-    # one folder per application, so that a job's leftovers can be dropped as a whole
-    path = os.path.join(shared_folder(spark), f"fareloom-{spark.sparkContext.applicationId}",
-                        f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(run_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from fareloom.session import build_session  # noqa: E402
+from fareloom.session import build_session, drop_work  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     session = build_session("fareloom-tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_work(session)
     session.stop()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import quality_classifier, slots, token_counts
 from .frames import table
 
 QUERIES = {}
@@ -21,3 +21,13 @@ def query(build):
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"),
                                      public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_slot_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return slots.shard(table(spark, folder, "documents"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

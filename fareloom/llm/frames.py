@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows per Arrow batch: a batch of long texts has to fit a Python worker.
 BATCH_ROWS = 1000
@@ -20,13 +21,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def over_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``work`` turns each Arrow batch into columns (name to list or array) of ``schema``."""
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = work(batch)
             yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c := columns[n], pa.Array) else pa.array(c) for n in names], names)
+                [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type)
+                 for f in arrow], arrow.names)
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, simhash, slots, token_counts
+from . import class_lm, quality_classifier, quality_rules, simhash, slots, token_counts
 from .frames import table
 
 QUERIES = {}
@@ -38,6 +38,11 @@ def op7_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.score(table(spark, folder, "documents"))
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

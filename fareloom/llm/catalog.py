@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, quality_classifier, quality_rules, simhash, slots, token_counts
+from . import class_lm, licenses, quality_classifier, quality_rules, simhash, slots, token_counts
 from .frames import table
 
 QUERIES = {}
@@ -17,6 +17,11 @@ def query(build):
     return build
 
 
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import class_lm, licenses, quality_classifier, quality_rules, simhash, slots, token_counts
+from . import class_lm, licenses, mixing, quality_classifier, quality_rules, simhash, slots, token_counts
 from .frames import table
 
 QUERIES = {}
@@ -43,6 +44,24 @@ def op7_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def domain():
+    """The given documents name no domain: sources are dealt into three, by their number."""
+    return F.concat(F.lit("domain"), F.regexp_extract("source", r"(\d+)", 1).try_cast("int") % 3)
+
+
+TREE_WEIGHTS = [("domain", "domain0", 3.0), ("domain", "domain1", 2.0), ("domain", "domain2", 1.0),
+                ("lang", "en", 5.0), ("lang", "de", 2.0), ("lang", "fr", 2.0), ("lang", "es", 1.0)]
+
+
+def tree_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TREE_WEIGHTS, "level string, name string, weight double")
+
+
+@query
+def op8_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), domain(), tree_weights(spark))
+
+
 @query
 def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     return class_lm.score(table(spark, folder, "documents"))

@@ -19,6 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` holds, with all columns, where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def over_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``work`` turns each Arrow batch into columns (name to list or array) of ``schema``."""
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import over_batches
+from .frames import filter_batches, over_batches
 
 BITS = 18  #: 2 ** BITS hashed weights
 FIT_ROWS = 6000  #: most labelled rows that the fit reads (expected value; kept by hash)
@@ -150,6 +150,13 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id",
         key: b.column("id"), "score": probabilities(b.column("text").to_pylist(), shared.value)})
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, cutoff: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text reaches ``cutoff``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    return filter_batches(docs, lambda batch: [p >= cutoff for p in probabilities(
+        [t or "" for t in batch.column(text).to_pylist()], shared.value)])
+
+
 def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0):
     """Rows that no fit may learn from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(True))

@@ -110,11 +110,11 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp (long) per row."""
+    """id, hash (of the text), fp (long) per row."""
     kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    return over_batches(plain, f"id {kind}, fp long", lambda b: {
-        "id": b.column("id"), "fp": [fingerprint(t) for t in b.column("text").to_pylist()]})
+    plain = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
+    return over_batches(plain, f"id {kind}, hash long, fp long", lambda b: {
+        "id": b.column("id"), "hash": b.column("hash"), "fp": [fingerprint(t) for t in b.column("text").to_pylist()]})
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,14 +251,32 @@ def links(prints: DataFrame) -> DataFrame:
     return first.union(more.distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id of every row."""
-    prints = materialise(fingerprints(docs, key, text), "simhash-prints")
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint."""
     least = prints.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(prints)).select(F.col("node").alias("fp"), "root")
     placed = materialise(least.join(roots, "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return placed.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id of every row."""
+    prints = materialise(fingerprints(docs, key, text), "simhash-prints")
+    return prints.join(_classes(prints), "fp").select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``docs``; of each component only the row with the smallest key stays (null keys
+    come last; of rows with one key the smallest text hash; of equal rows any one)."""
+    marked = docs.select(F.struct(*docs.columns).alias("_own"), F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"))
+    prints = materialise(fingerprints(docs, key, text), "simhash-prints")
+    rows = prints.join(_classes(prints).select("fp", "root"), "fp").groupBy("root", "id", "hash").agg(F.count("*").alias("n"))
+    stay = rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "hash", "n")).alias("s"))
+    stay = materialise(stay.select("s.id", "s.hash", "s.n"), "simhash-stay")
+    kept = marked.join(stay, marked["_id"].eqNullSafe(stay["id"]) & (marked["_hash"] == stay["hash"]))
+    once = kept.where("n = 1").select("_own")
+    many = kept.where("n > 1").dropDuplicates(["_id", "_hash"]).select("_own")
+    return once.union(many).select("_own.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, latent_leaks, licenses, mixing, quality_classifier, quality_rules, simhash, slots, token_counts
+from . import class_lm, compact_windows, latent_leaks, licenses, mixing, quality_classifier, quality_rules, simhash, slots, token_counts
 from .frames import table
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op3_latent_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return latent_leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return compact_windows.repeats(table(spark, folder, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"),

@@ -717,13 +717,33 @@ def backtest(spark, folder):
 @query
 def clean_pages(spark, folder):
     html = star.table(spark, folder, "pages")
-    return html.select("page_id", pages.clean_html(F.col("html"), None).alias("html"))
+    return html.select("page_id", pages.clean_html(F.col("html")).alias("html"))
 
 
 @query
 def compact_pages(spark, folder):
     html = star.table(spark, folder, "pages")
-    return html.select("page_id", pages.clean_html(F.col("html")).alias("html"))
+    pieces = html.select("page_id", "html", pages.card_pieces(F.col("html")).alias("pieces"))
+    return pieces.select("page_id", F.when(F.size("pieces") > 0, F.concat_ws("\n", "pieces"))
+                         .otherwise(pages.clean_html(F.col("html"))).alias("html"))
+
+
+@query
+def card_pieces(spark, folder):
+    html = star.priced_pages(spark, folder)
+    return html.select("page_id", F.explode(pages.card_pieces(F.col("html"))).alias("piece"))
+
+
+@query
+def chip_cards(spark, folder):
+    return pages.extract_chips(star.chip_pages(_quotes(spark, folder)))[0].select(
+        "page_id", "carrier_code", "flight_num", "fare_class", "departure_time", "total_fare", "status")
+
+
+@query
+def agent_cards_second(spark, folder):
+    return pages.extract_cards(star.second_agent_pages(_quotes(spark, folder)), pages.SECOND_AGENT_CARDS)[0].select(
+        "page_id", "flight_num", "departure_time", "total_fare", "status", "source_name")
 
 
 @query

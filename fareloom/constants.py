@@ -131,3 +131,36 @@ FIELD_PATTERNS = {
     "destination_code": r"\b[A-Z]{3}\b",
     "fare_split_estimated": r"(?i)true|false",
 }
+
+# --- fixed values: class names and patterns of the sites' result pages --------------
+AIRLINE_CARD_TAG = "ai-pb-flight-card"
+AIRLINE_FIELDS = {
+    "flight": "ai-pb-flight-id", "time": "ai-pb-departure-time", "price": "ai-pb-price",
+    "departure_city": "ai-pb-departure-city-code", "arrival_city": "ai-pb-arrival-city-code",
+    "carrier": "ai-pb-operated-by-info",
+}
+AGENT_CARD = "listingCard|clusterCard|singleFlightGroup|tupleCard"
+AGENT_CARD_ID = "^listing-card"
+AGENT_FIELDS = {
+    "flight": "flightCode|flightNumber|code", "time": "dept-time|depart-time|deptTime",
+    "price": "(?i)actual-price|clusterViewPrice|price(?!-)|fare",
+    "departure_city": "dept-city|deptCity|fromCity|departureCity",
+    "arrival_city": "arr-city|arrCity|toCity|arrivalCity", "carrier": "airlineName|flightName|boldFont",
+}
+AGENT_CODE = r"\b((?:6E|AI|IX|SG|QP)[\s-]*\d{3,4})\b"
+SECOND_AGENT_CARD = "listingCard|clusterCard|singleFlightGroup|tupleCard|flt-card|flight-card"
+SECOND_AGENT_FIELDS = {
+    **AGENT_FIELDS, "flight": "flightCode|flightNumber|code|flight-no",
+    "price": "(?i)actual-price|clusterViewPrice|flt-price|price(?!-)|fare",
+    "carrier": "airlineName|flightName|boldFont|airline-name",
+}
+SECOND_AGENT_CODE = r"\b((?:6E|AI|IX|SG|QP|UK)[\s-]*\d{3,4})\b"
+CHIP_LAYOUT = {
+    "card": "srp__search-result-list__item", "price": "selected-fare__fare-price",
+    "chip": "fare-category-chip", "sold_out": "sold-out", "departure": "details-wrapper__flight-departure",
+    "arrival": "details-wrapper__flight-arrival",
+}
+INLINE_CARD_CLASSES = ("w-full", "flex")
+INLINE_SHAPE = r"(QP\d+).*?(\d{2}:\d{2})([A-Z]{3}).*?(\d{2}:\d{2})([A-Z]{3}).*?₹([\d,]+)"
+PIECE_TAGS = ("div", "section", "article", "tr", "li")
+PIECE_MARKS = (r"\b\d{2}:\d{2}\b", "(?i)[₹]|INR")

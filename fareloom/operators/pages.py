@@ -2,8 +2,9 @@
 
 A page is one row with its HTML and the search it answers (``origin, destination,
 travel_date, advance_purchase_days, scraped_at, capture_run``).  Everything that concerns
-one page is an expression on that row, so pages are read without any shuffle; only the
-in-page duplicate rule groups rows, by page and flight.
+one page is worked out on that row, so pages are read without any shuffle; only the in-page
+duplicate rule groups rows, by page and flight.  Nested elements are read in Arrow batches
+(:mod:`fareloom.functions.markup`).
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import markup
 from ..functions import scalars as S
 from .dedup import dedup_in_page
-from .filters import agent_status, plausible_direct, split_alternate_airports
+from .filters import agent_status, non_stop_only, plausible_direct, split_alternate_airports
 
 _DROPPED_BLOCKS = ["script", "style", "svg", "noscript", "head", "header", "footer"]
 _DROPPED_SINGLE = ["link", "meta"]
-_CARD_TAGS = "div|section|article|tr|li"
 SEARCH = ["page_id", "origin", "destination", "travel_date", "advance_purchase_days",
           "scraped_at", "capture_run"]
 
@@ -31,37 +32,19 @@ def visible_text(html: Column, separator: str = "") -> Column:
     return F.trim(F.regexp_replace(html, r"(?s)<[^>]*>", separator))
 
 
-def element_text(html: Column, classes: str) -> Column:
-    """Text of the first element whose class attribute matches; null when there is none."""
-    element = F.regexp_extract(html, rf'(?s)class="[^"]*(?:{classes})[^"]*"[^>]*>.*?</', 0)
-    content = F.regexp_replace(element, r"(?s)^[^>]*>|</$", "")
-    return F.when(element != "", visible_text(content))
-
-
-def clean_html(html: Column, max_chars: int | None = 15000) -> Column:
-    """Drop elements that carry no offers, and comments.
-
-    A page that stays longer than ``max_chars`` is reduced to its card-like pieces (with a
-    time, a currency and 50 to 1500 characters of text); a page without any stays whole.
-    """
+def clean_html(html: Column) -> Column:
+    """Drop elements that carry no offers, and comments; the page stays whole at any size."""
     cleaned = html
     for tag in _DROPPED_BLOCKS:
         cleaned = F.regexp_replace(cleaned, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     for tag in _DROPPED_SINGLE:
         cleaned = F.regexp_replace(cleaned, rf"(?is)<{tag}\b[^>]*>", "")
-    cleaned = F.regexp_replace(cleaned, r"(?s)<!--.*?-->", "")
-    cleaned = F.coalesce(cleaned, F.lit(""))
-    if max_chars is None:
-        return cleaned
+    return F.coalesce(F.regexp_replace(cleaned, r"(?s)<!--.*?-->", ""), F.lit(""))
 
-    def is_card(piece: Column) -> Column:
-        text = visible_text(piece)
-        return (text.rlike(r"\b\d{2}:\d{2}\b") & text.rlike(r"₹|(?i:INR)")
-                & F.length(text).between(50, 1500))
 
-    pieces = F.filter(F.split(cleaned, rf"(?i)(?=<(?:{_CARD_TAGS})\b)"), is_card)
-    compact = F.when(F.size(pieces) > 0, F.concat_ws("\n", pieces)).otherwise(cleaned)
-    return F.when(F.length(cleaned) <= max_chars, cleaned).otherwise(compact)
+def card_pieces(html: Column) -> Column:
+    """Card-like pieces of a page, at any size: the innermost containers with a time and a currency."""
+    return markup.priced_pieces(clean_html(html), C.PIECE_TAGS, C.PIECE_MARKS)
 
 
 # --- tagged cards -------------------------------------------------------------------
@@ -72,60 +55,46 @@ class CardLayout:
 
     source: str
     source_name: str
-    card: str                  # pattern of the card's opening tag
-    flight: str
-    time: str
-    price: str
-    departure_city: str
-    arrival_city: str
-    carrier: str
+    tag: str
+    card: str                     # pattern of the card's class
+    fields: tuple[tuple[str, str], ...]
+    card_id: str | None = None    # pattern of its id where no class matches
+    code: str = C.AGENT_CODE      # flight number inside a card's text
     default_carrier: str = ""
 
 
-DIRECT_CARDS = CardLayout(
-    "airline_direct", "Air India", "<ai-pb-flight-card", "ai-pb-flight-id",
-    "ai-pb-departure-time", "ai-pb-price", "ai-pb-departure-city-code",
-    "ai-pb-arrival-city-code", "ai-pb-operated-by-info", "Air India")
-AGENT_CARDS = CardLayout(
-    "ota", "MakeMyTrip",
-    r'<div[^>]*class="[^"]*(?:listingCard|clusterCard|singleFlightGroup|tupleCard|flt-card'
-    r'|flight-card)', "flightCode|flightNumber|flight-no", "dept-time|depart-time|deptTime",
-    "actual-price|clusterViewPrice|flt-price|fare-price", "dept-city|deptCity|fromCity|departureCity",
-    "arr-city|arrCity|toCity|arrivalCity", "airlineName|flightName|airline-name")
+DIRECT_CARDS = CardLayout("airline_direct", "Air India", C.AIRLINE_CARD_TAG, "", tuple(C.AIRLINE_FIELDS.items()),
+                          default_carrier="Air India")
+AGENT_CARDS = CardLayout("ota", "MakeMyTrip", "div", C.AGENT_CARD, tuple(C.AGENT_FIELDS.items()), C.AGENT_CARD_ID)
+SECOND_AGENT_CARDS = CardLayout("ota", "Goibibo", "div", C.SECOND_AGENT_CARD, tuple(C.SECOND_AGENT_FIELDS.items()),
+                                C.AGENT_CARD_ID, C.SECOND_AGENT_CODE)
 
 
 def read_cards(pages: DataFrame, layout: CardLayout) -> DataFrame:
     """One row per card of every page, in page order, with what the card itself says."""
-    html = F.col("_card")
-    cards = pages.select(*SEARCH, F.posexplode(F.split("html", f"(?=(?:{layout.card}))"))
-                         .alias("position", "_card")).where(html.rlike(f"^(?:{layout.card})"))
-    text = visible_text(html, " ")
-    code = r"\b((?:6E|AI|IX|SG|QP|UK)[\s-]*\d{3,4})\b"
-    flight = element_text(html, layout.flight)
-    price_text = element_text(html, layout.price)
-    carrier = F.coalesce(element_text(html, layout.carrier), F.lit(layout.default_carrier))
+    cards = pages.select(*SEARCH, F.inline(markup.tagged_cards(
+        F.col("html"), layout.tag, layout.card, layout.card_id, dict(layout.fields))))
+    text, price_text = F.col("text"), F.col("price")
     agent = layout.source == "ota"
+    flight, fare = F.col("flight"), S.rupee_amount(price_text)
     if agent:
         flight = F.upper(F.coalesce(F.when(F.length(flight) > 0, flight), F.when(
-            text.rlike(f"(?i){code}"), F.regexp_extract(text, f"(?i){code}", 1))))
+            text.rlike(f"(?i){layout.code}"), F.regexp_extract(text, f"(?i){layout.code}", 1))))
         marked = F.regexp_extract(text, r"₹\s*([\d,]+)", 1)
         digits = F.regexp_replace(price_text, r"[^\d]", "")
         fare = F.coalesce(S.rupee_amount(marked), F.when(
             F.length(digits) >= 3, digits.try_cast("double")))
-    else:
-        fare = S.rupee_amount(price_text)
 
-    def city(classes: str) -> Column:
-        shown = F.regexp_extract(element_text(html, classes), r"\b([A-Z]{3})\b", 1)
+    def city(name: str) -> Column:
+        shown = F.regexp_extract(name, r"\b([A-Z]{3})\b", 1)
         return F.when(F.length(shown) == 3, shown)
 
     clock = F.regexp_extract(text, r"\b([0-2]?\d:[0-5]\d)\b", 1)
     return cards.select(
-        *SEARCH, "position", flight.alias("flight_num"), carrier.alias("carrier_text"),
-        city(layout.departure_city).alias("actual_origin"),
-        city(layout.arrival_city).alias("actual_destination"),
-        F.coalesce(element_text(html, layout.time),
-                   F.when((F.length(clock) > 0) & F.lit(agent), clock),
+        *SEARCH, "position", flight.alias("flight_num"),
+        F.coalesce("carrier", F.lit(layout.default_carrier)).alias("carrier_text"),
+        city("departure_city").alias("actual_origin"), city("arrival_city").alias("actual_destination"),
+        F.coalesce("time", F.when((F.length(clock) > 0) & F.lit(agent), clock),
                    F.lit("unknown")).alias("departure_time"),
         fare.alias("total_fare"), F.lit(layout.source).alias("source"),
         F.lit(layout.source_name).alias("source_name"))
@@ -156,14 +125,53 @@ def extract_cards(pages: DataFrame, layout: CardLayout = DIRECT_CARDS
     return _as_quotes(kept), discarded
 
 
+def extract_chips(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(quotes, discarded) of cards with several fare chips: one quote per chip that has a price of its
+    own, the cabin from the chip.  A sold-out card gives one row, a card whose chips show no price
+    its first price as economy, and one without any price a parse_error row.
+    """
+    cards = pages.select(*SEARCH, F.inline(markup.chip_cards(F.col("html"), C.CHIP_LAYOUT)))
+
+    def first(name: str, pattern: str) -> Column:
+        shown = F.regexp_extract(F.coalesce(name, F.lit("")), pattern, 0)
+        return F.when(shown != "", shown)
+
+    number = r"6E\s*[-]?\s*\d{2,4}"
+    read = cards.withColumns({
+        "actual_origin": first("departure", r"\b[A-Z]{3}\b"), "actual_destination": first("arrival", r"\b[A-Z]{3}\b"),
+        "departure_time": F.coalesce(first("departure", r"\b\d{2}:\d{2}\b"), first("text", r"\b\d{2}:\d{2}\b"), F.lit("")),
+        "flight_num": F.coalesce(first("text", number), F.lit("IndiGo")), "source_name": F.lit("IndiGo")})
+    kept, discarded = split_alternate_airports(read)
+
+    def amount(text: Column) -> Column:
+        value = F.regexp_replace(text, r"[^\d.]", "").try_cast("double")
+        return F.when(value > 0, value)
+
+    chips = F.filter(F.transform("chips", lambda c: F.struct(
+        F.when(F.lower(c["chip"]).rlike("business|stretch"), F.lit("business")).otherwise(F.lit("economy")).alias("fare_class"),
+        amount(c["price"]).alias("total_fare"), F.lit("ok").alias("status"))), lambda c: c["total_fare"].isNotNull())
+
+    def single(cabin: str, fare: Column, status: str) -> Column:
+        return F.array(F.struct(F.lit(cabin).alias("fare_class"), fare.alias("total_fare"), F.lit(status).alias("status")))
+
+    none, shown = F.lit(None).cast("double"), amount(F.col("first_price"))
+    rows = (F.when(F.col("sold_out"), single("", none, "sold_out")).when(F.size(chips) > 0, chips)
+            .when(shown.isNotNull(), single("economy", shown, "ok")).otherwise(single("", none, "parse_error")))
+    quotes = kept.select("*", F.inline(rows)).withColumns({
+        "carrier_code": F.substring("flight_num", 1, 2), "carrier_name": F.lit("IndiGo"), "source": F.lit("airline_direct")})
+    return _as_quotes(quotes), discarded
+
+
 # --- pages without tags -------------------------------------------------------------
 
-def extract_lines(pages: DataFrame) -> DataFrame:
+def extract_lines(pages: DataFrame, lines_before: int | None = None, lines_after: int | None = None,
+                  most_fares: int | None = None) -> DataFrame:
     """Quotes from pages read as plain lines (``page_text``).
 
-    A short line with a flight number opens an offer; its time is the first clock time in
-    the twelve lines before, its fares the first three distinct amounts in the lines that
-    follow, up to the next flight.  A page without fares gives one row that says why.
+    A short line with a flight number opens an offer; its time is the first clock time in the lines
+    since the flight before, its fares all distinct amounts in the lines that follow, up to the next
+    flight.  The three numbers narrow that for a caller who wants it.  A page without fares gives
+    one row that says why.
     """
     flight = r"\bSG\s*[-]?\s*(\d{2,4})\b"
     page = pages.withColumn("_lines", F.filter(
@@ -178,10 +186,13 @@ def extract_lines(pages: DataFrame) -> DataFrame:
         return F.slice(lines, first + 1, F.greatest(stop - first, F.lit(0)))
 
     def offers(start: Column) -> Column:
-        before = slice_of(F.greatest(start - 12, F.lit(0)), start)
+        previous = F.coalesce(F.array_max(F.filter(starts, lambda i: i < start)) + 1, F.lit(0))
+        if lines_before is not None:
+            previous = F.greatest(start - lines_before, F.lit(0))
+        before = slice_of(previous, start)
         clock = F.get(F.filter(before, lambda t: t.rlike(r"^\d{2}:\d{2}$")), F.lit(0))
         following = F.array_min(F.filter(starts, lambda i: i > start))
-        stop = F.least(F.size(lines), start + 25, following)
+        stop = F.least(F.size(lines), following, *([] if lines_after is None else [start + lines_after]))
         positions = F.when(stop > start + 1, F.sequence(start + 1, stop - 1)).otherwise(
             F.array().cast("array<int>"))
 
@@ -192,7 +203,9 @@ def extract_lines(pages: DataFrame) -> DataFrame:
             value = F.when(marked & digits.rlike(r"^\d+$"), digits.try_cast("double"))
             return F.when(plausible_direct(value), value)
 
-        fares = F.slice(F.array_distinct(F.array_compact(F.transform(positions, amount))), 1, 3)
+        fares = F.array_distinct(F.array_compact(F.transform(positions, amount)))
+        if most_fares is not None:
+            fares = F.slice(fares, 1, most_fares)
         number = F.concat(F.lit("SG "), F.regexp_extract(F.get(lines, start), flight, 1))
         return F.transform(fares, lambda fare: F.struct(
             number.alias("flight_num"),
@@ -218,13 +231,9 @@ def extract_inline(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The site shows totals only, so base fare and taxes are estimated and marked as such.
     """
-    opening = r'<div[^>]*class="[^"]*w-full[^"]*flex'
-    shape = r"(?s)(QP\d+).*?(\d{2}:\d{2})([A-Z]{3}).*?(\d{2}:\d{2})([A-Z]{3}).*?₹([\d,]+)"
-    cards = (pages.select(*SEARCH, F.posexplode(F.split("html", f"(?={opening})"))
-                          .alias("position", "_card"))
-             .where(F.col("_card").rlike(f"^{opening}"))
-             .withColumn("card_text", visible_text(F.col("_card")))
-             .where(F.col("card_text").rlike(shape)))
+    shape = f"(?s){C.INLINE_SHAPE}"
+    cards = pages.select(*SEARCH, F.posexplode(markup.run_on_cards(
+        F.col("html"), C.INLINE_CARD_CLASSES, C.INLINE_SHAPE)).alias("position", "card_text"))
     part = [F.regexp_extract("card_text", shape, i) for i in range(1, 7)]
     read = cards.select(*SEARCH, "position", "card_text", part[0].alias("flight_num"),
                         part[1].alias("departure_time"), part[2].alias("actual_origin"),
@@ -233,7 +242,7 @@ def extract_inline(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                         F.lit("Akasa Air").alias("source_name"))
     kept, discarded = split_alternate_airports(read)
     base = S.estimated_base_fare(F.col("total_fare"))
-    quotes = kept.where(F.col("card_text").contains("Non-stop")).withColumns({
+    quotes = non_stop_only(kept).withColumns({
         "status": F.lit("ok"), "carrier_code": F.lit("QP"), "carrier_name": F.lit("Akasa Air"),
         "source": F.lit("airline_direct"), "base_fare": base,
         "taxes_and_fees": F.col("total_fare") - base, "fare_split_estimated": F.lit(True)})
@@ -245,7 +254,8 @@ def _as_quotes(rows: DataFrame) -> DataFrame:
     empty = F.lit(None).cast("double")
     has = set(rows.columns)
     return rows.select(
-        *SEARCH, "carrier_code", "carrier_name", "flight_num", F.lit("economy").alias("fare_class"),
+        *SEARCH, "carrier_code", "carrier_name", "flight_num",
+        F.col("fare_class") if "fare_class" in has else F.lit("economy").alias("fare_class"),
         *[F.col(n) if n in has else empty.alias(n) for n in ("base_fare", "taxes_and_fees")],
         "total_fare",
         (F.col("fare_split_estimated") if "fare_split_estimated" in has else F.lit(False))
@@ -276,7 +286,7 @@ def extraction_health(pages: DataFrame, rules: dict[str, tuple[str, str]]) -> Da
     """Does each field's element still match a sensible number of times on every page?
 
     ``rules`` maps a field to (element pattern with one group for its content, text pattern).
-    Healthy means 2 to 20 matches of which at least one of the first ten reads like the field.
+    Healthy means 2 to 20 matches of which at least one reads like the field.
     """
     low, high = C.MATCH_BAND
     checks = []
@@ -284,7 +294,7 @@ def extraction_health(pages: DataFrame, rules: dict[str, tuple[str, str]]) -> Da
         texts = F.transform(F.regexp_extract_all("html", F.lit(element), F.lit(1)),
                             lambda t: visible_text(t))
         count = F.size(texts)
-        fits = F.exists(F.slice(texts, 1, 10), _reads_like(wording))
+        fits = F.exists(texts, _reads_like(wording))
         reason = (F.when(count < low, F.lit("too_few")).when(count > high, F.lit("too_many"))
                   .when(~fits, F.lit("text_differs")).otherwise(F.lit("ok")))
         checks.append(F.struct(F.lit(field).alias("field"), count.alias("match_count"),

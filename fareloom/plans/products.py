@@ -31,9 +31,9 @@ def index_latest(index: DataFrame) -> DataFrame:
 
 
 def index_history(index: DataFrame, route: str | None = None, days: int = 30) -> DataFrame:
-    """The trailing records (1..365), for one route or with all route columns."""
-    if not 1 <= days <= 365:
-        raise ValueError("days must lie between 1 and 365")
+    """The trailing ``days`` records, for one route or with all route columns."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
     trailing = index.orderBy(F.desc("date")).limit(days)
     if route is None:
         return trailing
@@ -72,9 +72,9 @@ def daily_headline(composite: DataFrame) -> DataFrame:
 
 def quality_flags(flagged: DataFrame, order: list[str], min_confidence: float | None = None,
                   flag: str | None = None, limit: int = 100) -> DataFrame:
-    """Flagged records (1..1000) in the given total order."""
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must lie between 1 and 1000")
+    """The first ``limit`` flagged records in the given total order."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     rows = filters.with_flag(flagged, flag)
     if min_confidence is not None:
         rows = filters.min_confidence(rows, min_confidence)

@@ -186,12 +186,13 @@ def card_pages(quotes: DataFrame) -> DataFrame:
     arrival = F.when(part % 10 == 0, F.lit("XXX")).otherwise(F.col("destination"))
     operator = F.when(part % 4 == 0, F.lit("Air India Express")).otherwise(F.lit("Air India"))
     price = F.when(part % 6 == 0, F.lit("")).otherwise(
-        F.concat(F.lit('<div class="ai-pb-price">'), "price_text", F.lit("</div>")))
+        F.concat(F.lit("<div class='ai-pb-price'><span><i>₹</i></span><span>"), F.substring("price_text", 2, 99),
+                 F.lit("</span></div>")))
 
     def card(number: Column) -> Column:
         return F.concat(
-            F.lit('<ai-pb-flight-card><div class="x ai-pb-flight-id"> AI '), number,
-            F.lit('</div><span class="ai-pb-departure-city-code">'), F.col("origin"),
+            F.lit('<ai-pb-flight-card><br><div class="x ai-pb-flight-id"><b> AI '), number,
+            F.lit('</b><img src="a>b"></div><span class="ai-pb-departure-city-code">'), F.col("origin"),
             F.lit('</span><span class="ai-pb-arrival-city-code">'), arrival,
             F.lit('</span><i class="ai-pb-operated-by-info">'), operator,
             F.lit('</i><b class="ai-pb-departure-time">07:00</b>'), price,
@@ -208,9 +209,9 @@ def agent_pages(quotes: DataFrame) -> DataFrame:
 
     def card(price: Column) -> Column:
         return F.concat(
-            F.lit('<div class="a listingCard"><p class="airlineName">Akasa Air</p>'
-                  '<p class="flightCode">qp '), part.cast("string"),
-            F.lit('</p><p class="deptTime">09:15</p><p class="y">'), price, F.lit("</p></div>"))
+            F.lit('<div class="a listingCard"><div><p class="airlineName"><span>Akasa Air</span></p>'
+                  "<p class='flightCode'>qp "), part.cast("string"),
+            F.lit('</p></div><p class="deptTime"><span>09:15</span></p><p class="y">'), price, F.lit("</p></div>"))
 
     cheap, dear = F.lit("₹ 999"), F.col("price_text")
     html = F.concat(card(cheap), card(F.when(part % 2 == 0, dear).otherwise(F.lit("soon"))),
@@ -239,8 +240,48 @@ def inline_pages(quotes: DataFrame) -> DataFrame:
     arrival = F.when(part % 10 == 0, F.lit("XXX")).otherwise(F.col("destination"))
     stops = F.when(part % 4 == 0, F.lit("1 stop")).otherwise(F.lit("Non-stop"))
     html = F.concat(
-        F.lit('<div class="z"><div class="w-full p flex"><b>QP'), part.cast("string"),
+        F.lit("<div class='z'><div class='flex p w-full'><div class='w-full flex'></div><b>QP"), part.cast("string"),
         F.lit("</b><i>06:30</i>"), F.col("origin"), F.lit("<i>"), stops,
         F.lit("</i><i>08:45</i>"), arrival, F.lit("<b>"), F.col("price_text"),
         F.lit("</b></div></div>"))
     return s.select(*_SEARCH, html.alias("html"))
+
+
+def chip_pages(quotes: DataFrame) -> DataFrame:
+    """Pages of an airline with fare chips: two cabins, sold out, hidden chips, or no price at all."""
+    s, part = _searches(quotes), F.col("part_key")
+    arrival = F.when(part % 10 == 0, F.lit("XXX")).otherwise(F.col("destination"))
+
+    def chip(cabin: str, price) -> Column:
+        return F.concat(F.lit(f"<div><div><span class='x fare-category-chip'>{cabin}</span></div>"
+                              "<div class='selected-fare__fare-price'><i>₹</i>"), price, F.lit("</div></div>"))
+
+    digits = F.regexp_replace("price_text", "[₹]", "")
+    body = (F.when(part % 5 == 0, F.lit("<p>Sold Out</p>"))
+            .when(part % 5 == 1, F.concat(F.lit("<div class='selected-fare__fare-price'>"), digits, F.lit("</div>")))
+            .when(part % 5 == 2, F.lit("<p>soon</p>"))
+            .otherwise(F.concat(chip("Saver", digits), chip("Stretch", F.lit("20,500")))))
+    html = F.concat(
+        F.lit('<div data-journey-key="k" class="srp__search-result-list__item"><div class="details-wrapper__flight-departure">'
+              '<div class="time">06:05</div><p>'), "origin", F.lit('</p></div><div class="details-wrapper__flight-arrival"><p>'),
+        arrival, F.lit("</p></div><p>6E "), F.lpad((part % 900 + 100).cast("string"), 3, "0"), F.lit("</p>"), body, F.lit("</div>"))
+    return s.select(*_SEARCH, html.alias("html"))
+
+
+def second_agent_pages(quotes: DataFrame) -> DataFrame:
+    """Pages of another agent: cards known by their id, names and prices under other classes."""
+    s, part = _searches(quotes), F.col("part_key")
+    html = F.concat(
+        F.lit('<div id="listing-card-0"><b class="boldFont">Vistara</b><div class="code"><span>uk '), part.cast("string"),
+        F.lit('</span></div><div class="price-note">from</div><p class="price">Rs <b>'), F.regexp_replace("price_text", "[₹]", ""),
+        F.lit("</b></p></div>"))
+    return s.select(*_SEARCH, html.alias("html"))
+
+
+def priced_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The given pages with a fare card put into each, between filler that grows with the page id."""
+    number = F.col("page_id").cast("long")
+    card = F.concat(F.lit("<div class='c'><div>10:30 to 12:45</div><div>₹"), (number % 9000 + 1000).cast("string"), F.lit("</div></div>"))
+    filler = F.repeat(F.lit("<p>filler</p>"), (number % 40 * 60).cast("int"))
+    return table(spark, folder, "pages").select("page_id", F.concat(
+        F.coalesce("html", F.lit("")), F.lit("<div>"), filler, card, filler, F.lit("</div>")).alias("html"))

@@ -177,10 +177,30 @@ def test_extraction_health(spark, n, text, reason):
     assert (row["match_count"], row["reason"], row["is_valid"]) == (n, reason, reason == "ok")
 
 
-def test_long_pages_shrink_to_their_cards(spark):
-    card = "<div>10:30 flight to somewhere nice, with a lunch and a window seat ₹5,000</div>"
-    html = "<script>var x = '<div>';</script>" + "<p>filler</p>" * 2000 + card + "<!-- note -->"
-    frame = _pages(spark, html)
-    short, whole = frame.select(pages.clean_html(F.col("html")),
-                                pages.clean_html(F.col("html"), None)).first()
-    assert short == card and whole == "<p>filler</p>" * 2000 + card
+@pytest.mark.parametrize("filler", [0, 1, 3000])
+def test_a_card_is_found_at_any_page_size(spark, filler):
+    card = "<li><div>10:30 nice</div><div>₹5,000</div></li>"
+    rest = "<p>filler</p>" * filler
+    html = "<script>var x = '<div>10:30 ₹1</div>';</script><div>" + rest + card + rest + "<!-- note --></div>"
+    pieces, whole = _pages(spark, html).select(pages.card_pieces(F.col("html")), pages.clean_html(F.col("html"))).first()
+    assert pieces == [card] and whole == f"<div>{rest}{card}{rest}</div>"
+
+
+def test_nested_elements_and_single_quotes(spark):
+    html = ("<ai-pb-flight-card><div class='ai-pb-flight-id'><b>AI</b> <i>101</i></div>"
+            '<div class="ai-pb-price"><span>₹</span><span>5,432</span></div></ai-pb-flight-card>')
+    row = pages.extract_cards(_pages(spark, html))[0].first()
+    assert (row["flight_num"], row["total_fare"], row["status"]) == ("AI101", 5432.0, "ok")
+    html = ('<div class="flex w-full"><div class="w-full flex"><div class="w-full x flex">QP1234</div><div>06:30DEL</div>'
+            '<div>Non-stop</div><div>08:45BLR</div><b>₹4,000</b></div></div>')
+    rows = pages.extract_inline(_pages(spark, html))[0].collect()
+    assert [(r["flight_num"], r["total_fare"]) for r in rows] == [("QP1234", 4000.0)]
+
+
+def test_lines_have_no_bounds_of_their_own(spark):
+    far = "\n".join(["SG 101"] + ["x"] * 40 + ["₹1,000", "₹2,000", "₹3,000", "₹4,000", "06:10"] + ["y"] * 30 + ["SG 102", "₹5,000"])
+    rows = pages.extract_lines(_pages(spark, far)).orderBy("total_fare").collect()
+    assert [(r["flight_num"], r["departure_time"], r["total_fare"]) for r in rows] == [
+        ("SG 101", "N/A", k * 1000.0) for k in range(1, 5)] + [("SG 102", "06:10", 5000.0)]
+    narrow = pages.extract_lines(_pages(spark, far), lines_before=12, lines_after=25, most_fares=3).collect()
+    assert [(r["departure_time"], r["total_fare"]) for r in narrow] == [("N/A", 5000.0)]

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+RUN_PART, RUN_PARTS = "run_part", 256
+
+
+def with_run_part(quotes: DataFrame) -> DataFrame:
+    """Add the partition value of a quote's run (a part of its ingest key)."""
+    part = F.pmod(F.crc32(F.coalesce("capture_run", F.lit(""))), F.lit(RUN_PARTS)).cast("int")
+    return quotes.withColumn(RUN_PART, part)
+
+
 def _rank_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     # Spark ranks before the shuffle too (window group limit), so a crowd of copies of
     # one key shrinks to one row per task before any data moves.
@@ -44,7 +53,7 @@ def append_new(master: DataFrame, batch: DataFrame, keys: list[str] | None = Non
     Copies inside the batch itself all stay, as only the master is looked at.
     """
     keys = list(keys or C.INGEST_KEYS)
-    seen = master.select(*[F.col(k).cast("string").alias(f"_seen_{k}") for k in keys]).distinct()
+    seen = master.select(*[F.col(k).cast("string").alias(f"_seen_{k}") for k in keys])
     same = reduce(lambda a, b: a & b,
                   [batch[k].cast("string").eqNullSafe(seen[f"_seen_{k}"]) for k in keys])
     return batch.join(seen, same, "left_anti")

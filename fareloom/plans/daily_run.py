@@ -12,14 +12,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import append_new
+from ..operators.dedup import RUN_PART, append_new, with_run_part
 from ..operators.forecast import forecast_index
 from ..operators.forest import flag_forest
 from ..operators.normalize import normalize, rejected_rows, valid_quotes, with_derived
 from ..operators.outliers import flag_mad
 from ..operators.quality import oldest_verified, quality_scores, stale_sources
 from ..session import materialise, prepare
-from ..sources.captures import read_raw_quotes, unread_files
+from ..sources.captures import file_rejects, read_raw_quotes, without_rejected_files
 from ..sources.metrics import index_metrics, save_metrics, scored_metrics
 from ..sources.registry import read_registries, registry_selectors
 from ..sources.tables import read_table, table_exists, write_stage
@@ -29,25 +29,37 @@ STAGES = ["quotes", "rejects", "scored", "flagged", "anomalies", "index", "exclu
           "metrics"]
 
 
-def ingest(spark: SparkSession, raw_root: str, store: str) -> DataFrame:
-    """Append new quotes to the master table, one folder per UTC capture date."""
-    raw = read_raw_quotes(spark, raw_root)
-    checked = normalize(raw)
-    fresh = with_derived(valid_quotes(checked))
-    master = f"{store}/quotes"
+def append_to_master(fresh: DataFrame, master: str) -> None:
+    """Append the quotes whose key ``master`` lacks, in folders by hash of the run and capture date.
+
+    The run is part of the key, so only the folders of the batch's runs can hold its keys; they are
+    the only ones that are read.
+    """
+    spark = fresh.sparkSession
+    # written out first: joining on top of the long normalising plan is slow to optimise
+    fresh = materialise(with_run_part(fresh), "fresh-quotes")
+    parts = [row[0] for row in fresh.select(RUN_PART).distinct().collect()]  # RUN_PARTS values at most
+    if not parts:
+        return
     if table_exists(spark, master):
-        # written out first: joining on top of the long normalising plan is slow to optimise
-        fresh = append_new(read_table(spark, master), materialise(fresh, "fresh-quotes"))
-    fresh.write.mode("append").partitionBy("scraped_date").parquet(master)
-    rejects = rejected_rows(checked).unionByName(unread_files(spark, raw_root, raw))
-    write_stage(rejects, f"{store}/rejects")
-    return read_table(spark, master)
+        fresh = append_new(read_table(spark, master).where(F.col(RUN_PART).isin(parts)), fresh)
+    fresh.write.mode("append").partitionBy(RUN_PART, "scraped_date").parquet(master)
+
+
+def ingest(spark: SparkSession, raw_root: str, store: str, modified_after: str | None = None) -> DataFrame:
+    """Append new quotes to the master table and write the rejects of rows and whole files."""
+    broken = materialise(file_rejects(spark, raw_root, modified_after), "file-rejects")
+    raw = without_rejected_files(read_raw_quotes(spark, raw_root, modified_after=modified_after), broken)
+    checked = materialise(normalize(raw), "normalised")
+    append_to_master(with_derived(valid_quotes(checked)), f"{store}/quotes")
+    write_stage(rejected_rows(checked).unionByName(broken), f"{store}/rejects")
+    return read_table(spark, f"{store}/quotes")
 
 
 def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str | None = None,
               now: str | None = None, skip_forecast: bool = False, run_id: str | None = None,
               weights: dict[str, float] | None = None, basket: list[str] | None = None,
-              forest_options: dict | None = None) -> dict[str, DataFrame]:
+              forest_options: dict | None = None, modified_after: str | None = None) -> dict[str, DataFrame]:
     """Run all stages below the folder ``store``; returns the stage tables.
 
     ``now`` (ISO text) decides which selectors are stale; give it to repeat an old run.
@@ -62,7 +74,8 @@ def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str
         try:
             built = build()
             if built is not None:
-                write_stage(built, f"{store}/{name}")
+                by_day = "scraped_date" if "scraped_date" in built.columns else None
+                write_stage(built, f"{store}/{name}", by_day)
             table = read_table(spark, f"{store}/{name}")
             values = measure(table) if measure else {"rows": table.count()}
         except Exception as error:
@@ -80,7 +93,7 @@ def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str
         return quality_scores(quotes, stale)
 
     def ingested() -> None:
-        ingest(spark, raw_root, store)
+        ingest(spark, raw_root, store, modified_after)
 
     quotes = stage("quotes", ingested)
     stage("scored", scored, scored_metrics)

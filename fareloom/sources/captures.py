@@ -10,7 +10,12 @@ from ..functions import scalars as S
 from ..schema import RAW_COLUMNS, RAW_QUOTES
 
 
-def _with_origin(frame: DataFrame, path) -> DataFrame:
+#: standard quoting: quotes are doubled inside quotes, and a quoted field may span lines
+CSV_QUOTING = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+
+
+def with_origin(frame: DataFrame, path) -> DataFrame:
     """Add source file and scraper; words that mean "missing" in a CSV become null."""
     cells = {name: F.when(~F.col(name).isin(C.CSV_MISSING_TOKENS), F.col(name))
              for name in RAW_COLUMNS}
@@ -18,42 +23,72 @@ def _with_origin(frame: DataFrame, path) -> DataFrame:
             .withColumn("source_scraper", S.scraper_from_path(F.col("source_file"))))
 
 
-def read_raw_quotes(spark: SparkSession, root: str, day: str | None = None) -> DataFrame:
-    """All capture CSVs below ``root`` (or of one day's folder), every column as text.
+def csv_reader(reader):
+    """A batch or stream reader for capture files: all text, standard quoting.
 
     Files with the older, shorter header are read by the same layout: its columns are the
-    first ones of the newer header.  Unreadable files are skipped; :func:`unread_files`
-    names them.
+    first ones of the newer header.
     """
-    reader = (spark.read.schema(RAW_QUOTES).option("header", True)
-              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-              .option("enforceSchema", True).option("mode", "PERMISSIVE")
-              .option("multiLine", False).option("ignoreCorruptFiles", True))
+    return (reader.schema(RAW_QUOTES).options(**CSV_QUOTING, **FILES)
+            .option("enforceSchema", True).option("mode", "PERMISSIVE"))
+
+
+def read_raw_quotes(spark: SparkSession, root: str, day: str | None = None,
+                    modified_after: str | None = None) -> DataFrame:
+    """All capture CSVs below ``root`` (or of one day's folder), every column as text.
+
+    ``modified_after`` leaves out files that were last written before that time.  Unreadable files are
+    skipped; :func:`file_rejects` names them.
+    """
+    reader = csv_reader(spark.read).option("ignoreCorruptFiles", True)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
     frame = reader.csv(f"{root.rstrip('/')}/{day}" if day else root)
-    return _with_origin(frame, F.col("_metadata.file_path"))
+    return with_origin(frame, F.col("_metadata.file_path"))
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """``source_file`` of all files below ``root``, empty ones too; nothing is opened.
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``source_file`` of all capture files below ``root``, empty ones too; nothing is opened.
 
-    The names come from the file index that planning any scan of the folder builds anyway.
+    Scans leave empty files out, so the names come from the file index that the driver builds for
+    any scan of the folder.
     """
-    index = (spark.read.schema("value string").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).text(root))
+    index = spark.read.schema("value string").options(**FILES).text(root)
     return spark.createDataFrame([(path,) for path in index.inputFiles()], "source_file string")
 
 
-def unread_files(spark: SparkSession, root: str, quotes: DataFrame) -> DataFrame:
-    """Rejects ``(source_file, error, raw_row)`` for files that gave no row at all."""
-    seen = quotes.select(S.file_key(F.col("source_file")).alias("_key")).distinct()
-    return (list_files(spark, root).withColumn("_key", S.file_key(F.col("source_file")))
-            .join(seen, "_key", "left_anti")
-            .select("source_file", F.lit("CSV read error").alias("error"),
-                    F.lit("FILE_LEVEL").alias("raw_row")))
+def file_rejects(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
+    """Rejects ``(source_file, error, raw_row)`` of whole files: empty ones, and ones whose bytes
+    cannot all be read.
+
+    The bytes of a file's text are held against its length.  A file that holds a header and no rows is
+    a good, empty file.
+    """
+    def files(kind: str):
+        reader = spark.read.format(kind).options(**FILES)
+        return reader.option("modifiedAfter", modified_after) if modified_after else reader
+
+    key = S.file_key(F.col("source_file"))
+    sizes = files("binaryFile").load(root).select(S.file_key(F.col("path")).alias("_key"), "length")
+    seen = (files("text").option("wholetext", True).option("ignoreCorruptFiles", True).load(root)
+            .groupBy(S.file_key(F.col("_metadata.file_path")).alias("_key"))
+            .agg(F.sum(F.octet_length("value")).alias("bytes")))
+    half_read = sizes.join(seen, "_key", "left").where(F.coalesce("bytes", F.lit(0)) < F.col("length")).select("_key")
+    names = list_files(spark, root).withColumn("_key", key)
+    # an empty file is in no scan; with modified_after, files that are too old are in none either
+    empty = names.join(sizes, "_key", "left_anti") if modified_after is None else names.limit(0)
+    return (names.join(half_read, "_key", "left_semi").unionByName(empty)
+            .select("source_file", F.lit("CSV read error").alias("error"), F.lit("FILE_LEVEL").alias("raw_row")))
+
+
+def without_rejected_files(quotes: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Rows of files that were read whole: a half-read file is a reject as a whole."""
+    names = rejects.select(S.file_key(F.col("source_file")).alias("_key"))
+    return quotes.join(names, S.file_key(F.col("source_file")) == F.col("_key"), "left_anti")
 
 
 def read_pages(spark: SparkSession, root: str, glob: str = "*.html") -> DataFrame:
     """Saved pages, one row per file: ``page_path, html``."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob).text(root)
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .text(root, wholetext=True)
             .select(F.col("_metadata.file_path").alias("page_path"), F.col("value").alias("html")))

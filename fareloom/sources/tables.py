@@ -23,6 +23,10 @@ def write_stage(df: DataFrame, path: str, day: str | None = None, mode: str = "o
         df.write.mode(mode).parquet(path)
     else:
         df.write.mode(mode).partitionBy(day).parquet(path)
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"{day}=*")
+        if not len(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)):
+            df.limit(0).write.mode("append").parquet(path)  # no day, so no file yet that has the columns
 
 
 def replace_days(df: DataFrame, path: str, day: str, order: list[str] | None = None) -> None:
@@ -37,4 +41,5 @@ def replace_days(df: DataFrame, path: str, day: str, order: list[str] | None = N
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    """Append rows as CSV that :func:`fareloom.sources.captures.csv_reader` reads back."""
+    df.write.mode("append").options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)

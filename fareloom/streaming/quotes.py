@@ -1,4 +1,4 @@
-"""Continuous ingest of capture files."""
+"""Continuous ingest of capture files, batch by batch as the daily run does it."""
 
 from __future__ import annotations
 
@@ -6,36 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import constants as C
-from ..functions import scalars as S
-from ..operators.normalize import normalize, valid_quotes, with_derived
-from ..schema import RAW_COLUMNS, RAW_QUOTES
-from ..session import prepare
+from ..operators.normalize import normalize, rejected_rows, valid_quotes, with_derived
+from ..plans.daily_run import append_to_master
+from ..session import materialise, prepare
+from ..sources.captures import csv_reader, with_origin
+from ..sources.tables import replace_days
 
 
-def stream_quotes(spark: SparkSession, root: str, delay: str = "2 days",
-                  files_per_batch: int = 1000) -> DataFrame:
-    """Valid quotes from a growing folder, without copies of a key inside the delay."""
+def stream_quotes(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
+    """Normalised rows, valid or not, from a growing folder; nothing is dropped by age."""
     prepare(spark)
-    raw = (spark.readStream.schema(RAW_QUOTES).option("header", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-           .option("maxFilesPerTrigger", files_per_batch).csv(root))
-    cells = {name: F.when(~F.col(name).isin(C.CSV_MISSING_TOKENS), F.col(name))
-             for name in RAW_COLUMNS}
-    raw = (raw.withColumns(cells).withColumn("source_file", F.col("_metadata.file_path"))
-           .withColumn("source_scraper", S.scraper_from_path(F.col("source_file"))))
-    return (with_derived(valid_quotes(normalize(raw)))
-            .withWatermark("scraped_ts", delay)
-            .dropDuplicatesWithinWatermark(C.INGEST_KEYS))
-
-
-def append_quotes(quotes: DataFrame, table: str, checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """Append the stream to the master table, split by capture date.
-
-    The file sink's log makes each batch visible exactly once, even after a restart.
+    raw = csv_reader(spark.readStream).option("maxFilesPerTrigger", files_per_batch).csv(root)
+    return normalize(with_origin(raw, F.col("_metadata.file_path")))
+
+
+def append_quotes(checked: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Each batch adds its new valid quotes to the master table and its rejects to the reject table.
+
+    Quotes whose key the master has already stay out, so a batch that is played again adds nothing, and
+    copies inside one batch all stay, as in a daily run.  Rejects lie in one folder per batch, which a
+    batch that is played again replaces.
     """
-    writer = (quotes.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint).option("path", table)
-              .partitionBy("scraped_date"))
+    def add(batch: DataFrame, number: int) -> None:
+        rows = materialise(batch, "stream-batch")  # used for quotes and rejects
+        append_to_master(with_derived(valid_quotes(rows)), f"{store}/quotes")
+        replace_days(rejected_rows(rows).withColumn("batch", F.lit(number)), f"{store}/stream_rejects", "batch")
+
+    writer = checked.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from fareloom.functions import scalars as S
 from fareloom.operators import normalize, pages
 from fareloom.operators.dedup import dedup_in_page
 from fareloom.plans.daily_run import run_daily
-from fareloom.schema import RAW_COLUMNS
+from fareloom.schema import RAW_COLUMNS, RAW_QUOTES
 from fareloom.sources import captures, registry, tables
 from fareloom.sources.metrics import read_metrics
 from fareloom.streaming.quotes import append_quotes, stream_quotes
@@ -64,10 +65,43 @@ def test_reading_validating_and_rejecting(spark, raw):
     assert reasons == {"departure_time: required": 1, "status: unrecognized": 1,
                        "total_fare: not a number; fare_split_estimated: not a boolean": 1}
     assert '"total_fare":"12k"' in " ".join(r["raw_row"] for r in rejects.collect())
-    unread = captures.unread_files(spark, str(raw), frame).collect()
+    unread = captures.file_rejects(spark, str(raw)).collect()
     assert [r["source_file"].rsplit("/", 1)[1] for r in unread] == ["goibibo_empty.csv"]
 
 
+def test_quoted_fields_and_odd_files(spark, tmp_path):
+    name = 'Indi ""X"" Go, Ltd'
+    _write(tmp_path / "a" / "indigo_1.csv", [{"carrier_name": f'"{name}"'}, {"carrier_name": '"two\nlines"', "flight_num": "6E 2"}])
+    _write(tmp_path / "b" / "indigo_2.csv", [])  # a header only
+    (tmp_path / "b" / "indigo_3.csv").write_text("")
+    whole = gzip.compress(("origin\n" + "\n".join(f"D{i}" for i in range(50_000))).encode())
+    (tmp_path / "b" / "indigo_4.csv.gz").write_bytes(whole[:len(whole) // 2])
+    frame = captures.read_raw_quotes(spark, str(tmp_path))
+    assert {(r["carrier_name"], r["flight_num"]) for r in frame.collect()} == {
+        ('Indi "X" Go, Ltd', "6E 1"), ("two\nlines", "6E 2")}
+    rejects = [r["source_file"].rsplit("/", 1)[1] for r in captures.file_rejects(spark, str(tmp_path)).collect()]
+    assert rejects == ["indigo_3.csv"]
+    names = spark.createDataFrame([(str(tmp_path / "a" / "indigo_1.csv"), "e", "r")], "source_file string, error string, raw_row string")
+    assert captures.without_rejected_files(frame, names).count() == 0
+
+
+def test_csv_append_reads_back(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [tuple({**PLAIN, "carrier_name": t}[c] for c in RAW_COLUMNS) for t in ('a "b", c', "x\ny", "")], RAW_QUOTES)
+    for part in (frame.limit(1), frame.subtract(frame.limit(1))):
+        tables.append_csv(part, str(tmp_path / "out"))
+    back = captures.csv_reader(spark.read).csv(str(tmp_path / "out"))
+    assert {r["carrier_name"] for r in back.collect()} == {'a "b", c', "x\ny", None} or {
+        r["carrier_name"] for r in back.collect()} == {'a "b", c', "x\ny", ""}
+
+
+def test_saved_pages(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "p.html").write_text("<b>1\n2</b>")
+    row = captures.read_pages(spark, str(tmp_path)).first()
+    assert row["html"] == "<b>1\n2</b>" and row["page_path"].endswith("/d/p.html")
+
+
 def test_single_day_scan(spark, raw):
     assert captures.read_raw_quotes(spark, str(raw), "2026-09-02").count() == 1
 
@@ -90,14 +124,23 @@ def test_replacing_days_touches_no_other_day(spark, tmp_path):
 
 
 def test_stream_gives_what_the_batch_gives(spark, raw, tmp_path):
-    quotes = stream_quotes(spark, str(raw))
-    append_quotes(quotes, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
-    streamed = tables.read_table(spark, str(tmp_path / "t"))
-    batch = normalize.with_derived(normalize.valid_quotes(normalize.normalize(
-        captures.read_raw_quotes(spark, str(raw)))))
+    # one file per batch, the last one with the oldest captures; its quote is in the file twice
+    _write(raw / "2026-09-03" / "indigo_late.csv", [{"scraped_at": "2026-01-01T00:00:00+05:30", "capture_run": "r0"}] * 2)
+    rows = stream_quotes(spark, str(raw), files_per_batch=1)
+    store = str(tmp_path / "t")
     keys = ["source_scraper", "flight_num", "scraped_at", "total_fare", "status"]
-    assert sorted(map(str, streamed.select(keys).collect())) == sorted(
-        map(str, batch.select(keys).collect()))
+
+    def stored():
+        return sorted(map(str, tables.read_table(spark, f"{store}/quotes").select(keys).collect()))
+
+    append_quotes(rows, store, str(tmp_path / "c")).awaitTermination(240)
+    checked = normalize.normalize(captures.read_raw_quotes(spark, str(raw)))
+    batch = normalize.with_derived(normalize.valid_quotes(checked))
+    assert stored() == sorted(map(str, batch.select(keys).collect()))
+    rejects = spark.read.parquet(f"{store}/stream_rejects")
+    assert rejects.count() == normalize.rejected_rows(checked).count()
+    append_quotes(rows, store, str(tmp_path / "again")).awaitTermination(240)  # all batches once more
+    assert len(stored()) == batch.count()
 
 
 def test_daily_run_and_rerun(spark, raw, tmp_path):

@@ -618,6 +618,13 @@ FROM (SELECT *, first_value(fare) OVER (PARTITION BY route ORDER BY date) AS bas
 # --- quality, outliers, models ------------------------------------------------------
 
 oracle("quality_scores", f"SELECT {ID}, confidence_score, quality_flags FROM scored", SCORED)
+oracle("forest_features", """
+SELECT route, carrier_code, CAST(advance_purchase_days AS DOUBLE) AS advance_days,
+  CAST(coalesce(isodow(CAST(travel_date AS DATE)) - 1, 0) AS DOUBLE) AS day_of_week, count(*) AS n_rows,
+  round(CAST(sum(CAST(total_fare AS DECIMAL(20, 2))) AS DOUBLE), 2) AS fares
+FROM quotes WHERE status = 'ok' AND total_fare IS NOT NULL GROUP BY 1, 2, 3, 4""", QUOTES)
+oracle("forest_summary", """
+SELECT route, count(*) AS n_rows, 0 AS n_outside, 0 AS n_scored_without_fare FROM quotes GROUP BY 1""", QUOTES)
 oracle("mad_flags", f"""
 SELECT {ID}, CASE WHEN far THEN round(greatest(0, confidence_score - 0.25), 4)
     ELSE confidence_score END AS confidence_score,

@@ -593,6 +593,20 @@ def iqr_flags(spark, folder):
     return outliers.flag_iqr(_quotes(spark, folder)).select(*ID, "outlier_flag")
 
 
+@query
+def forest_features(spark, folder):
+    return forest.forest_points(_unflagged(spark, folder)).groupBy("route", "carrier_code", "advance_days", "day_of_week").agg(
+        F.count("*").alias("n_rows"), S.rounded(F.sum(F.col("fare").cast("decimal(20,2)")).cast("double"), 2).alias("fares"))
+
+
+@query
+def forest_summary(spark, folder):
+    priced = (F.col("status") == "ok") & F.col("total_fare").isNotNull()
+    return forest.flag_forest(_unflagged(spark, folder)).groupBy("route").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.abs("anomaly_score") > 0.5).alias("n_outside"),
+        F.count_if(~F.coalesce(priced, F.lit(False)) & (F.col("anomaly_score") != 0)).alias("n_scored_without_fare"))
+
+
 @query
 def forest_flags(spark, folder):
     return _flag_text(forest.flag_forest(_unflagged(spark, folder))).select(

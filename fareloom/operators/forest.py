@@ -1,8 +1,7 @@
 """Isolation forest per route (Liu, Ting and Zhou, 2008).
 
-Fitting needs a bounded number of rows per route, because every tree of the published
-method looks at 256 rows; the rows are picked by a hash, so a lost task picks the same
-ones again.  Scoring covers every distinct feature combination.  Both steps are grouped:
+Every tree of the published method looks at 256 rows of its route.  A hash decides which trees a row
+enters, so a lost task picks the same rows again, and every (route, tree) is fitted on its own.  Scoring covers every distinct feature combination.  Both steps are grouped:
 a route with very many combinations is cut into parts that each meet their own copy of
 the route's trees, so neither the trees nor a busy route has to fit anywhere as a whole.
 """
@@ -11,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -67,17 +66,13 @@ def _grow(sample: np.ndarray, rng: np.random.Generator) -> tuple[list, ...]:
     return feature, threshold, left, right, depth
 
 
-def _fit(trees: int, subsample: int, seed: int):
-    def fit(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values([*_POINT, "_copy"], kind="stable")
-        carriers = sorted(c for c in pool["carrier_code"].unique() if c is not None)
-        points = _matrix(pool, carriers)
-        rng = np.random.default_rng([seed, len(pool)])
-        size, out = min(subsample, len(points)), []
-        for tree in range(trees):
-            chosen = rng.choice(len(points), size=size, replace=False)
-            out.append((pool["route"].iloc[0], tree, *_grow(points[chosen], rng), carriers))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _TREES.split(", ")])
+def _fit(seed: int):
+    def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values([*_POINT, "_copy"], kind="stable")
+        route, tree, carriers = sample["route"].iloc[0], int(sample["tree"].iloc[0]), list(sample["_carriers"].iloc[0])
+        rng = np.random.default_rng([seed, tree, len(sample)])
+        return pd.DataFrame([(route, tree, *_grow(_matrix(sample, carriers), rng), carriers)],
+                            columns=[c.split()[0] for c in _TREES.split(", ")])
     return fit
 
 
@@ -124,20 +119,27 @@ def forest_scores(scored: DataFrame, min_rows: int = C.FOREST_MIN_ROWS,
     points = (forest_points(scored).dropna(subset=["route"])
               .groupBy(*_POINT).agg(F.count(F.lit(1)).alias("_copies")))
     sizes = (points.groupBy("route")
-             .agg(F.sum("_copies").alias("_route_rows"), F.count(F.lit(1)).alias("_route_points"))
+             .agg(F.sum("_copies").alias("_route_rows"), F.count(F.lit(1)).alias("_route_points"),
+                  F.array_sort(F.collect_set("carrier_code")).alias("_carriers"))
              .where(F.col("_route_rows") >= min_rows))
-    sized = points.join(sizes, "route")
-
-    # The pool has one row per place in every tree (all rows of a smaller route).  A point
-    # enters in proportion to its copies; a hash settles the fraction left over.
-    share = F.least(F.lit(1.0), F.lit(float(trees * subsample)) / F.col("_route_rows"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), *_POINT), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    places = F.floor(F.col("_copies") * share + chance).cast("int")
-    pool = (sized.withColumn("_places", places).where(F.col("_places") > 0)
-            .select(*_POINT, F.explode(F.sequence(F.lit(1), F.col("_places"))).alias("_copy")))
+    sized = points.join(sizes.drop("_carriers"), "route")
+
+    # A row is in a tree with the chance subsample / rows of the route (all trees of a small route): the
+    # expected number of its trees, rounded by a hash, and as many neighbouring trees from a hashed start.
+    def chance(*salt) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *salt, *_POINT, "_copy"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    expected = F.lit(float(trees)) * F.least(F.lit(1.0), F.lit(float(subsample)) / F.col("_route_rows"))
+    rows = sized.join(sizes.select("route", "_carriers"), "route").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    entered = rows.withColumn("_trees", F.floor(expected + chance()).cast("int")).where(F.col("_trees") > 0)
+    start = F.floor(chance(F.lit("start")) * trees)
+    samples = entered.select(*_POINT, "_copy", "_carriers", F.explode(F.transform(
+        F.sequence(F.lit(0), F.least("_trees", F.lit(trees)) - 1), lambda k: F.pmod(start + k, F.lit(trees)).cast("int"))).alias("tree"))
     # a fixed number of partitions: fitting is heavy per row, so few rows must still spread out
     tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forest = pool.repartition(tasks, "route").groupBy("route").applyInPandas(_fit(trees, subsample, seed), _TREES)
+    forest = (samples.repartition(tasks, "route", "tree").groupBy("route", "tree")
+              .applyInPandas(_fit(seed), _TREES))
 
     parts = F.ceil(F.col("_route_points") / F.lit(part_rows)).cast("int")
     cut = sized.withColumn("_part", F.pmod(F.xxhash64(*_POINT), parts).cast("int"))

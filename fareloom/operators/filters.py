@@ -36,16 +36,23 @@ def excluded_audit(quotes: DataFrame) -> DataFrame:
             .withColumn("exclusion_reason", reason))
 
 
+def in_direct_basket() -> Column:
+    return (_is_ok() & (F.col("source") == "airline_direct") & ~F.col("outlier_flag")
+            & ~F.col("carrier_name").eqNullSafe(C.EXCLUDED_CARRIER))
+
+
+def in_agent_basket() -> Column:
+    return _is_ok() & (F.col("source") == "ota") & ~F.col("outlier_flag")
+
+
 def direct_basket(flagged: DataFrame) -> DataFrame:
     """Airline quotes that enter the daily index."""
-    return flagged.where(_is_ok() & (F.col("source") == "airline_direct")
-                         & ~F.col("outlier_flag")
-                         & ~F.col("carrier_name").eqNullSafe(C.EXCLUDED_CARRIER))
+    return flagged.where(in_direct_basket())
 
 
 def agent_basket(flagged: DataFrame) -> DataFrame:
     """Agent quotes that enter the premium."""
-    return flagged.where(_is_ok() & (F.col("source") == "ota") & ~F.col("outlier_flag"))
+    return flagged.where(in_agent_basket())
 
 
 def crosscheck_candidates(quotes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..operators.dedup import keep_latest
-from ..operators.filters import agent_basket, direct_basket
+from ..operators.filters import agent_basket, direct_basket, in_agent_basket, in_direct_basket
 from ..operators.order_stats import exact_median
 from ..operators.outliers import IQR_KEYS, flag_iqr
 from .fare_index import weighted_fare
@@ -32,9 +32,19 @@ def flagged_quotes(quotes: DataFrame, history_max: DataFrame | None = None,
     return flag_iqr(rows, keys, history_max)
 
 
-def flight_pairs(flagged: DataFrame, day: str | None = "scraped_date") -> DataFrame:
-    """Median agent and direct fare per flight and horizon, where both sides quote one."""
+def flight_pairs(flagged: DataFrame, day: str | None = "scraped_date", few_quotes: bool = False) -> DataFrame:
+    """Median agent and direct fare per flight and horizon, where both sides quote one.
+
+    ``few_quotes`` is for keys that only a few quotes share, as one flight and horizon on one day: both
+    medians then come from one aggregation.  Without it a key may hold any number of rows.
+    """
     keys = [*([day] if day else []), *FLIGHT_KEYS]
+    if few_quotes:
+        fare = F.col("total_fare")
+        medians = flagged.where(in_agent_basket() | in_direct_basket()).dropna(subset=keys).groupBy(*keys).agg(
+            F.median(F.when(in_agent_basket(), fare)).alias("ota_fare"),
+            F.median(F.when(in_direct_basket(), fare)).alias("dir_fare"))
+        return medians.dropna(subset=["ota_fare", "dir_fare"])
     agent = exact_median(agent_basket(flagged), keys, "total_fare", "ota_fare")
     direct = exact_median(direct_basket(flagged), keys, "total_fare", "dir_fare")
     return agent.join(direct, keys)
@@ -66,7 +76,7 @@ def daily_composite(flagged: DataFrame, weights: dict[str, float] | None = None,
                     day: str = "scraped_date") -> DataFrame:
     """``date, advance_purchase_days, composite_score, ota_premium_pct``."""
     weights = C.WEIGHTS_V2 if weights is None else weights
-    premium = agent_premium(flight_pairs(flagged, day), day)
+    premium = agent_premium(flight_pairs(flagged, day, few_quotes=True), day)
     return (horizon_composite(flagged, weights, day)
             .join(premium, [day, "advance_purchase_days"], "left")
             .select(F.col(day).alias("date"), "advance_purchase_days",

@@ -68,12 +68,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least one partition per core.
-
-    Large inputs have far more splits than that and pass unchanged; a table in one small
-    file would otherwise keep a single core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,14 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """The rows of ``df`` for which ``keep`` holds, with all columns, where they lie."""
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list], helper: str | None = None) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` holds, with all columns but ``helper``, where they lie."""
+    kept = df.drop(helper) if helper else df
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, kept.schema)
 
 
 def over_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:

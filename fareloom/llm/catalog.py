@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, compact_windows, latent_leaks, licenses, mixing, quality_classifier, quality_rules, simhash, slots, token_counts
+from . import (class_lm, compact_windows, language_id, latent_leaks, licenses, mixing, quality_classifier,
+               quality_rules, simhash, slots, token_counts)
 from .frames import table
 
 QUERIES = {}
@@ -80,3 +81,8 @@ def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (class_lm, compact_windows, language_id, latent_leaks, licenses, mixing, quality_classifier,
+from . import (class_lm, compact_windows, conversation_trie, language_id, latent_leaks, licenses, mixing, quality_classifier,
                quality_rules, simhash, slots, token_counts)
 from .frames import table
 
@@ -83,6 +83,11 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, folder, "conversations"))
+
+
 @query
 def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.languages(table(spark, folder, "documents"))

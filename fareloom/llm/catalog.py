@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (class_lm, compact_windows, conversation_trie, language_id, latent_leaks, licenses, mixing, quality_classifier,
-               quality_rules, simhash, slots, token_counts)
+from . import (class_lm, compact_windows, conversation_trie, language_id, latent_leaks, licenses, maxscore,
+               mixing, quality_classifier, quality_rules, simhash, slots, token_counts)
 from .frames import table
 
 QUERIES = {}
@@ -91,3 +91,8 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.languages(table(spark, folder, "documents"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.search_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from . import (class_lm, compact_windows, conversation_trie, language_id, latent_leaks, licenses, maxscore,
                mixing, quality_classifier, quality_rules, simhash, slots, token_counts)
+from . import oracles
 from .frames import table
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {"op11_conversation_trie": oracles.TRIE, "op13_ranked_search": oracles.SEARCH}
 
 
 def query(build):

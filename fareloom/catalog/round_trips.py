@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.normalize import normalize, valid_quotes
+from ..plans import incremental
 from ..schema import RAW_COLUMNS
 from ..session import run_folder
-from ..sources import captures, registry, star, tables
-from .oracles import QUOTES, oracle
-from .queries import _quotes, query
+from ..sources import captures, metrics, registry, star, tables
+from .oracles import INDEX, QUOTES, SCORED, oracle
+from .queries import BASKET, W1, _quotes, _score, query
 
 
 def _folder(spark) -> str:
@@ -76,3 +77,37 @@ def healing_recent(spark, folder):
 
 oracle("healing_recent", """
 SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp FROM events ORDER BY ts DESC LIMIT 50""")
+
+
+@query
+def index_incremental(spark, folder):
+    """The index from three batches: most days, then the last two days, then late quotes of all days."""
+    quotes, store = _quotes(spark, folder), _folder(spark)
+    late, last = F.col("part_key") % 50 == 0, F.col("scraped_date") >= "1998-07-01"
+    for batch, part in (("b1", ~late & ~last), ("b2", ~late & last), ("b3", late)):
+        incremental.update_index(quotes.where(part), store, batch, W1, BASKET)
+    return incremental.current_index(spark, store)
+
+
+oracle("index_incremental", "SELECT * FROM index_daily", INDEX)
+
+
+@query
+def stage_metrics(spark, folder):
+    """Measures of the scored stage, taken while it is written and read back from the metrics table."""
+    path = _folder(spark)
+    values = metrics.write_observed(_score(spark, folder), metrics.scored_metrics,
+                                    lambda rows: tables.write_stage(rows, f"{path}/scored", "scraped_date"))
+    metrics.save_metrics(spark, "run", "scored", 1.0, values, f"{path}/metrics")
+    return metrics.read_metrics(spark, f"{path}/metrics").select(
+        "stage", "rows", F.explode("metrics").alias("metric", "text")).select(
+        "stage", "rows", "metric", F.round(F.col("text").cast("double"), 3).alias("value"))
+
+
+oracle("stage_metrics", """
+SELECT 'scored' AS stage, (SELECT count(*) FROM scored) AS rows, metric, round(value, 3) AS value FROM (
+  SELECT 'mean_confidence_score' AS metric, avg(confidence_score) AS value FROM scored
+  UNION ALL SELECT 'perfect_score_rows', count(*) FILTER (confidence_score = 1.0) FROM scored
+  UNION ALL SELECT 'total_flagged_rows', count(*) FILTER (quality_flags <> '') FROM scored
+  UNION ALL SELECT 'flag.' || flag, count(*) FROM (
+    SELECT unnest(string_split(quality_flags, ',')) AS flag FROM scored) WHERE flag <> '' GROUP BY flag)""", SCORED)

@@ -23,16 +23,19 @@ def mad_table(quotes: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def flag_mad(scored: DataFrame, threshold: float = C.MAD_THRESHOLD,
-             keys: list[str] | None = None) -> DataFrame:
+             keys: list[str] | None = None, limits: DataFrame | None = None) -> DataFrame:
     """Flag fares far from their group's median and lower their confidence.
 
+    ``limits`` (keys, median, reach) stands in for those of ``scored`` itself, where only some days are given.
+
     The confidence before this step is kept in ``base_confidence`` and used whenever it is
     there, so running the step on its own output changes nothing.
     """
     keys = list(keys or MAD_KEYS)
-    limit = (mad_table(scored, keys).where(F.col("n_values") >= C.MAD_MIN_GROUP)
-             .select(*keys, F.col("median").alias("_median"),
-                     (threshold * F.greatest("mad", F.lit(C.MAD_FLOOR))).alias("_reach")))
+    if limits is None:
+        limits = (mad_table(scored, keys).where(F.col("n_values") >= C.MAD_MIN_GROUP)
+                  .withColumn("reach", threshold * F.greatest("mad", F.lit(C.MAD_FLOOR))))
+    limit = limits.select(*keys, F.col("median").alias("_median"), F.col("reach").alias("_reach"))
     gap = F.abs(F.col("total_fare") - F.col("_median"))
     is_far = F.coalesce((F.col("status") == "ok") & (gap > F.col("_reach"))
                         & (gap > C.MAD_MIN_DIFFERENCE), F.lit(False))

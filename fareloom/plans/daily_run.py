@@ -20,17 +20,18 @@ from ..operators.outliers import flag_mad
 from ..operators.quality import oldest_verified, quality_scores, stale_sources
 from ..session import materialise, prepare
 from ..sources.captures import file_rejects, read_raw_quotes, without_rejected_files
-from ..sources.metrics import index_metrics, save_metrics, scored_metrics
+from ..sources.metrics import index_metrics, row_metrics, save_metrics, scored_metrics, write_observed
 from ..sources.registry import read_registries, registry_selectors
-from ..sources.tables import read_table, table_exists, write_stage
+from ..sources.tables import read_table, replace_partitions, table_exists, write_stage
 from .fare_index import excluded_fares, fare_index_daily
+from .incremental import current_index, limits_at, update_index
 
 STAGES = ["quotes", "rejects", "scored", "flagged", "anomalies", "index", "excluded", "forecast",
           "metrics"]
 
 
-def append_to_master(fresh: DataFrame, master: str) -> None:
-    """Append the quotes whose key ``master`` lacks, in folders by hash of the run and capture date.
+def append_to_master(fresh: DataFrame, master: str) -> DataFrame:
+    """Append, and return, the quotes whose key ``master`` lacks, in folders by hash of the run and capture date.
 
     The run is part of the key, so only the folders of the batch's runs can hold its keys; they are
     the only ones that are read.
@@ -40,20 +41,87 @@ def append_to_master(fresh: DataFrame, master: str) -> None:
     fresh = materialise(with_run_part(fresh), "fresh-quotes")
     parts = [row[0] for row in fresh.select(RUN_PART).distinct().collect()]  # RUN_PARTS values at most
     if not parts:
-        return
+        return fresh
     if table_exists(spark, master):
-        fresh = append_new(read_table(spark, master).where(F.col(RUN_PART).isin(parts)), fresh)
+        fresh = materialise(append_new(read_table(spark, master).where(F.col(RUN_PART).isin(parts)), fresh), "new-quotes")
     fresh.write.mode("append").partitionBy(RUN_PART, "scraped_date").parquet(master)
+    return fresh
 
 
 def ingest(spark: SparkSession, raw_root: str, store: str, modified_after: str | None = None) -> DataFrame:
-    """Append new quotes to the master table and write the rejects of rows and whole files."""
+    """Append new quotes to the master table, write the rejects of rows and whole files, return the master."""
+    take_in(spark, raw_root, store, modified_after)
+    return read_table(spark, f"{store}/quotes")
+
+
+def take_in(spark: SparkSession, raw_root: str, store: str, modified_after: str | None = None) -> DataFrame:
+    """As :func:`ingest`, but the new quotes are returned."""
     broken = materialise(file_rejects(spark, raw_root, modified_after), "file-rejects")
     raw = without_rejected_files(read_raw_quotes(spark, raw_root, modified_after=modified_after), broken)
     checked = materialise(normalize(raw), "normalised")
-    append_to_master(with_derived(valid_quotes(checked)), f"{store}/quotes")
+    fresh = append_to_master(with_derived(valid_quotes(checked)), f"{store}/quotes")
     write_stage(rejected_rows(checked).unionByName(broken), f"{store}/rejects")
-    return read_table(spark, f"{store}/quotes")
+    return fresh
+
+
+def _stages(spark: SparkSession, store: str, run_id: str):
+    """A function that writes one stage, measured while it is written, and gives its table."""
+
+    def stage(name: str, build, measures=row_metrics, written: bool = False, days: list[str] | None = None) -> DataFrame:
+        began = time.monotonic()
+
+        def write(rows: DataFrame) -> None:
+            if days is not None:
+                replace_partitions(rows, f"{store}/{name}", ["scraped_date"], empty=None)
+            else:
+                write_stage(rows, f"{store}/{name}", "scraped_date" if "scraped_date" in rows.columns else None)
+
+        try:
+            built = build()
+            values = {"rows": built.count()} if written else write_observed(built, measures, write)
+        except Exception as error:
+            save_metrics(spark, run_id, name, time.monotonic() - began,
+                         {"status": "failed", "error": type(error).__name__}, f"{store}/metrics")
+            raise
+        save_metrics(spark, run_id, name, time.monotonic() - began, values, f"{store}/metrics")
+        return built if written else read_table(spark, f"{store}/{name}")
+
+    return stage
+
+
+def run_increment(spark: SparkSession, raw_root: str, store: str, registry_root: str | None = None,
+                  now: str | None = None, batch: str | None = None, weights: dict[str, float] | None = None,
+                  basket: list[str] | None = None, modified_after: str | None = None) -> dict[str, DataFrame]:
+    """Take in what is new and redo the days that it touches; the index is that of a full run.
+
+    Quotes are read from the folders of touched days only, which are replaced in ``scored``, ``flagged`` and
+    ``excluded``; index and statistical limits come from the counts that :mod:`.incremental` keeps.  The
+    isolation forest looks at whole routes and belongs to :func:`run_daily`.
+    """
+    prepare(spark)
+    clock = datetime.now(timezone.utc)
+    now, batch = now or clock.isoformat(), batch or clock.strftime("%Y%m%dT%H%M%SZ")
+    stage, state = _stages(spark, store, batch), f"{store}/state"
+    fresh = stage("quotes", lambda: take_in(spark, raw_root, store, modified_after), written=True)
+    began = time.monotonic()
+    days = update_index(fresh, state, batch, weights, basket)
+    # days without a priced ok quote have no part in the index, but their rows are scored as well
+    new_days = [row[0] for row in fresh.select("scraped_date").where("scraped_date is not null").distinct().collect()]
+    days = sorted({*days, *new_days})
+    save_metrics(spark, batch, "index", time.monotonic() - began, {"rows": len(days), "days": ",".join(days)}, f"{store}/metrics")
+    if days:
+        quotes = read_table(spark, f"{store}/quotes").where(F.col("scraped_date").isin(days))
+        stale = None
+        if registry_root:
+            stale = stale_sources(oldest_verified(registry_selectors(read_registries(spark, registry_root))), now)
+        scored = stage("scored", lambda: quality_scores(quotes, stale), scored_metrics, days=days)
+        touched = scored.where(F.col("scraped_date").isin(days))
+        limits = limits_at(spark, state, batch)
+        flagged = stage("flagged", lambda: flag_mad(touched, limits=limits), scored_metrics, days=days)
+        stage("excluded", lambda: excluded_fares(flagged.where(F.col("scraped_date").isin(days))), days=days)
+    tables = {name: read_table(spark, f"{store}/{name}") for name in ("quotes", "rejects", "scored", "flagged", "excluded")
+              if table_exists(spark, f"{store}/{name}")}
+    return tables | ({"index": current_index(spark, state)} if table_exists(spark, f"{state}/index") else {})
 
 
 def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str | None = None,
@@ -67,23 +135,7 @@ def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str
     prepare(spark)
     clock = datetime.now(timezone.utc)
     now, run_id = now or clock.isoformat(), run_id or clock.strftime("%Y%m%dT%H%M%SZ")
-    metrics_path = f"{store}/metrics"
-
-    def stage(name: str, build, measure=None) -> DataFrame:
-        began = time.monotonic()
-        try:
-            built = build()
-            if built is not None:
-                by_day = "scraped_date" if "scraped_date" in built.columns else None
-                write_stage(built, f"{store}/{name}", by_day)
-            table = read_table(spark, f"{store}/{name}")
-            values = measure(table) if measure else {"rows": table.count()}
-        except Exception as error:
-            save_metrics(spark, run_id, name, time.monotonic() - began,
-                         {"status": "failed", "error": type(error).__name__}, metrics_path)
-            raise
-        save_metrics(spark, run_id, name, time.monotonic() - began, values, metrics_path)
-        return table
+    stage = _stages(spark, store, run_id)
 
     def scored() -> DataFrame:
         stale = None
@@ -92,10 +144,7 @@ def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str
             stale = stale_sources(oldest_verified(selectors), now)
         return quality_scores(quotes, stale)
 
-    def ingested() -> None:
-        ingest(spark, raw_root, store, modified_after)
-
-    quotes = stage("quotes", ingested)
+    quotes = stage("quotes", lambda: ingest(spark, raw_root, store, modified_after), written=True)
     stage("scored", scored, scored_metrics)
     scores = read_table(spark, f"{store}/scored")
 
@@ -109,7 +158,7 @@ def run_daily(spark: SparkSession, raw_root: str, store: str, registry_root: str
     index = stage("index", lambda: fare_index_daily(flagged, weights, basket), index_metrics)
     stage("excluded", lambda: excluded_fares(flagged))
     if skip_forecast:
-        save_metrics(spark, run_id, "forecast", 0.0, {"executed": False}, metrics_path)
+        save_metrics(spark, run_id, "forecast", 0.0, {"executed": False}, f"{store}/metrics")
     else:
         stage("forecast", lambda: forecast_index(index))
     return {name: read_table(spark, f"{store}/{name}") for name in STAGES[:-1]

@@ -40,6 +40,27 @@ def replace_days(df: DataFrame, path: str, day: str, order: list[str] | None = N
      .partitionBy(day).parquet(path))
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of the first partition column of a table, in order, read off its folder names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(name.split("=", 1)[1] for name in names if name.startswith(f"{column}="))
+
+
+def replace_partitions(df: DataFrame, path: str, columns: list[str], empty: list[str] | None = None) -> None:
+    """Replace exactly the folders whose values occur in ``df``; those of ``empty`` (values of the first
+    column) go.  One file a folder: rows of a folder meet before they are written."""
+    spark = df.sparkSession
+    (df.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*columns).parquet(path))
+    for value in empty or []:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"{columns[0]}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows as CSV that :func:`fareloom.sources.captures.csv_reader` reads back."""
     df.write.mode("append").options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)

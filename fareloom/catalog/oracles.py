@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.star import BASKET, BASKET_WEIGHTS, BASKET_WEIGHTS_V2
+from . import forest_sql
 
 ORACLES = {}
 ID = "order_key, line_number, part_key, supp_key, price"
@@ -398,7 +399,7 @@ oracle("quotes_with_bounds", f"""
 SELECT {ID}, round(lower_bound, 4) AS lower_bound, round(upper_bound, 4) AS upper_bound
 FROM bounded""", IQR)
 oracle("group_features", f"""
-SELECT {ID}, round(grp_mean) AS grp_mean, round(grp_std) AS grp_std
+SELECT {ID}, round(grp_mean, 2) AS grp_mean, round(grp_std, 2) AS grp_std
 FROM quotes LEFT JOIN (
   SELECT route, carrier_code, advance_purchase_days, avg(total_fare) AS grp_mean,
     coalesce(stddev_samp(total_fare), 0) AS grp_std
@@ -623,8 +624,11 @@ SELECT route, carrier_code, CAST(advance_purchase_days AS DOUBLE) AS advance_day
   CAST(coalesce(isodow(CAST(travel_date AS DATE)) - 1, 0) AS DOUBLE) AS day_of_week, count(*) AS n_rows,
   round(CAST(sum(CAST(total_fare AS DECIMAL(20, 2))) AS DOUBLE), 2) AS fares
 FROM quotes WHERE status = 'ok' AND total_fare IS NOT NULL GROUP BY 1, 2, 3, 4""", QUOTES)
+FOREST = QUOTES + forest_sql.scores()
 oracle("forest_summary", """
-SELECT route, count(*) AS n_rows, 0 AS n_outside, 0 AS n_scored_without_fare FROM quotes GROUP BY 1""", QUOTES)
+SELECT route, count(*) AS n_rows, count(*) FILTER (quality_flags <> '') AS n_flagged,
+  count(*) FILTER (anomaly_score <> 0) AS n_scored, max(anomaly_score) AS highest FROM forest_rows GROUP BY 1""", FOREST)
+oracle("forest_flags", f"SELECT {ID}, route, anomaly_score, quality_flags FROM forest_rows", FOREST)
 oracle("mad_flags", f"""
 SELECT {ID}, CASE WHEN far THEN round(greatest(0, confidence_score - 0.25), 4)
     ELSE confidence_score END AS confidence_score,

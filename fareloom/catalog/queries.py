@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import scalars as S
 from ..operators import coverage, dedup, filters, forecast, forest, normalize, outliers, pages
 from ..operators import quality, running
@@ -350,7 +351,7 @@ def group_features(spark, folder):
     quotes = _quotes(spark, folder)
     features = outliers.group_features(quotes)
     return quotes.join(features, outliers.MAD_KEYS, "left").select(
-        *ID, F.round("grp_mean").alias("grp_mean"), F.round("grp_std").alias("grp_std"))
+        *ID, S.rounded(F.col("grp_mean"), 2).alias("grp_mean"), S.rounded(F.col("grp_std"), 2).alias("grp_std"))
 
 
 @query
@@ -593,6 +594,10 @@ def iqr_flags(spark, folder):
     return outliers.flag_iqr(_quotes(spark, folder)).select(*ID, "outlier_flag")
 
 
+def _forest(spark, folder) -> DataFrame:
+    return _stage(spark, folder, "forest", lambda s, d: forest.flag_forest(_unflagged(s, d)))
+
+
 @query
 def forest_features(spark, folder):
     return forest.forest_points(_unflagged(spark, folder)).groupBy("route", "carrier_code", "advance_days", "day_of_week").agg(
@@ -601,16 +606,15 @@ def forest_features(spark, folder):
 
 @query
 def forest_summary(spark, folder):
-    priced = (F.col("status") == "ok") & F.col("total_fare").isNotNull()
-    return forest.flag_forest(_unflagged(spark, folder)).groupBy("route").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.abs("anomaly_score") > 0.5).alias("n_outside"),
-        F.count_if(~F.coalesce(priced, F.lit(False)) & (F.col("anomaly_score") != 0)).alias("n_scored_without_fare"))
+    flagged = F.array_contains("quality_flags", C.FLAG_MODEL)
+    return _forest(spark, folder).groupBy("route").agg(
+        F.count("*").alias("n_rows"), F.count_if(flagged).alias("n_flagged"),
+        F.count_if(F.col("anomaly_score") != 0).alias("n_scored"), F.max("anomaly_score").alias("highest"))
 
 
 @query
 def forest_flags(spark, folder):
-    return _flag_text(forest.flag_forest(_unflagged(spark, folder))).select(
-        *ID, "route", "anomaly_score", "quality_flags")
+    return _flag_text(_forest(spark, folder)).select(*ID, "route", "anomaly_score", "quality_flags")
 
 
 @query

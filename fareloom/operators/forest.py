@@ -1,13 +1,19 @@
-"""Isolation forest per route (Liu, Ting and Zhou, 2008).
+"""Isolation forest per route (Liu, Ting and Zhou, 2008), repeatable in any engine.
 
-Every tree of the published method looks at 256 rows of its route.  A hash decides which trees a row
-enters, so a lost task picks the same rows again, and every (route, tree) is fitted on its own.  Scoring covers every distinct feature combination.  Both steps are grouped:
-a route with very many combinations is cut into parts that each meet their own copy of
-the route's trees, so neither the trees nor a busy route has to fit anywhere as a whole.
+Every choice is a hash: which trees a row enters, the column a node is cut on (in the order of the
+columns open there) and the place of the cut are read off md5 texts of seed, route, tree and node.  So a
+lost task, another partitioning or another engine grows the same trees.  Trees are a table of
+(route, tree, node, column, cut, depth), the children of node k being 2 k and 2 k + 1.
+
+A tree sees about 256 rows of its route, so a block of trees is a bounded group, grown level by level for
+all its trees at once.  Scoring covers every distinct feature point; a route with very many points is cut
+into parts that each meet their own copy of the route's trees.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,15 +21,17 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..session import materialise
 from .outliers import MAD_KEYS, group_features
 
 FEATURES = ["advance_days", "day_of_week", "fare", "grp_mean", "grp_std"]
 _POINT = ["route", "carrier_code", *FEATURES]
-_TREES = "route string, tree int, feature array<int>, threshold array<double>, " \
-         "left array<int>, right array<int>, depth array<double>, carriers array<string>"
+_NODES = "route string, tree int, node int, column string, cut double, depth double"
 _SCORES = "route string, carrier_code string, advance_days double, day_of_week double, " \
           "fare double, grp_mean double, grp_std double, raw_score double"
 _EULER = 0.5772156649015329
+UNITS = 10_000  #: parts of a rupee in the text that names a point
+BLOCK = 10  #: trees grown together
 
 
 def mean_depth(n: int) -> float:
@@ -33,46 +41,66 @@ def mean_depth(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
 
 
-def _matrix(points: pd.DataFrame, carriers: list[str]) -> np.ndarray:
-    numbers = points[FEATURES].to_numpy(dtype=float)
-    hot = points["carrier_code"].to_numpy()[:, None] == np.array(carriers, dtype=object)[None, :]
-    return np.nan_to_num(np.hstack([numbers, hot.astype(float)]))
-
-
-def _grow(sample: np.ndarray, rng: np.random.Generator) -> tuple[list, ...]:
-    """One tree as flat arrays; a node without a split has feature -1."""
-    limit = int(np.ceil(np.log2(max(len(sample), 2))))
-    feature, threshold, left, right, depth = [], [], [], [], []
-    waiting = [(np.arange(len(sample)), 0, -1, False)]
-    while waiting:
-        rows, level, parent, is_right = waiting.pop()
-        node = len(feature)
-        if parent >= 0:
-            (right if is_right else left)[parent] = node
-        part = sample[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        open_columns = np.flatnonzero(high > low)
-        for store, value in ((feature, -1), (threshold, 0.0), (left, node), (right, node),
-                             (depth, level + mean_depth(len(rows)))):
-            store.append(value)
-        if level >= limit or len(rows) < 2 or len(open_columns) == 0:
-            continue
-        column = int(open_columns[int(rng.random() * len(open_columns))])
-        cut = float(low[column] + (high[column] - low[column]) * rng.random())
-        goes_left = part[:, column] <= cut
-        feature[node], threshold[node] = column, cut
-        waiting.append((rows[~goes_left], level + 1, node, True))
-        waiting.append((rows[goes_left], level + 1, node, False))
-    return feature, threshold, left, right, depth
-
-
-def _fit(seed: int):
+def chance(text: str) -> float:
+    """A number in [0, 1): the first 52 bits of the text's md5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2.0 ** 52
+
+
+def chance_of(*parts) -> Column:
+    """The same as a column expression, of the parts joined by bars."""
+    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
+
+
+def grow(numbers: np.ndarray, carriers: np.ndarray, trees: np.ndarray, limit: int, seed: int, route: str) -> list[tuple]:
+    """(tree, node, column, cut, depth) of all trees whose rows are given; a leaf has no column.
+
+    ``numbers`` has the columns of ``FEATURES``; ``carriers`` are places in the sorted list of names, each
+    a column of its own that parts the carrier (right) from the others (left).
+    """
+    out = []
+    node = np.ones(len(trees), np.int64)
+    alive = np.arange(len(trees))
+    for level in range(limit + 1):
+        if not len(alive):
+            break
+        order = alive[np.lexsort((node[alive], trees[alive]))]
+        t, k, x, c = trees[order], node[order], numbers[order], carriers[order]
+        starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+        sizes = np.diff(np.r_[starts, len(t)])
+        of = np.repeat(np.arange(len(starts)), sizes)
+        low, high = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+        present = np.zeros((len(starts), int(c.max()) + 1), bool)
+        present[of, c] = True
+        opened = np.hstack([high > low, present & (present.sum(1) > 1)[:, None]])
+        count = opened.sum(1)
+        column, cut = np.full(len(starts), -1), np.zeros(len(starts))
+        splits = (sizes >= 2) & (count > 0) & (level < limit)
+        for g in np.flatnonzero(splits):
+            name = f"{route}|{t[starts[g]]}|{k[starts[g]]}"
+            column[g] = np.flatnonzero(opened[g])[int(chance(f"{seed}|column|{name}") * count[g])]
+            if column[g] < x.shape[1]:
+                lo = low[g, column[g]]
+                cut[g] = lo + (high[g, column[g]] - lo) * chance(f"{seed}|cut|{name}")
+        for g in range(len(starts)):
+            out.append((int(t[starts[g]]), int(k[starts[g]]), int(column[g]), float(cut[g]), level + mean_depth(int(sizes[g]))))
+        mine = column[of]
+        numeric = x[np.arange(len(x)), np.clip(mine, 0, x.shape[1] - 1)] > cut[of]
+        right = np.where(mine < x.shape[1], numeric, c == mine - x.shape[1])
+        node[order] = 2 * k + right
+        alive = order[mine >= 0]
+    return out
+
+
+def _fit(seed: int, subsample: int):
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values([*_POINT, "_copy"], kind="stable")
-        route, tree, carriers = sample["route"].iloc[0], int(sample["tree"].iloc[0]), list(sample["_carriers"].iloc[0])
-        rng = np.random.default_rng([seed, tree, len(sample)])
-        return pd.DataFrame([(route, tree, *_grow(_matrix(sample, carriers), rng), carriers)],
-                            columns=[c.split()[0] for c in _TREES.split(", ")])
+        route, names = sample["route"].iloc[0], np.array(sorted(sample["carrier_code"].unique()), object)
+        limit = int(np.ceil(np.log2(max(min(subsample, int(sample["_route_rows"].iloc[0])), 2))))
+        nodes = grow(sample[FEATURES].to_numpy(float), np.searchsorted(names, sample["carrier_code"].to_numpy(object)),
+                     sample["tree"].to_numpy(), limit, seed, route)
+        labels = [*FEATURES, *(f"={name}" for name in names)]
+        return pd.DataFrame([(route, t, k, labels[c] if c >= 0 else None, cut, depth) for t, k, c, cut, depth in nodes],
+                            columns=["route", "tree", "node", "column", "cut", "depth"])
     return fit
 
 
@@ -80,20 +108,30 @@ def _score(subsample: int):
     def score(_key, points: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         if points.empty or forest.empty:
             return points.assign(raw_score=pd.Series(dtype=float))[[*_POINT, "raw_score"]]
-        x = _matrix(points, list(forest["carriers"].iloc[0]))
+        columns = {name: points[name].to_numpy(float) for name in FEATURES}
+        carrier = points["carrier_code"].to_numpy(object)
+        for name in {c for c in forest["column"].dropna() if c.startswith("=")}:
+            columns[name] = (carrier == name[1:]).astype(float)  # right of the cut at 0
+        names = list(columns)
+        x = np.stack([columns[n] for n in names], 1)
+        place = {n: i for i, n in enumerate(names)}
         total, rows = np.zeros(len(x)), np.arange(len(x))
-        for tree in forest.sort_values("tree").itertuples():
-            feature, cut = np.asarray(tree.feature), np.asarray(tree.threshold)
-            left, right = np.asarray(tree.left), np.asarray(tree.right)
-            node = np.zeros(len(x), dtype=int)
-            while (feature[node] >= 0).any():
-                went_left = x[rows, np.maximum(feature[node], 0)] <= cut[node]
-                node = np.where(feature[node] < 0, node,
-                                np.where(went_left, left[node], right[node]))
-            total += np.asarray(tree.depth)[node]
+        grown = forest.sort_values(["tree", "node"])
+        for _, tree in grown.groupby("tree"):
+            ids = tree["node"].to_numpy()
+            column = np.array([place.get(c, -1) for c in tree["column"]])
+            cut, depth = tree["cut"].to_numpy(), tree["depth"].to_numpy()
+            left, right = np.searchsorted(ids, 2 * ids), np.searchsorted(ids, 2 * ids + 1)
+            at = np.zeros(len(x), np.int64)
+            moving = rows if column[0] >= 0 else rows[:0]
+            while len(moving):
+                here = at[moving]
+                goes_right = x[moving, column[here]] > cut[here]
+                at[moving] = here = np.where(goes_right, right[here], left[here])
+                moving = moving[column[here] >= 0]
+            total += depth[at]
         size = min(subsample, int(points["_route_rows"].iloc[0]))
-        norm = mean_depth(size) or 1.0
-        raw = np.power(2.0, -(total / len(forest)) / norm)
+        raw = np.power(2.0, -(total / grown["tree"].nunique()) / (mean_depth(size) or 1.0))
         return points.assign(raw_score=raw)[[*_POINT, "raw_score"]]
     return score
 
@@ -102,44 +140,42 @@ def forest_points(scored: DataFrame) -> DataFrame:
     """Priced ok rows with their features (``fare`` is the fare itself)."""
     rows = scored.where((F.col("status") == "ok") & F.col("total_fare").isNotNull())
     day = F.weekday(F.col("travel_date").try_cast("date"))
-    return (rows.join(group_features(scored), MAD_KEYS, "left")
+    return (rows.join(group_features(scored), MAD_KEYS)
             .select("route", "carrier_code",
                     F.col("advance_purchase_days").cast("double").alias("advance_days"),
                     F.coalesce(day, F.lit(0)).cast("double").alias("day_of_week"),
                     F.col("total_fare").alias("fare"),
-                    # rounded, so that the summing order of a run cannot change a key
-                    S.rounded(F.coalesce("grp_mean", "total_fare"), 6).alias("grp_mean"),
-                    S.rounded(F.coalesce("grp_std", F.lit(0.0)), 6).alias("grp_std")))
+                    S.rounded(F.col("grp_mean"), 6).alias("grp_mean"), S.rounded(F.col("grp_std"), 6).alias("grp_std")))
 
 
 def forest_scores(scored: DataFrame, min_rows: int = C.FOREST_MIN_ROWS,
                   trees: int = C.FOREST_TREES, subsample: int = C.FOREST_SUBSAMPLE,
                   seed: int = 42, part_rows: int = 200_000) -> DataFrame:
     """Distinct feature points of routes with enough rows, each with its ``raw_score``."""
-    points = (forest_points(scored).dropna(subset=["route"])
-              .groupBy(*_POINT).agg(F.count(F.lit(1)).alias("_copies")))
+    # written once: sizes, samples and scoring start from it
+    points = materialise(forest_points(scored).groupBy(*_POINT).agg(F.count(F.lit(1)).alias("_copies")), "points")
     sizes = (points.groupBy("route")
-             .agg(F.sum("_copies").alias("_route_rows"), F.count(F.lit(1)).alias("_route_points"),
-                  F.array_sort(F.collect_set("carrier_code")).alias("_carriers"))
+             .agg(F.sum("_copies").alias("_route_rows"), F.count(F.lit(1)).alias("_route_points"))
              .where(F.col("_route_rows") >= min_rows))
-    sized = points.join(sizes.drop("_carriers"), "route")
+    sized = points.join(sizes, "route")
 
     # A row is in a tree with the chance subsample / rows of the route (all trees of a small route): the
     # expected number of its trees, rounded by a hash, and as many neighbouring trees from a hashed start.
-    def chance(*salt) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), *salt, *_POINT, "_copy"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
+    units = F.round(F.col("fare") * UNITS).cast("long")
+    row = ("route", "carrier_code", F.col("advance_days").cast("int"), F.col("day_of_week").cast("int"), units, "_copy")
+    named = [c if isinstance(c, Column) else F.col(c) for c in row]
     expected = F.lit(float(trees)) * F.least(F.lit(1.0), F.lit(float(subsample)) / F.col("_route_rows"))
-    rows = sized.join(sizes.select("route", "_carriers"), "route").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    entered = rows.withColumn("_trees", F.floor(expected + chance()).cast("int")).where(F.col("_trees") > 0)
-    start = F.floor(chance(F.lit("start")) * trees)
-    samples = entered.select(*_POINT, "_copy", "_carriers", F.explode(F.transform(
-        F.sequence(F.lit(0), F.least("_trees", F.lit(trees)) - 1), lambda k: F.pmod(start + k, F.lit(trees)).cast("int"))).alias("tree"))
+    rows = sized.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    entered = (rows.withColumn("_trees", F.floor(expected + chance_of(seed, "row", *named)).cast("int"))
+               .where(F.col("_trees") > 0))
+    start = F.floor(chance_of(seed, "start", *named) * trees).cast("int")
+    samples = entered.select(*_POINT, "_route_rows", F.explode(F.transform(
+        F.sequence(F.lit(0), F.least("_trees", F.lit(trees)) - 1), lambda k: F.pmod(start + k, F.lit(trees)))).alias("tree"))
     # a fixed number of partitions: fitting is heavy per row, so few rows must still spread out
     tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forest = (samples.repartition(tasks, "route", "tree").groupBy("route", "tree")
-              .applyInPandas(_fit(seed), _TREES))
+    block = F.floor(F.col("tree") / BLOCK).alias("_block")
+    forest = (samples.withColumn("_block", block).repartition(tasks, "route", "_block").groupBy("route", "_block")
+              .applyInPandas(_fit(seed, subsample), _NODES))
 
     parts = F.ceil(F.col("_route_points") / F.lit(part_rows)).cast("int")
     cut = sized.withColumn("_part", F.pmod(F.xxhash64(*_POINT), parts).cast("int"))

@@ -104,8 +104,16 @@ def history_maximum(flagged: DataFrame) -> DataFrame:
 
 
 def group_features(quotes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``keys, grp_mean, grp_std`` of priced ok fares; one single fare has spread 0."""
+    """``keys, grp_mean, grp_std`` of priced ok fares; one single fare has spread 0.
+
+    Sums are taken over whole ten-thousandths, so they do not depend on the order of the rows.
+    """
     keys = list(keys or MAD_KEYS)
-    return (_priced_ok(quotes).dropna(subset=keys).groupBy(*keys)
-            .agg(F.avg("total_fare").alias("grp_mean"),
-                 F.coalesce(F.stddev_samp("total_fare"), F.lit(0.0)).alias("grp_std")))
+    units = F.round(F.col("total_fare") * 10_000).cast("decimal(18,0)")
+    sums = (_priced_ok(quotes).dropna(subset=keys).groupBy(*keys)
+            .agg(F.count(F.lit(1)).cast("decimal(18,0)").alias("_n"), F.sum(units).cast("decimal(28,0)").alias("_s"),
+                 F.sum((units * units).cast("decimal(38,0)")).alias("_q")))
+    squares = (F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")).cast("double")
+    n = F.col("_n").cast("double")
+    return sums.select(*keys, (F.col("_s").cast("double") / n / 10_000).alias("grp_mean"),
+                       F.when(n > 1, F.sqrt(squares / (n * (n - 1))) / 10_000).otherwise(F.lit(0.0)).alias("grp_std"))

@@ -7,6 +7,8 @@ inside Arrow batches; everything after that is column expressions again.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -20,10 +22,30 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "text_from", "text_to", "first", "last", "begin", "end", "parent")
+    __slots__ = ("tag", "raw", "text_from", "text_to", "first", "last", "begin", "end", "parent", "classes")
 
     def has_class(self, pattern: re.Pattern) -> bool:
-        return bool(pattern.search(self.attributes.get("class", "")))
+        return bool(self.classes) and bool(pattern.search(self.classes))
+
+    def attribute(self, name: str) -> str | None:
+        """Value of an attribute; null where the tag does not name it."""
+        if name not in self.raw and name not in self.raw.lower():
+            return None
+        found = None
+        for k, a, b, c in _ATTRIBUTE.findall(self.raw):
+            if k.lower() == name:
+                found = unescape(a or b or c or "")
+        return found
+
+
+@lru_cache(maxsize=50_000)
+def _class_of(raw: str) -> str:
+    """The class that the attributes of a tag name; tags of a site repeat, so few texts are looked into."""
+    found = ""
+    for k, a, b, c in _ATTRIBUTE.findall(raw):
+        if k.lower() == "class":
+            found = unescape(a or b or c or "")
+    return found
 
 
 class Page:
@@ -31,34 +53,49 @@ class Page:
 
     def __init__(self, html: str):
         self.html, self.texts, self.elements = html, [], []
-        stack: list[Element] = []
+        texts, elements, stack = self.texts, self.elements, []
+        # an opener without its end would be looked for again to the end of the page each time
+        lowered = html.lower()
+        last_end = {"<!--": html.rfind("-->"), "<script": lowered.rfind("</script"), "<style": lowered.rfind("</style")}
 
         def close(until: int, end: int):
+            n_texts, n_elements = len(texts), len(elements)
             while len(stack) > until:
                 e = stack.pop()
-                e.text_to, e.last, e.end = len(self.texts), len(self.elements), end
-
-        for m in _TOKEN.finditer(html):
-            closing, tag, attributes, text = m.group(2, 3, 4, 5)
-            if text is not None:
-                self.texts.append(unescape(text) if "&" in text else text)
-            elif tag and closing:
+                e.text_to, e.last, e.end = n_texts, n_elements, end
+
+        at, size, match = 0, len(html), _TOKEN.match
+        while at < size:
+            if html[at] == "<" and html[at + 1:at + 2] in "!sS" and any(
+                    last < at and lowered.startswith(o, at) for o, last in last_end.items()):
+                texts.append("<")
+                at += 1
+                continue
+            m = match(html, at)
+            at = m.end()
+            kind = m.lastindex
+            if kind == 5:
+                text = m.group(5)
+                texts.append(unescape(text) if "&" in text else text)
+            elif kind == 4:
+                closing, tag, attributes = m.group(2, 3, 4)
                 tag = tag.lower()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        close(k + 1, m.start())
-                        close(k, m.end())
-                        break
-            elif tag:
+                if closing:
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k].tag == tag:
+                            close(k + 1, m.start())
+                            close(k, at)
+                            break
+                    continue
                 e = Element()
-                e.tag, e.begin, e.parent = tag.lower(), m.start(), stack[-1] if stack else None
-                e.attributes = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-                e.text_from, e.first = len(self.texts), len(self.elements) + 1
-                self.elements.append(e)
+                e.tag, e.begin, e.parent, e.raw = tag, m.start(), stack[-1] if stack else None, attributes
+                e.classes = _class_of(attributes) if "=" in attributes else ""
+                e.text_from, e.first = len(texts), len(elements) + 1
+                elements.append(e)
                 stack.append(e)
-                if e.tag in _VOID or attributes.rstrip().endswith("/"):
-                    close(len(stack) - 1, m.end())
-        close(0, len(html))
+                if tag in _VOID or attributes.rstrip().endswith("/"):
+                    close(len(stack) - 1, at)
+        close(0, size)
 
     def inside(self, e: Element) -> list[Element]:
         return self.elements[e.first:e.last]
@@ -70,25 +107,24 @@ class Page:
             return "".join(pieces)
         return separator.join(p for p in map(str.strip, pieces) if p)
 
-    def found(self, e: Element, pattern: re.Pattern) -> str | None:
-        """Text of the first element below whose class matches."""
-        for x in self.inside(e):
-            if x.has_class(pattern):
-                return self.text(x, "")
-        return None
-
     def source(self, e: Element) -> str:
         return self.html[e.begin:e.end]
 
 
-def innermost(page: Page, wanted: list[Element]) -> list[Element]:
-    """Those that hold no other one of ``wanted``."""
-    starts = sorted(e.first for e in wanted)
-    keep = []
-    for e in wanted:
-        if not any(e.first < s <= e.last for s in starts):
-            keep.append(e)
-    return keep
+def innermost(wanted: list[Element]) -> list[Element]:
+    """Those of ``wanted`` (in document order) that hold no other one: the next begins after their end."""
+    return [e for e, after in zip(wanted, [*wanted[1:], None]) if after is None or after.first > e.last]
+
+
+def first_fields(page: Page, e: Element, fields: Callable[[str], tuple[int, ...]], n: int) -> list[str | None]:
+    """Text of the first element below ``e`` for each field; ``fields`` names those that a class belongs to."""
+    found: list[str | None] = [None] * n
+    for x in page.inside(e):
+        if x.classes:
+            for k in fields(x.classes):
+                if found[k] is None:
+                    found[k] = page.text(x, "")
+    return found
 
 
 def over_pages(read, kind: str):
@@ -106,14 +142,23 @@ def tagged_cards(html: Column, tag: str, card: str, fallback_id: str | None, fie
     there is no such card, elements of that tag whose id matches ``fallback_id``."""
     wanted = re.compile(card)
     by_id = re.compile(fallback_id) if fallback_id else None
-    patterns = {name: re.compile(p) for name, p in fields.items()}
+    patterns = [re.compile(p) for p in fields.values()]
+    known: dict[str, tuple[int, ...]] = {}
+
+    def named(classes: str) -> tuple[int, ...]:
+        hit = known.get(classes)
+        if hit is None:
+            if len(known) > 50_000:
+                known.clear()
+            hit = known[classes] = tuple(k for k, p in enumerate(patterns) if p.search(classes))
+        return hit
 
     def read(source: str):
         page = Page(source)
-        cards = [e for e in page.elements if e.tag == tag and e.has_class(wanted)]
+        cards = [e for e in page.elements if e.tag == tag and wanted.search(e.classes)]
         if not cards and by_id:
-            cards = [e for e in page.elements if e.tag == tag and by_id.search(e.attributes.get("id", ""))]
-        return [{"position": k, "text": page.text(e, " "), **{n: page.found(e, p) for n, p in patterns.items()}}
+            cards = [e for e in page.elements if e.tag == tag and by_id.search(e.attribute("id") or "")]
+        return [{"position": k, "text": page.text(e, " "), **dict(zip(fields, first_fields(page, e, named, len(patterns))))}
                 for k, e in enumerate(cards)]
 
     kind = "array<struct<position: int, text: string" + "".join(f", {n}: string" for n in fields) + ">>"
@@ -127,9 +172,9 @@ def run_on_cards(html: Column, words: tuple[str, ...], shape: str) -> Column:
 
     def read(source: str):
         page = Page(source)
-        cards = [e for e in page.elements if e.tag == "div" and all(w in e.attributes.get("class", "") for w in words)
+        cards = [e for e in page.elements if e.tag == "div" and all(w in e.classes for w in words)
                  and looks.search(page.text(e))]
-        return [page.text(e).strip() for e in innermost(page, cards)]
+        return [page.text(e).strip() for e in innermost(cards)]
 
     return over_pages(read, "array<string>")(html)
 
@@ -141,7 +186,7 @@ def priced_pieces(html: Column, tags: tuple[str, ...], marks: tuple[str, ...]) -
     def read(source: str):
         page = Page(source)
         hits = [e for e in page.elements if e.tag in tags and all(p.search(page.text(e)) for p in patterns)]
-        return [page.source(e) for e in innermost(page, hits)]
+        return [page.source(e) for e in innermost(hits)]
 
     return over_pages(read, "array<string>")(html)
 
@@ -153,7 +198,7 @@ def chip_cards(html: Column, layout: dict[str, str]) -> Column:
 
     def read(source: str):
         page = Page(source)
-        cards = [e for e in page.elements if e.tag == "div" and e.has_class(p["card"]) and "data-journey-key" in e.attributes]
+        cards = [e for e in page.elements if e.tag == "div" and e.has_class(p["card"]) and e.attribute("data-journey-key") is not None]
         out = []
         for k, e in enumerate(cards):
             below = page.inside(e)

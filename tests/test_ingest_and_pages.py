@@ -247,3 +247,21 @@ def test_lines_have_no_bounds_of_their_own(spark):
         ("SG 101", "N/A", k * 1000.0) for k in range(1, 5)] + [("SG 102", "06:10", 5000.0)]
     narrow = pages.extract_lines(_pages(spark, far), lines_before=12, lines_after=25, most_fares=3).collect()
     assert [(r["departure_time"], r["total_fare"]) for r in narrow] == [("N/A", 5000.0)]
+
+
+def test_page_reader_is_linear_and_keeps_nesting():
+    import re
+    import time
+
+    from fareloom.functions.markup import Page, innermost
+    began = time.monotonic()
+    for piece in ("<!--", "<script ", "<style>", "<", "<div><p>"):
+        assert Page(piece * (1_000_000 // len(piece))).elements is not None
+    assert time.monotonic() - began < 30
+    page = Page("<div class='a x'>1<p>2<div class=\"a\">3<br>4</p></div>5</div><span ID=k data-x='class=a'>6</span><!-- <b> --><b>7")
+    found = [(e.tag, e.classes, page.text(e), page.source(e)) for e in page.elements]
+    # the closing p ends the inner div too, so the first closing div is the outer one's
+    assert found[0][:3] == ("div", "a x", "1234") and found[0][3].endswith("4</p></div>")
+    assert [e[0] for e in found] == ["div", "p", "div", "br", "span", "b"]
+    assert found[2][2] == "34" and found[5][2] == "7" and found[4][1] == "" and page.elements[4].attribute("id") == "k"
+    assert [page.text(e) for e in innermost([e for e in page.elements if e.has_class(re.compile("a"))])] == ["34"]

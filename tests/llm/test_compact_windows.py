@@ -37,6 +37,25 @@ def repeated(texts):
     return {i for ids in seen.values() if len(ids) > 1 for i in ids}, [ids for ids in seen.values() if len(ids) > 1]
 
 
+def near_copies(rows, ids):
+    """Those of ``ids`` with a window of 46 shingles of which another document has four in five on one diagonal."""
+    found = set()
+    for i in ids:
+        own = tokens(next(t for j, t in rows if j == i))
+        places = {}
+        for k, s in enumerate(own):
+            places.setdefault(s, []).append(k)
+        for j, t in rows:
+            marks = {}
+            for k, s in enumerate(tokens(t) if j != i else ()):
+                for at in places.get(s, ()):
+                    marks.setdefault(at - k, set()).add(at)
+            for held in marks.values():
+                if any(sum(x in held for x in range(a, a + 46)) >= 0.8 * 46 for a in held):
+                    found.add(i)
+    return found
+
+
 def corpus(n=150):
     rng = random.Random(6)
 
@@ -69,7 +88,9 @@ def test_every_repeated_passage_is_found_and_clean_texts_stay(spark):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, th int, place string")
     got = C.repeats(docs).collect()
     by = {r.doc_id: r for r in got}
-    assert set(by) == want and len(by) == len(got)
+    # exact repeats all the way; beyond them only documents with a near copy, as told by brute force
+    assert want <= set(by) and len(by) == len(got)
+    assert set(by) - want <= near_copies(rows, set(by) - want)
     for ids in groups:
         assert len({by[i].class_id for i in ids}) == 1
     words = {i: (t or "").lower().split() for i, t in rows}

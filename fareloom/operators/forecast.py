@@ -1,7 +1,8 @@
 """Short forecasts: linear trend plus weekday pattern, fitted with SQL aggregates.
 
-Every quantity of the model is a sum over the points of a target, so any number of targets
-is fitted in parallel and no target is ever gathered in one place.
+Every quantity of the model is a sum over the points of a target: moments per target and weekday give
+trend, season and spread in closed form, so the series is read once and any number of targets is
+fitted in parallel.  What is held per target are its calendar days and seven weekdays.
 """
 
 from __future__ import annotations
@@ -34,40 +35,45 @@ def forecast_series(series: DataFrame, days: int = C.FORECAST_DAYS,
     returned while the table as a whole, or the target, has too few days; one target's
     failure never affects another.
     """
-    dated = series.withColumn("_day", F.col("ds").try_cast("date"))
-    overall = dated.agg(F.countDistinct("ds").alias("n_days"),
-                        F.max_by("completeness", "ds").alias("last_completeness"))
-    points = dated.where(F.col("y").isNotNull() & F.col("_day").isNotNull())
     origin = F.lit("1970-01-01").cast("date")
+    day = F.col("ds").try_cast("date")
+    y = F.when(day.isNotNull(), F.col("y"))
+    daily = (series.groupBy("target", "ds")
+             .agg(F.count(y).alias("_n"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy"),
+                  F.max("completeness").alias("completeness")))
+    overall = daily.agg(F.countDistinct("ds").alias("n_days"), F.max_by("completeness", "ds").alias("last_completeness"))
     t = F.datediff("_day", origin).cast("double")
-    trend = (points.withColumn("_t", t).groupBy("target")
-             .agg(F.countDistinct("ds").alias("_n"), F.min("_t").alias("_t0"),
-                  F.regr_slope("y", "_t").alias("_slope"),
-                  F.avg("_t").alias("_mean_t"), F.avg("y").alias("_mean_y"),
-                  F.min("_day").alias("_first"), F.max("_day").alias("_last"))
-             .where(F.col("_n") >= min_days))
+    points = daily.where("_n > 0").withColumn("_day", day).withColumn("_t", t)
 
-    line = F.col("_mean_y") + F.col("_slope") * (
-        F.datediff("_day", origin).cast("double") - F.col("_mean_t"))
-    detrended = (points.join(trend, "target")
-                 .withColumn("_weekday", F.weekday("_day"))
-                 .withColumn("_rest", F.col("y") - line))
-    # mean and squared spread of the rest per weekday give both season and band
-    season = (detrended.groupBy("target", "_weekday")
-              .agg(F.avg("_rest").alias("_season"), F.count(F.lit(1)).alias("_n_week"),
-                   F.coalesce(F.var_pop("_rest"), F.lit(0.0)).alias("_var")))
-    band = (season.groupBy("target")
-            .agg(F.sqrt(F.sum(F.col("_var") * F.col("_n_week")) / F.sum("_n_week"))
-                 .alias("_sigma")))
-
-    past = detrended.select("target", "_day").distinct().withColumn("is_forecast", F.lit(False))
-    future = trend.select(
-        "target", F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", days)))
-        .alias("_day"), F.lit(True).alias("is_forecast"))
-    calendar = past.unionByName(future).withColumn("_weekday", F.weekday("_day"))
-    fitted = (calendar.join(trend, "target").join(band, "target")
-              .join(season.select("target", "_weekday", "_season"), ["target", "_weekday"], "left")
-              .withColumn("_yhat", line + F.coalesce("_season", F.lit(0.0)))
+    sums = [F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_t")).alias("t"), F.sum("_y").alias("y"),
+            F.sum(F.col("_n") * F.col("_t") * F.col("_t")).alias("tt"), F.sum(F.col("_t") * F.col("_y")).alias("ty"),
+            F.sum("_yy").alias("yy"), F.collect_set("_day").alias("days"), F.count_distinct("ds").alias("n_days")]
+    weekly = points.groupBy("target", F.weekday("_day").alias("weekday")).agg(*sums)
+    fields = ["n", "t", "y", "tt", "ty", "yy"]
+    totals = (weekly.groupBy("target")
+              .agg(*[F.sum(c).alias(c) for c in fields], F.sum("n_days").alias("n_days"),
+                   F.flatten(F.collect_list("days")).alias("days"),
+                   F.array_sort(F.collect_list(F.struct("weekday", "n", "t", "y"))).alias("weeks"))
+              .where(F.col("n_days") >= min_days))
+    mean_t, mean_y = F.col("t") / F.col("n"), F.col("y") / F.col("n")
+    spread_t = F.col("tt") - F.col("t") * mean_t
+    trend = totals.withColumns({
+        "_mean_t": mean_t, "_mean_y": mean_y,
+        "_slope": (F.col("ty") - F.col("t") * mean_y) / F.when(spread_t > 0, spread_t)})
+    trend = trend.withColumn("_seasons", F.transform("weeks", lambda w: F.struct(
+        w["weekday"].alias("weekday"), w["n"].alias("n"),
+        (w["y"] / w["n"] - F.col("_mean_y") - F.col("_slope") * (w["t"] / w["n"] - F.col("_mean_t"))).alias("s"))))
+    # squared rests are what trend and season leave of the squared distances from the mean
+    rest = (F.col("yy") - F.col("y") * F.col("_mean_y") - F.col("_slope") * (F.col("ty") - F.col("t") * F.col("_mean_y"))
+            - F.aggregate("_seasons", F.lit(0.0), lambda a, w: a + w["n"] * w["s"] * w["s"]))
+    trend = trend.withColumns({"_sigma": F.sqrt(F.greatest(F.lit(0.0), rest) / F.col("n")), "_last": F.array_max("days")})
+    future = F.sequence(F.date_add("_last", 1), F.date_add("_last", days))
+    calendar = F.concat(F.transform(F.array_distinct("days"), lambda d: F.struct(d.alias("_day"), F.lit(False).alias("is_forecast"))),
+                        F.transform(future, lambda d: F.struct(d.alias("_day"), F.lit(True).alias("is_forecast"))))
+    season = F.get(F.filter("_seasons", lambda w: w["weekday"] == F.weekday("_day")), F.lit(0))["s"]
+    line = F.col("_mean_y") + F.col("_slope") * (t - F.col("_mean_t"))
+    fitted = (trend.select("target", "_mean_t", "_mean_y", "_slope", "_seasons", "_sigma", F.inline(calendar))
+              .withColumn("_yhat", line + F.coalesce(season, F.lit(0.0)))
               .withColumn("_half", F.lit(C.FORECAST_Z80) * F.col("_sigma")))
     certainty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 2 * F.col("_half") / F.greatest(
         F.abs("_yhat"), F.lit(1.0))))

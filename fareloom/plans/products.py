@@ -119,12 +119,12 @@ def rebased_route_fares(index_long: DataFrame, days: int | None = None) -> DataF
 def route_heatmap(flagged: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Change per route on the latest date against the previous date that has quotes."""
     good = accepted(flagged)
-    last = good.agg(F.max("scraped_date").alias("d"))
-    latest = last.scalar()
-    previous = good.where(F.col("scraped_date") < latest).select(F.max("scraped_date")).scalar()
-    recent = good.where(F.col("scraped_date") >= F.coalesce(previous, latest))
-    fares = exact_median(recent, ["route", "scraped_date"], "total_fare", "fare")
-    is_last = F.col("scraped_date") == latest
+    # two rows, from dates made distinct before the shuffle
+    newest = good.select("scraped_date").where("scraped_date is not null").distinct().orderBy(F.desc("scraped_date")).limit(2)
+    marked = newest.withColumn("is_last", F.row_number().over(Window.orderBy(F.desc("scraped_date"))) == 1)
+    recent = good.join(F.broadcast(marked), "scraped_date")
+    fares = exact_median(recent, ["route", "is_last"], "total_fare", "fare")
+    is_last = F.col("is_last")
     pair = (fares.groupBy("route")
             .agg(F.max(F.when(is_last, F.col("fare"))).alias("current_fare"),
                  F.max(F.when(~is_last, F.col("fare"))).alias("previous_fare"))

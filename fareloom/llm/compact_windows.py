@@ -35,6 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +53,13 @@ SAMPLE, COMMON, SPREAD = 4000, 12, 64
 NONE, OTHER, ALL = range(3)  #: runs that a window sends: OTHER are those its leader does not hold in the same place
 LONGEST = (1 << 18) - 1  #: tokens of a window to either side of c that are kept
 ROW_BATCH = 50_000
+WORD = np.uint32  #: bits of a word's hash that its verification sees
+VERIFIED = 1_000_000
 
 _U = np.uint64
 _SEEDS = [(_U(0x9E3779B97F4A7C15 + 2 * k * 0x1000193), _U(0xC2B2AE3D27D4EB4F + 2 * k * 0x10001)) for k in range(16)]
 _BASE = _U(0x100000001B3)
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(TOKENS)], _U)
+_RUN_BASE, _RUN_INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _KNOWN: dict[bytes, int] = {}
 
 
@@ -284,6 +287,8 @@ def run_pairs(runs: DataFrame) -> DataFrame:
 
 def _segments(there: np.ndarray) -> list[tuple[int, int]]:
     """Disjoint best segments of at least TOKENS tokens with SIMILAR or more of them marked."""
+    if there.all():
+        return [(0, len(there))] if len(there) >= TOKENS else []
     found = []
     todo = [(0, len(there))]
     gain = np.where(there, 1 - SIMILAR, -SIMILAR)
@@ -304,68 +309,128 @@ def _segments(there: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def compare(m: np.ndarray, rep: np.ndarray) -> tuple[list, list]:
-    """Segments (in tokens) of both sides; both empty unless each side has one."""
-    a, b = _segments(np.isin(m, rep)), _segments(np.isin(rep, m))
-    return (a, b) if a and b else ([], [])
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of the ranges ``starts`` .. ``starts + lengths``, one after the other."""
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    return owner, np.arange(len(owner)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
+def _side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all rows in one array, each row's first place in it and its number of tokens.  Tokens across
+    two rows belong to none."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    words = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(WORD).astype(_U)
+    at = (ends - ends[0]).astype(np.int64) // np.dtype(WORD).itemsize
+    tokens = np.zeros(len(words), _U)
+    cut = shingles(words)
+    tokens[:len(cut)] = cut
+    return tokens, at[:-1], np.maximum(0, np.diff(at) - SHINGLE + 1)
+
+
+def _runs(tokens: np.ndarray) -> np.ndarray:
+    """Hash of the TOKENS tokens from each place on: the sum of token k times BASE ** (k + 1)."""
+    n = len(tokens)
+    if n < TOKENS:
+        return np.zeros(n, _U)
+    up = np.cumprod(np.full(n, _RUN_BASE, _U))
+    down = np.concatenate([[_U(1)], np.cumprod(np.full(n - 1, _RUN_INVERSE, _U))])
+    total = np.concatenate([[_U(0)], np.cumsum(tokens * up)])
+    out = np.zeros(n, _U)
+    out[:n - TOKENS + 1] = (total[TOKENS:] - total[:-TOKENS]) * down[:n - TOKENS + 1]
+    return out
+
+
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about VERIFIED words and places each; a row is never cut."""
+    size = sum(pc.binary_length(batch.column(c)).to_numpy() for c in ("m_words", "r_words")) // np.dtype(WORD).itemsize
+    size = size + TOKENS * pc.list_value_length(batch.column("places")).to_numpy()
+    part = np.cumsum(size, dtype=np.int64) // VERIFIED
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    for lo, hi in zip(starts, [*starts[1:], len(part)]):
+        yield batch.slice(lo, hi - lo)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments (th, other, first, last) of both sides; runs (key, th, place) of windows whose key has more
     of them, but for those that the leader holds in the same place (see above)."""
     for batch in batches:
-        seg = {c: [] for c in ("th", "other", "first", "last", "key", "place")}
-        sent: list[tuple] = []
-        for row in batch.to_pylist():
-            m_from, r_from = row["m_from"], row["r_from"]
-            m = shingles(np.frombuffer(row["m_words"], np.uint16).astype(_U))
-            r = shingles(np.frombuffer(row["r_words"], np.uint16).astype(_U))
-            lo, hi, rlo, rhi = row["m_lo"] - m_from, row["m_hi"] - m_from, row["r_lo"] - r_from, row["r_hi"] - r_from
-            same = row["m"] == row["rep"]
-            a, b = ([], []) if same else compare(m[lo:hi + 1], r[rlo:rhi + 1])
-            for th, other, shift, found in ((row["m"], row["rep"], m_from + lo, a), (row["rep"], row["m"], r_from + rlo, b)):
-                for s, e in found:
-                    for c, v in zip(seg, (th, other, shift + s, shift + e + SHINGLE - 1, None, None)):
-                        seg[c].append(v)
-            wanted, held = np.zeros(len(m), bool), {}  # starts of runs
-            for p in row["places"]:
-                if p["send"] == NONE:
-                    continue
-                c, left, right = (int(x) for x in _unpacked(p["m_place"]))
-                first = max(c - left, c - TOKENS + 1, m_from) - m_from
-                last = min(c + right, c + TOKENS - 1, m_from + len(m) - 1) - m_from
-                if last - first + 1 < TOKENS:
-                    continue
-                starts = slice(first, last - TOKENS + 2)
-                if same or p["send"] == ALL:
-                    wanted[starts] = True
-                else:
-                    shift = (p["rep_place"] >> 36) - r_from - (c - m_from)
-                    if shift not in held:
-                        held[shift] = _held(m, r, shift)
-                    wanted[starts] |= ~held[shift][starts]
-            starts = np.flatnonzero(wanted)
-            if len(starts):
-                run = np.zeros(len(starts), _U)
-                for k in range(TOKENS):
-                    run += m[starts + k] * _POWERS[k]
-                sent.append((run.view(np.int64), np.full(len(starts), row["m"], np.int64),
-                             _packed(m_from + starts.astype(np.int64), 0, TOKENS - 1)))
-        run, sender, place = (np.concatenate(x) for x in zip(*sent)) if sent else (np.empty(0, np.int64),) * 3
-        blank = pa.nulls(len(run), pa.int64())
-        more = {"th": pa.array(sender), "key": pa.array(run), "place": pa.array(place)}
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(v, pa.int64()), more.get(c, blank)])
-                                          for c, v in seg.items()], list(seg))
-
-
-def _held(m: np.ndarray, r: np.ndarray, shift: int) -> np.ndarray:
-    """For each run of TOKENS tokens in m: does r hold it ``shift`` places further?"""
-    off = np.ones(len(m), np.int64)
-    lo, hi = max(0, -shift), min(len(m), len(r) - shift)
-    if hi > lo:
-        off[lo:hi] = m[lo:hi] != r[lo + shift:hi + shift]
-    total = np.concatenate([[0], np.cumsum(off)])
-    return total[TOKENS:] == total[:-TOKENS]
+        for rows in _bounded(batch):
+            th, other, first, last = _pair_segments(rows)
+            key, sender, place = _sent_runs(rows)
+            no_key, no_span = pa.nulls(len(th), pa.int64()), pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([th, sender])), *(pa.concat_arrays([pa.array(x), no_span]) for x in (other, first, last)),
+                *(pa.concat_arrays([no_key, pa.array(x)]) for x in (key, place))],
+                ["th", "other", "first", "last", "key", "place"])
+
+
+def _pair_segments(rows: pa.RecordBatch) -> list[np.ndarray]:
+    """(th, other, first, last) of the segments of all pairs of different texts."""
+    col = {c: rows.column(c).to_numpy() for c in ("m", "rep", "m_lo", "m_hi", "r_lo", "r_hi", "m_from", "r_from")}
+    sides = []
+    for s in "mr":
+        tokens, at, n = _side(rows.column(f"{s}_words"))
+        lo = col[f"{s}_lo"] - col[f"{s}_from"]
+        sides.append((tokens, at + lo, np.maximum(0, np.minimum(col[f"{s}_hi"] - col[f"{s}_from"] + 1, n) - lo)))
+    (m, m_at, m_n), (r, r_at, r_n) = sides
+    other = col["m"] != col["rep"]
+    found: list[tuple] = []  # (row, is it the member's side, first and last token of the part)
+    level = np.flatnonzero(other & (m_n == r_n) & (m_n >= TOKENS))
+    owner, at = _spread(m_at[level], m_n[level])
+    differs = m[at] != r[at + np.repeat(r_at[level] - m_at[level], m_n[level])]
+    equal = level[np.bincount(owner[differs], minlength=len(level)) == 0]
+    rest = np.setdiff1d(np.flatnonzero(other & (m_n >= TOKENS) & (r_n >= TOKENS)), equal)
+    m_row, at = _spread(m_at[rest], m_n[rest])
+    a = m[at] + m_row.astype(_U) * _RUN_BASE  # tokens of one row meet those of the same row only
+    r_row, at = _spread(r_at[rest], r_n[rest])
+    b = r[at] + r_row.astype(_U) * _RUN_BASE
+    marks = [(np.isin(x, y), np.concatenate([[0], np.cumsum(n[rest])]), row)
+             for x, y, n, row in ((a, b, m_n, m_row), (b, a, r_n, r_row))]
+    least = int(SIMILAR * TOKENS)
+    enough = np.all([np.bincount(row[there], minlength=len(rest)) >= least for there, _, row in marks], axis=0)
+    for i in np.flatnonzero(enough):
+        parts = [_segments(there[ends[i]:ends[i + 1]]) for there, ends, _ in marks]
+        if all(parts):
+            found += [(rest[i], own, s, e) for own, part in zip((True, False), parts) for s, e in part]
+    row, own, start, end = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+    row = np.concatenate([row, equal, equal])
+    own = np.concatenate([own, np.ones(len(equal), np.int64), np.zeros(len(equal), np.int64)]).astype(bool)
+    start = np.concatenate([start, np.zeros(2 * len(equal), np.int64)])
+    end = np.concatenate([end, m_n[equal], m_n[equal]])
+    base = np.where(own, col["m_lo"][row], col["r_lo"][row])
+    return [np.where(own, col["m"][row], col["rep"][row]), np.where(own, col["rep"][row], col["m"][row]),
+            base + start, base + end + SHINGLE - 1]
+
+
+def _sent_runs(rows: pa.RecordBatch) -> list[np.ndarray]:
+    """(key, th, place) of the runs that the windows of all pairs send."""
+    lists = rows.column("places")
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy())
+    flat = lists.flatten()
+    own, mate, send = (flat.field(c).to_numpy() for c in ("m_place", "rep_place", "send"))
+    sends = send != NONE
+    if not sends.any():
+        return [np.empty(0, np.int64)] * 3
+    row, own, mate, send = row[sends], own[sends], mate[sends], send[sends]
+    m_from, r_from, m_th = (rows.column(c).to_numpy() for c in ("m_from", "r_from", "m"))
+    m, m_at, m_n = _side(rows.column("m_words"))
+    r, r_at, r_n = _side(rows.column("r_words"))
+    m_run, r_run = _runs(m), _runs(r)
+    c, left, right = _unpacked(own)
+    c = c - m_from[row]
+    first = np.maximum(0, np.maximum(c - left, c - TOKENS + 1))
+    last = np.minimum(m_n[row] - 1, np.minimum(c + right, c + TOKENS - 1))
+    window, start = _spread(first, np.maximum(0, last - TOKENS + 2 - first))
+    at = row[window]
+    there = start + ((mate >> 36) - r_from[row] - c)[window]  # the same place in the leader's text
+    inside = (send[window] == OTHER) & (m_th != rows.column("rep").to_numpy())[at] & (there >= 0) & (there + TOKENS <= r_n[at])
+    held = np.zeros(len(start), bool)
+    held[inside] = m_run[m_at[at[inside]] + start[inside]] == r_run[r_at[at[inside]] + there[inside]]
+    wanted = np.zeros(len(m), bool)
+    wanted[(m_at[at] + start)[~held]] = True
+    places = np.flatnonzero(wanted)
+    at = np.searchsorted(m_at, places, "right") - 1
+    return [m_run[places].view(np.int64), m_th[at], _packed(m_from[at] + places - m_at[at], 0, TOKENS - 1)]
 
 
 def _grouped(pairs: DataFrame, enough: int) -> DataFrame:
@@ -418,7 +483,7 @@ def _checked(pairs: DataFrame, extract: DataFrame) -> DataFrame:
 
 
 def _extracts(plain: DataFrame, pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(th, start, words): 16-bit word hashes of the part of each text that its pairs name."""
+    """(th, start, words): 32-bit word hashes of the part of each text that its pairs name."""
     need = (pairs.select(F.col("m").alias("th"), F.least("m_lo", "own_lo").alias("lo"), F.greatest("m_hi", "own_hi").alias("hi"))
             .union(pairs.select("rep", "r_lo", "r_hi")).groupBy("th").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .join(contents.select("th", F.col("first").alias("of")), "th"))
@@ -427,7 +492,7 @@ def _extracts(plain: DataFrame, pairs: DataFrame, contents: DataFrame) -> DataFr
         need, (F.col("t") == F.col("th")) & F.col("id").eqNullSafe(F.col("of")))
 
     def work(batch):
-        cut = [word_hashes(t)[lo:hi + SHINGLE].astype(np.uint16).tobytes() for t, lo, hi in zip(
+        cut = [word_hashes(t)[lo:hi + SHINGLE].astype(WORD).tobytes() for t, lo, hi in zip(
             *(batch.column(c).to_pylist() for c in ("text", "lo", "hi")))]
         return {"th": batch.column("th"), "start": batch.column("lo"), "words": cut}
 

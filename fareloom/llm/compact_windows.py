@@ -54,7 +54,7 @@ NONE, OTHER, ALL = range(3)  #: runs that a window sends: OTHER are those its le
 LONGEST = (1 << 18) - 1  #: tokens of a window to either side of c that are kept
 ROW_BATCH = 50_000
 WORD = np.uint32  #: bits of a word's hash that its verification sees
-VERIFIED = 1_000_000
+VERIFIED, TOGETHER = 1_000_000, 50_000  #: words that are looked at together in verification and in windows
 
 _U = np.uint64
 _SEEDS = [(_U(0x9E3779B97F4A7C15 + 2 * k * 0x1000193), _U(0xC2B2AE3D27D4EB4F + 2 * k * 0x10001)) for k in range(16)]
@@ -99,39 +99,58 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def _sliding(a: np.ndarray, width: int, op, fill) -> np.ndarray:
-    """op over every run of ``width`` values."""
-    n = len(a)
-    pad = np.full(-n % width, fill, a.dtype)
-    blocks = np.concatenate([a, pad]).reshape(-1, width)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[:n - width + 1], ahead[width - 1:n])
+def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
+    """op (a minimum or maximum) over every run of ``width`` values, by runs of doubled width."""
+    n, have = len(a) - width + 1, 1
+    while 2 * have <= width:
+        a = op(a[:-have], a[have:])
+        have *= 2
+    return op(a[:n], a[width - have:width - have + n])
 
 
-def compact(h: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all compact windows of at least ``width`` tokens; of equal hashes the first counts."""
-    n = len(h)
-    if n < width:
+def compact_rows(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
+                 width: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of all compact windows of at least ``width`` tokens of several texts; of equal hashes the first
+    counts.  Texts lie in ``h`` with at least two free places before, between and behind them; no hash is 0."""
+    s = starts[lengths >= width]
+    e = s + lengths[lengths >= width]
+    if not len(s):
         return (np.empty(0, np.int64),) * 3
-    least = _sliding(h, width, np.minimum, np.iinfo(h.dtype).max)
+    edge = np.zeros(len(h) - width + 1, np.int8)
+    edge[s] = 1
+    edge[e - width + 1] -= 1
+    least = np.where(np.cumsum(edge, dtype=np.int8) > 0, _sliding(h, width, np.minimum), _U(0))
     none = np.zeros(width - 1, h.dtype)
-    most = _sliding(np.concatenate([none, least, none]), width, np.maximum, 0)
-    places = np.flatnonzero(h == most)  # smallest of some run; the tree's other nodes are too narrow
-    left, right = np.full(len(places), -1), np.full(len(places), n)
+    most = _sliding(np.concatenate([none, least, none]), width, np.maximum)
+    # smallest of some run; the tree's other nodes are too narrow.  Ends of texts are smaller than all
+    places = np.concatenate([np.flatnonzero(h == most), s - 1, e])
+    places.sort()
+    h = h.copy()
+    h[s - 1] = h[e] = 0
     stack: list[int] = []
-    values = h[places].tolist()
-    at = places.tolist()
+    inside = h[places] > 0
+    values, at = h[places].tolist(), places.tolist()
+    lefts, rights = [0] * len(at), [0] * len(at)
     for i, v in enumerate(values):
         while stack and values[stack[-1]] > v:
-            right[stack.pop()] = at[i]
-        if stack:
-            left[i] = at[stack[-1]]
+            rights[stack.pop()] = at[i]
+        if v:
+            lefts[i] = at[stack[-1]]
+        else:
+            stack.clear()
         stack.append(i)
-    wide = right - left - 1 >= width
+    left, right = np.array(lefts), np.array(rights)
+    wide = inside & (right - left - 1 >= width)
     return left[wide] + 1, places[wide], right[wide] - 1
 
 
+def compact(h: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the compact windows of one text."""
+    free = np.full(2, 1, h.dtype)
+    found = compact_rows(np.maximum(np.concatenate([free, h, free]), 1), np.array([2]), np.array([len(h)]), width)
+    return tuple(x - 2 for x in found)
+
+
 def _packed(c, a, b):
     return c << 36 | np.minimum(a, LONGEST) << 18 | np.minimum(b, LONGEST)
 
@@ -140,20 +159,24 @@ def _unpacked(p):
     return p >> 36, p >> 18 & LONGEST, p & LONGEST
 
 
-def window_rows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of all windows of a text, by hash function and side of the anchor."""
-    tokens = shingles(word_hashes(text))
-    keys, places = [], []
-    for k in range(HASHES if len(tokens) >= TOKENS else 0):
-        left, c, right = compact(_mixed(tokens, k))
-        place = _packed(c, c - left, right - c)
+def window_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, place) of all windows of texts given as word hashes, by hash function and side of the anchor."""
+    free = np.zeros(SHINGLE, _U)  # tokens across two texts belong to none
+    tokens = shingles(np.concatenate([x for words in texts for x in (free, words)] + [free]))
+    lengths = np.array([len(words) for words in texts])
+    starts = np.cumsum(lengths + SHINGLE) - lengths
+    lengths = np.maximum(0, lengths - SHINGLE + 1)
+    rows, keys, places = [], [], []
+    for k in range(HASHES):
+        left, c, right = compact_rows(np.maximum(_mixed(tokens, k), _U(1)), starts, lengths)
+        row = np.searchsorted(starts, c, "right") - 1
+        place = _packed(c - starts[row], c - left, right - c)
         own = _mixed(tokens[c], k + 4)
         for side, there in ((1, c + ANCHOR <= right), (-1, c - ANCHOR >= left)):
             keys.append(_mixed(own[there] * _BASE + tokens[c[there] + side * ANCHOR], 9 + side))
             places.append(place[there])
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(places)
+            rows.append(row[there])
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
 def windows(docs: DataFrame, hot=None) -> DataFrame:
@@ -161,20 +184,33 @@ def windows(docs: DataFrame, hot=None) -> DataFrame:
 
     def work(batch):
         hots = hot.value if hot is not None else np.empty(0, np.int64)
-        keys, ths, places, seen = [], [], [], set()
+        parts, texts, owners, seen, size = [], [], [], set(), 0
+
+        def flush():
+            row, key, place = window_rows(texts)
+            parts.append((np.array(owners, np.int64)[row], key, place))
+            texts.clear()
+            owners.clear()
+
         for th, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
             if th not in seen:  # copies side by side
                 seen.add(th)
-                k, p = window_rows(text)
-                keys.append(k)
-                places.append(p)
-                ths.append(np.full(len(k), th, np.int64))
-        key, th = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, ths))
-        is_hot = np.isin(key, hots)
+                words = word_hashes(text)
+                if len(words) >= WORDS:
+                    texts.append(words)
+                    owners.append(th)
+                    size += len(words)
+            if size > TOGETHER:
+                flush()
+                size = 0
+        if texts:
+            flush()
+        th, key, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+        is_hot = np.zeros(len(key), bool)
+        if len(hots):  # sorted
+            is_hot = hots[np.minimum(np.searchsorted(hots, key), len(hots) - 1)] == key
         dealt = np.where(is_hot, _mixed((key ^ th % SPREAD).view(_U), 3).view(np.int64), key)
-        return {"key": pa.array(dealt), "th": pa.array(th),
-                "place": pa.array(np.concatenate(places) if places else np.empty(0, np.int64)),
-                "whole": pa.array(key, mask=~is_hot)}
+        return {"key": pa.array(dealt), "th": pa.array(th), "place": pa.array(place), "whole": pa.array(key, mask=~is_hot)}
 
     return over_batches(docs.select("th", "text"), "key long, th long, place long, whole long", work)
 

@@ -145,9 +145,9 @@ def compact_rows(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def compact(h: np.ndarray, width: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of the compact windows of one text."""
-    free = np.full(2, 1, h.dtype)
-    found = compact_rows(np.maximum(np.concatenate([free, h, free]), 1), np.array([2]), np.array([len(h)]), width)
+    """(l, c, r) of the compact windows of one text, for hashes of any size."""
+    ranks = np.pad(np.unique(h, return_inverse=True)[1].astype(_U) + _U(1), 2, constant_values=1)
+    found = compact_rows(ranks, np.array([2]), np.array([len(h)]), width)
     return tuple(x - 2 for x in found)
 
 

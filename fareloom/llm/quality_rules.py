@@ -1,19 +1,27 @@
 """Quality rules whose cutoffs are chosen under a risk limit.
 
 Every text gets a few measures (symbols, repeated lines, repeated words, capitals, ...).  Each rule
-has a loosest and a strictest cutoff; strictness runs from 0 (loosest) to ``STEPS`` over all rules
-together, and a text's level is the first strictness at which some rule rejects it.  Per stratum
-(language) the labelled good texts are the holdout: going from loose to strict, a strictness is
-accepted while the exact binomial (Clopper-Pearson) upper bound on its share of rejected good texts
-stays below ``alpha``, at confidence ``1 - delta / strata``.  Going in that fixed order and stopping
-at the first failure needs no further correction inside a stratum; dividing by the number of
-strata (Bonferroni) covers all of them, so with probability 1 - delta no stratum loses more.
-A stratum with too few labelled texts certifies nothing and rejects by the base rules alone.
-
-Only counts per stratum and level meet in one place (strata x STEPS rows).
-
-Defined results: null texts have no words and fail the base rules; a null stratum is a stratum of
-its own; a key with several labels counts as good only if all say so; null labels are left out;
+has a loosest and a strictest cutoff; strictness runs from 0 (loosest) to ``STEPS``, and a text's level under
+a rule is the first strictness at which that rule rejects it.  A path is a fixed set of rules that get stricter
+together: all of them, or all but one; a text's level on a path is the smallest of its rules' levels.
+
+Per stratum (language), and over all strata pooled, the labelled good texts are the holdout: going from loose to
+strict on a path, a strictness is accepted while the exact binomial (Clopper-Pearson) upper bound on its
+share of rejected good texts stays below ``alpha``.  Going in that fixed order and stopping at the first
+failure needs no further correction on a path.  ``delta`` is divided over the strata and the pool (Bonferroni),
+and inside each over its paths (``FULL`` of it for the path of all rules, the rest in equal parts), so with
+probability 1 - delta every accepted strictness keeps its bound at once and any of them may be used.
+
+A stratum uses the path of all rules where that certifies something, else the strictest certified path without
+one rule (the first such rule), so a rule that is unfit for a language switches off itself alone.  A stratum that
+certifies nothing of its own uses the pool's choice: its bound then holds for the pooled good texts and
+not for that stratum by itself (``bound_on`` says which).  Where the pool has too few labelled texts as
+well, the base rules alone reject.
+
+Only counts per stratum, path and level meet in one place (strata x paths x STEPS rows).
+
+Defined results: null texts have no words and fail the base rules; a null or empty stratum is one
+stratum; a key with several labels counts as good only if all say so; null labels are left out;
 repeated rows are judged one by one; other columns are not read.
 """
 
@@ -23,14 +31,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .frames import over_batches
 
 STEPS = 20
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA = 0.02, 0.05  #: allowed share of good texts rejected, chance that some bound fails
+FULL = 0.6
 #: name: (loosest, strictest) cutoff; a rule rejects values above its cutoff
 RULES = {
     "symbol_share": (0.30, 0.02),       # symbols per code point in words
@@ -78,18 +87,29 @@ def measure(text: str) -> tuple:
     return (n, chars, symbols, dup_lines, repeat, *values)
 
 
-def level_of(values: tuple) -> int:
-    """First strictness at which a rule rejects; STEPS + 1 where none does."""
-    best = STEPS + 1
+PATHS = ["", *RULES]  #: the rule that a path leaves out
+
+
+def levels_of(values: tuple) -> list[int]:
+    """Per rule the first strictness that rejects; STEPS + 1 where none does."""
+    out = []
     for value, (loose, strict) in zip(values, RULES.values()):
-        if value > strict:
-            first = 0 if value > loose else math.floor((loose - value) / (loose - strict) * STEPS) + 1
-            best = min(best, max(0, first))
-    return best
+        if value <= strict:
+            out.append(STEPS + 1)
+        elif value > loose:
+            out.append(0)
+        else:
+            out.append(math.floor((loose - value) / (loose - strict) * STEPS) + 1)
+    return out
+
+
+def level_on(path) -> Column:
+    """Level on the path that leaves out rule number ``path`` (from 1; 0: none) of a row with ``levels``."""
+    return F.array_min(F.transform("levels", lambda x, i: F.when(i + 1 == path, STEPS + 1).otherwise(x)))
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Per row: id, stratum, the five counts and the level."""
+    """Per row: id, stratum, the five counts and the levels under each rule."""
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
                         F.coalesce(text, F.lit("")).alias("text"))
@@ -98,10 +118,10 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
         rows = [measure(t) for t in batch.column("text").to_pylist()]
         return {"id": batch.column("id"), "stratum": batch.column("stratum"),
                 **{name: [r[k] for r in rows] for k, name in enumerate(_COUNTS)},
-                "level": [level_of(r[5:]) for r in rows]}
+                "levels": [levels_of(r[5:]) for r in rows]}
 
     return over_batches(plain, f"id {kind}, stratum string, " + "".join(f"{c} long, " for c in _COUNTS)
-                        + "level int", work)
+                        + "levels array<int>", work)
 
 
 def base_failed():
@@ -138,27 +158,47 @@ def strictest(levels: pd.Series, counts: pd.Series, alpha: float, miss: float) -
 
 def thresholds(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
                key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """stratum, n_good, strictness: the accepted strictness per stratum with labelled good texts."""
+    """stratum (null: the pool), n_good, path, strictness: the choice of each stratum with labelled good texts."""
     good = (labels.select(F.col(key).alias("id"), F.col(label).alias("y")).where("y is not null")
             .groupBy("id").agg(F.min("y").alias("y")).where("y = 1"))
-    counts = (features.where(~base_failed()).join(good, "id").groupBy("stratum", "level")
-              .agg(F.count("*").alias("n")))
-    counts = materialise(counts, "rule-counts")  # at most strata x (STEPS + 2) rows
-    strata = max(1, counts.select("stratum").distinct().count())
+    paths = F.explode(F.sequence(F.lit(0), F.lit(len(PATHS) - 1))).alias("path")
+    counts = (features.where(~base_failed()).join(good, "id").groupBy("stratum", "levels").agg(F.count("*").alias("n"))
+              .select("stratum", "levels", "n", paths)
+              .groupBy("stratum", "path", level_on(F.col("path")).alias("level")).agg(F.sum("n").alias("n")))
+    counts = materialise(counts, "rule-counts")  # at most strata x paths x (STEPS + 2) rows
+    share = delta / (counts.select("stratum").distinct().count() + 1)
+    pool = counts.groupBy("path", "level").agg(F.sum("n").alias("n")).select(
+        F.lit(None).cast("string").alias("stratum"), "path", "level", "n")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "n_good": [int(pdf.n.sum())],
-                             "strictness": [strictest(pdf.level, pdf.n, alpha, delta / strata)]})
+        found = {}
+        for path, rows in pdf.groupby("path"):
+            miss = share * (FULL if path == 0 else (1 - FULL) / len(RULES))
+            found[int(path)] = strictest(rows.level, rows.n, alpha, miss)
+        path = 0 if found[0] >= 0 else max(found, key=lambda p: (found[p], -p))
+        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "n_good": [int(pdf.n[pdf.path == 0].sum())],
+                             "path": [path], "strictness": [found[path]]})
 
-    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, n_good long, strictness int")
+    return counts.union(pool).groupBy("stratum").applyInPandas(
+        choose, "stratum string, n_good long, path int, strictness int")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the level and strictness behind the verdict."""
+    """doc_id, the counts, base_failed, kept, and what the verdict rests on: level, strictness, the rule left out
+    (``without``, empty: none) and ``bound_on`` (stratum, pool or none)."""
     features = materialise(measured(docs), "rule-measures")
-    chosen = thresholds(features, labels, alpha, delta)
-    strictness = F.coalesce("strictness", F.lit(-1))
-    return features.join(chosen, "stratum", "left").select(
+    chosen = materialise(thresholds(features, labels, alpha, delta), "rule-cutoffs")  # a row per stratum
+    own = chosen.where("stratum is not null and strictness >= 0").select("stratum", "path", "strictness")
+    pool = chosen.where("stratum is null and strictness >= 0").select(
+        F.lit(True).alias("_one"), F.col("path").alias("pool_path"), F.col("strictness").alias("pool_strictness"))
+    rows = features.join(own, "stratum", "left").withColumn("_one", F.lit(True)).join(F.broadcast(pool), "_one", "left")
+    rows = rows.select("*", F.when(F.col("strictness").isNotNull(), "stratum")
+                       .when(F.col("pool_strictness").isNotNull(), "pool").otherwise("none").alias("bound_on"),
+                       F.coalesce("path", "pool_path", F.lit(0)).alias("_path"),
+                       F.coalesce("strictness", "pool_strictness", F.lit(-1)).alias("_strictness"))
+    rows = rows.withColumn("_level", level_on(F.col("_path")))
+    return rows.select(
         F.col("id").alias("doc_id"), *_COUNTS, base_failed().alias("base_failed"),
-        (~base_failed() & (F.col("level") > strictness)).alias("kept"), "level",
-        strictness.alias("strictness"))
+        (~base_failed() & (F.col("_level") > F.col("_strictness"))).alias("kept"), F.col("_level").alias("level"),
+        F.col("_strictness").alias("strictness"),
+        F.element_at(F.array(*map(F.lit, PATHS)), F.col("_path") + 1).alias("without"), "bound_on")

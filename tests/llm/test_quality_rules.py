@@ -2,6 +2,7 @@ import re
 from collections import Counter
 from math import comb
 
+import numpy as np
 import pandas as pd
 
 from fareloom.llm import quality_rules as R
@@ -57,7 +58,7 @@ def test_level_is_the_first_step_that_rejects():
         loose, strict = R.RULES["symbol_share"]
         want = next((k for k in range(R.STEPS + 1)
                      if value > loose + k / R.STEPS * (strict - loose) + 1e-12), R.STEPS + 1)
-        assert R.level_of((value, 0, 0, 0, 0, 0, 0)) == want, value
+        assert R.levels_of((value, 0, 0, 0, 0, 0, 0)) == [want] + [R.STEPS + 1] * 6, value
 
 
 def test_junk_goes_and_good_stays_where_labels_suffice(spark):
@@ -67,3 +68,33 @@ def test_junk_goes_and_good_stays_where_labels_suffice(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
     kept = {r.doc_id for r in R.judge(docs, labels).where("kept").collect()}
     assert kept == set(range(600))
+
+
+def words(i, tail="", n=60):
+    return " ".join(f"w{i}x{k}{tail}" for k in range(n))
+
+
+def test_one_unfit_rule_leaves_the_others_on_and_a_small_stratum_uses_the_pool(spark):
+    good = [(i, " ".join(f"w{i}x{k}" + "y" * 60 for k in range(60)), "long") for i in range(700)]
+    good += [(2000 + i, words(i), "en") for i in range(600)] + [(4000 + i, words(i), "small") for i in range(20)]
+    junk = [(9000 + i, words(i, "###"), lang) for i, lang in enumerate(["long", "en", "small"] * 3)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good], "doc_id long, quality int")
+    rows = R.judge(docs, labels).collect()
+    assert {r.doc_id for r in rows if r.kept} == {i for i, *_ in good}  # long words stay in their language
+    by = {r.doc_id: r for r in rows}
+    assert (by[0].without, by[0].bound_on) == ("mean_word_chars", "stratum")
+    assert (by[2000].without, by[2000].bound_on) == ("", "stratum")
+    assert by[4000].bound_on == "pool"
+
+
+def test_the_risk_holds_over_many_draws():
+    """Good texts with levels of a known law: an accepted strictness rejects more than alpha in few draws."""
+    rng = np.random.default_rng(5)
+    law = np.array([.001] * 21 + [.979])
+    wrong = 0
+    for _ in range(400):
+        n = np.bincount(rng.choice(22, 900, p=law), minlength=22)
+        step = R.strictest(pd.Series(range(22)), pd.Series(n), 0.02 - 1e-9, 0.05)
+        wrong += law[:step + 1].sum() > 0.02 - 1e-9
+    assert wrong <= 400 * 0.05 + 3 * (400 * 0.05) ** .5

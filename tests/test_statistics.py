@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 from fareloom.operators import forest, outliers
 from fareloom.operators.order_stats import (UPPER_MIDDLE, exact_order_stats,
                                             median_and_deviation)
-from fareloom.operators.running import failure_runs
+from fareloom.operators.running import failure_runs, running_total
+from fareloom.session import run_folder
 
 from conftest import make_quotes
 
@@ -101,3 +104,12 @@ def test_failure_runs_cross_slice_borders(spark):
     runs = failure_runs(frame, "s", "t", "n", F.col("bad"), 4).collect()
     assert sorted((r["s"], r["run_length"]) for r in runs) == [
         ("a", 5), ("a", 6), ("b", 4), ("b", 4)]
+
+
+def test_running_total_spreads_one_group_with_one_time(spark):
+    frame = spark.range(4000).select(F.lit("a").alias("s"), F.lit(5).alias("t"), F.col("id").alias("n"))
+    rows = running_total(frame, ["s"], ["t", "n"], F.col("n") % 3, "total").select(
+        "n", "total").orderBy("n").collect()
+    assert [r["total"] for r in rows] == list(np.cumsum(np.arange(4000) % 3))
+    parts = spark.read.parquet(max(Path(run_folder(spark)).glob("running-parts-*"), key=lambda p: p.stat().st_mtime).as_posix())
+    assert parts.groupBy("_part").count().count() > 1

@@ -19,8 +19,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
 UPPER_MIDDLE = "upper_middle"
 _BANDS_PER_UNIT = 32
 
@@ -106,9 +104,10 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
 def median_and_deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, n_values, median, mad``: the median and the median distance from it.
 
-    The value counts are written once and serve both steps, so the rows are read one time.
+    The value counts have one shuffle, which both steps use, so the rows are read one time.
     """
-    counts = materialise(value_counts(df, keys, value), "value-counts")
+    # the filter that the order statistics set as well, so that both steps have the same plan below the shuffle
+    counts = value_counts(df.where(value_band(F.col(value)).isNotNull()), keys, value)
     centre = exact_median(counts, keys, value, "median", weight="n")
     distance = (counts.join(centre, keys)
                 .select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("_distance"),

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import RUN_PART, append_new, with_run_part
+from ..operators.dedup import append_new, with_run_part
 from ..operators.forecast import forecast_index
 from ..operators.forest import flag_forest
 from ..operators.normalize import normalize, rejected_rows, valid_quotes, with_derived
@@ -22,6 +22,7 @@ from ..session import materialise, prepare
 from ..sources.captures import file_rejects, read_raw_quotes, without_rejected_files
 from ..sources.metrics import index_metrics, row_metrics, save_metrics, scored_metrics, write_observed
 from ..sources.registry import read_registries, registry_selectors
+from ..sources.runs import append_rows, rows_of_runs
 from ..sources.tables import read_table, replace_partitions, table_exists, write_stage
 from .fare_index import excluded_fares, fare_index_daily
 from .incremental import current_index, limits_at, update_index
@@ -33,18 +34,16 @@ STAGES = ["quotes", "rejects", "scored", "flagged", "anomalies", "index", "exclu
 def append_to_master(fresh: DataFrame, master: str) -> DataFrame:
     """Append, and return, the quotes whose key ``master`` lacks, in folders by hash of the run and capture date.
 
-    The run is part of the key, so only the folders of the batch's runs can hold its keys; they are
-    the only ones that are read.
+    Only folders that hold a run of the batch are read, so a batch of new runs reads no quote.
     """
-    spark = fresh.sparkSession
     # written out first: joining on top of the long normalising plan is slow to optimise
     fresh = materialise(with_run_part(fresh), "fresh-quotes")
-    parts = [row[0] for row in fresh.select(RUN_PART).distinct().collect()]  # RUN_PARTS values at most
-    if not parts:
+    if fresh.isEmpty():
         return fresh
-    if table_exists(spark, master):
-        fresh = materialise(append_new(read_table(spark, master).where(F.col(RUN_PART).isin(parts)), fresh), "new-quotes")
-    fresh.write.mode("append").partitionBy(RUN_PART, "scraped_date").parquet(master)
+    seen = rows_of_runs(fresh, master)
+    if seen is not None:
+        fresh = materialise(append_new(seen, fresh), "new-quotes")
+    append_rows(fresh, master)
     return fresh
 
 

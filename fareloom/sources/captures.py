@@ -47,13 +47,14 @@ def read_raw_quotes(spark: SparkSession, root: str, day: str | None = None,
     return with_origin(frame, F.col("_metadata.file_path"))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """``source_file`` of all capture files below ``root``, empty ones too; nothing is opened.
 
     Scans leave empty files out, so the names come from the file index that the driver builds for
     any scan of the folder.
     """
-    index = spark.read.schema("value string").options(**FILES).text(root)
+    reader = spark.read.schema("value string").options(**FILES)
+    index = (reader.option("modifiedAfter", modified_after) if modified_after else reader).text(root)
     return spark.createDataFrame([(path,) for path in index.inputFiles()], "source_file string")
 
 
@@ -74,9 +75,8 @@ def file_rejects(spark: SparkSession, root: str, modified_after: str | None = No
             .groupBy(S.file_key(F.col("_metadata.file_path")).alias("_key"))
             .agg(F.sum(F.octet_length("value")).alias("bytes")))
     half_read = sizes.join(seen, "_key", "left").where(F.coalesce("bytes", F.lit(0)) < F.col("length")).select("_key")
-    names = list_files(spark, root).withColumn("_key", key)
-    # an empty file is in no scan; with modified_after, files that are too old are in none either
-    empty = names.join(sizes, "_key", "left_anti") if modified_after is None else names.limit(0)
+    names = list_files(spark, root, modified_after).withColumn("_key", key)
+    empty = names.join(sizes, "_key", "left_anti")  # an empty file is in no scan
     return (names.join(half_read, "_key", "left_semi").unionByName(empty)
             .select("source_file", F.lit("CSV read error").alias("error"), F.lit("FILE_LEVEL").alias("raw_row")))
 

@@ -23,7 +23,7 @@ def stream_quotes(spark: SparkSession, root: str, files_per_batch: int = 1000) -
 def append_quotes(checked: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Each batch adds its new valid quotes to the master table and its rejects to the reject table.
 
-    Quotes whose key the master has already stay out, so a batch that is played again adds nothing, and
+    Quotes whose key the master has already stay out, so a batch that is played again adds nothing (only folders of its runs are read), and
     copies inside one batch all stay, as in a daily run.  Rejects lie in one folder per batch, which a
     batch that is played again replaces.
     """

@@ -4,9 +4,12 @@ Every text is cut into words; the hashes of all rolling word pairs are joined wi
 the same pairs in license templates (a small fixed table, broadcast).  A hit at word p of the text
 and position t of the template votes for the diagonal p - t.  Votes of a diagonal are the bits of the
 template positions that met, so repeated rows count once.  A diagonal that has all pairs of a phrase
-is one exact place of it.  For long templates, diagonals of one text that lie at most ``GAP`` words
-apart are merged (words put in or left out shift the diagonal), and the span is accepted if the
-merged votes cover at least ``COVER`` of the template's pairs.
+is one exact place of it.  For long templates, neighbouring diagonals are merged, as words put in or left
+out shift the diagonal.  Every such edit also breaks a pair, and a span has to keep ``COVER`` of the
+template's pairs; so a merged span may be wider than the template by ``GAP`` words for each pair that may
+be missing and no more, and a template whose pairs are strung out with filler words is none.  A span is
+accepted if its votes cover at least ``COVER`` of the template's pairs; its score is the share of the
+span's pairs that are the template's.  Accepted spans that overlap are reported as the best one of them.
 
 Each text also sends one marker row through the join, so texts without any hit stay in the result and
 no text is read twice.  Rows are grouped by key and text hash, then repeated as often as they came.
@@ -94,22 +97,34 @@ def pair_hits(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text:
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, key: str = "doc_id",
          text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; spans of the
-    accepted templates (label, first and last word)."""
+    accepted templates (label, first and last word), one for each place."""
     spark = docs.sparkSession
     votes = pair_hits(docs, template_pairs(spark, phrases, templates), key, text)
     label = F.element_at(F.array(*[F.lit(name) for _, name in [*phrases, *templates]]), F.col("template") + 1)
     base = F.col("template").between(0, len(phrases) - 1)
-    near = W.partitionBy("id", "hash", "template").orderBy("diagonal")
-    # a phrase's place is one diagonal; the marker is alone
-    jump = (F.col("template") < len(phrases)) | (
-        F.col("diagonal") - F.lag("diagonal").over(near) > GAP)
-    group = F.sum(F.coalesce(jump.cast("int"), F.lit(1))).over(near)
-    spans = votes.withColumn("span", group).groupBy("id", "hash", "template", "pairs", "span").agg(
-        F.bit_or("bits").alias("bits"), F.min("diagonal").alias("start"), F.max("diagonal").alias("end"),
-        F.max("n_words").alias("n_words"), F.max("times").alias("times"))
-    cover = F.bit_count("bits") / F.col("pairs")
-    spans = spans.withColumn("cover", cover).withColumn(
-        "ok", F.when(base, F.col("cover") == 1.0).otherwise((F.col("template") >= 0) & (F.col("cover") >= COVER)))
+    # how far a span's diagonals may lie apart; a phrase's place is one diagonal, the marker is alone
+    drift = F.when(F.col("template") < len(phrases), 0).otherwise(
+        GAP * (F.col("pairs") - F.ceil(F.col("pairs") * COVER - 1e-9)).cast("int"))
+    # in steps of the drift and half a word, the span of a diagonal is the range of one step from it
+    near = W.partitionBy("id", "hash", "template").orderBy("step")
+    span = near.rangeBetween(0, 1)
+    whole = votes.withColumn("drift", drift).withColumn("step", F.col("diagonal") / (F.col("drift") + 0.5)).select(
+        "*", F.bit_count(F.bit_or("bits").over(span)).alias("met"), F.max("diagonal").over(span).alias("end"))
+    one, merged = F.bit_count("bits") / F.col("pairs"), F.col("met") / F.col("pairs")
+    whole = whole.withColumn("ok", F.when(base, one == 1.0).otherwise((F.col("template") >= 0) & (merged >= COVER)))
+    # spans that start within the drift of the accepted one before them are the same place
+    last = F.max(F.when(F.col("ok"), F.col("diagonal"))).over(near.rowsBetween(W.unboundedPreceding, -1))
+    other = F.col("ok") & (last.isNull() | (F.col("diagonal") - last > F.col("drift")))
+    share = F.greatest(one, F.col("met") / (F.col("pairs") + F.col("end") - F.col("diagonal")))
+    spans = whole.select(
+        "id", "hash", "template", "pairs", "ok", "n_words", "times", other.alias("other"),
+        F.col("step"), F.when(F.col("ok"), F.struct(
+            share.alias("cover"), (-F.col("diagonal")).alias("start"), "end")).alias("best"))
+    spans = spans.withColumn("span", F.sum(F.col("other").cast("int")).over(near)).where(
+        F.col("ok") | (F.col("template") == _MARK))
+    spans = spans.groupBy("id", "hash", "template", "pairs", "span", "ok").agg(
+        F.max("best").alias("best"), F.max("n_words").alias("n_words"), F.max("times").alias("times")).select(
+        "*", "best.cover", (-F.col("best.start")).alias("start"), "best.end")
     place = F.when(base & F.col("ok"), F.col("start").cast("long"))
     found = spans.groupBy("id", "hash").agg(
         F.max("n_words").alias("n_words"), F.count(place).alias("n_base"), F.min(place).alias("first_word"),

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from fareloom.llm import licenses as L
@@ -44,6 +46,53 @@ def test_method_adds_labels(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def votes(text):
+    """Labels and score by trying every span of every template."""
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    labels, best = set(brute(text)[4].split(",")) - {""}, 1.0 if brute(text)[4] else 0.0
+    for template, label in L.TEMPLATES:
+        want = template.split()
+        n = len(want) - 1
+        drift = L.GAP * (n - math.ceil(L.COVER * n - 1e-9))
+        met = {}
+        for i in range(len(words) - 1):
+            for t in range(n):
+                if words[i:i + 2] == want[t:t + 2]:
+                    met.setdefault(i - t, set()).add(t)
+        for d, own in met.items():
+            inside = {e: met[e] for e in met if d <= e <= d + drift}
+            hit = len(set().union(*inside.values()))
+            if hit / n >= L.COVER:
+                labels.add(label)
+                best = max(best, len(own) / n, hit / (n + max(inside) - d))
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(3)
+    texts = [t for t in TEXTS if not t or len(t) < 2000]
+    for template, _ in L.TEMPLATES:
+        words = template.split()
+        texts.append(" x ".join(f"{a} {b}" for a, b in zip(words, words[1:])))  # each pair, then a filler word
+        texts.append(template + " and " + template)
+        for _ in range(12):
+            edited = [w for w in words if rng.random() > .03]
+            for _ in range(rng.randrange(6)):
+                edited.insert(rng.randrange(len(edited) + 1), rng.choice(["x", "the", "license", "of"]))
+            texts.append("a lead " + " ".join(edited) + " of the")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        labels, best = votes(t)
+        assert got[i].labels == labels and abs(got[i].score - best) < 1e-12, (t, got[i], labels, best)
+    strung = " x ".join(f"{a} {b}" for a, b in zip(L.TEMPLATES[8][0].split(), L.TEMPLATES[8][0].split()[1:]))
+    assert "gnu-gpl" not in got[texts.index(strung)].labels
+    twice = L.TEMPLATES[9][0]
+    spans = got[texts.index(twice + " and " + twice)].spans
+    assert [(s.label, s.first, s.last) for s in spans] == [("bsd", 0, 20), ("bsd", 22, 42)]
+    assert 100 < sum(bool(r.labels) for r in got.values()) < len(got)
+
+
 def test_main_path_has_no_python(spark):
     docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
     plan = L.scan(docs)._jdf.queryExecution().executedPlan().toString()

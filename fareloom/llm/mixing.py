@@ -7,8 +7,9 @@ its siblings by weight.  As a node asks no more than its whole subtree can give,
 is used up leaves a shortage to the siblings of its parent: siblings come before ancestors.
 
 A leaf with budget T and N tokens gives every row floor(T / N) times, then a prefix of one more epoch
-in the order of a hash of (seed, epoch, key, text), as far as its running tokens stay within what is
-left.  Where that prefix ends is found without sorting the leaf: tokens per hash range first, then
+in the order of a hash of (seed, epoch, key, text): as far as its running tokens stay within what is
+left, and the text that crosses that end too if this comes nearer to it, so a leaf is at most half a text
+off, to either side.  Where that prefix ends is found without sorting the leaf: tokens per hash range first, then
 only the rows of the range where it ends, with equal rows counted together.
 
 Defined results: null names are the empty name; null texts have no tokens; a weight not given is 1, null
@@ -120,7 +121,8 @@ def cuts(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     # every leaf with less than one epoch left has a row that no longer fits whole
     return leaves.join(end, names, "left").select(
         *names, "full", F.col("e.h").alias("end_h"), F.col("e.id").alias("end_id"), F.col("e.hash").alias("end_hash"),
-        F.coalesce(F.floor(F.try_divide("e.left", "e.each")), F.lit(0)).cast("int").alias("end_times"))
+        F.coalesce(F.floor(F.try_divide(2 * F.col("e.left") + F.col("e.each") - 1, 2 * F.col("e.each"))), F.lit(0))
+        .cast("int").alias("end_times"))
 
 
 def take(rows: DataFrame, found: DataFrame, seed: int) -> DataFrame:

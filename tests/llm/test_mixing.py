@@ -54,7 +54,9 @@ def brute(rows, weights, share, epochs, h):
         for r in sorted(members, key=lambda r: (h[(r[3], r[4], full)], r[3])):
             if rest == 0 and not n[leaf]:
                 break
-            if r[5] > left:
+            if r[5] > left:  # the text that crosses the end
+                if 2 * left > r[5]:
+                    out[r[3]] += 1
                 break
             left -= r[5]
             out[r[3]] += 1
@@ -82,6 +84,12 @@ def test_matches_brute_force(spark):
         got = Counter(r.doc_id for r in M.mix(docs, domain(), table, share, epochs).collect())
         want, amount = brute(rows, weights, share, epochs, h)
         assert dict(got) == want, (share, epochs)
+        tokens, taken = {r[3]: r[5] for r in rows}, defaultdict(int)
+        for r in rows:
+            taken[r[:3]] += tokens[r[3]] * got[r[3]]
+        longest = max(tokens.values())
+        assert all(abs(taken[k] - min(a, epochs * sum(r[5] for r in rows if r[:3] == k))) <= longest / 2 + 1
+                   for k, a in amount.items())
         leaves = M.budgets(M.described(docs, domain()), table, share, epochs).collect()
         assert all(math.isclose(r.amount, amount[(r.domain, r.lang, r.source)], rel_tol=1e-9, abs_tol=1e-9) for r in leaves)
 
@@ -91,6 +99,7 @@ def test_equal_rows_are_taken_one_by_one_and_columns_kept(spark):
     table = spark.createDataFrame([], "level string, name string, weight double")
     got = M.mixed_documents(docs, domain(), table, 0.51)
     assert got.columns == docs.columns and got.where("doc_id = 1").count() == 25  # 102 of 200 tokens
+    assert M.mixed_documents(docs, domain(), table, 0.516).where("doc_id = 1").count() == 26  # 103
     assert M.mixed_documents(docs.limit(0), domain(), table, 0.5).count() == 0
     assert M.mixed_documents(docs, domain(), table, 1.0).where("doc_id = 1").count() == 50
 

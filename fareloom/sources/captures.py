@@ -58,12 +58,18 @@ def list_files(spark: SparkSession, root: str, modified_after: str | None = None
     return spark.createDataFrame([(path,) for path in index.inputFiles()], "source_file string")
 
 
+def text_lines(reader):
+    """A reader of lines that end at a line feed only; large files are read in parts, what cannot be read is skipped."""
+    return reader.option("lineSep", "\n").option("ignoreCorruptFiles", True)
+
+
 def file_rejects(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """Rejects ``(source_file, error, raw_row)`` of whole files: empty ones, and ones whose bytes
     cannot all be read.
 
-    The bytes of a file's text are held against its length.  A file that holds a header and no rows is
-    a good, empty file.
+    The bytes of a file's lines are held against its length, so no task holds a file.  The line reader takes
+    a byte order mark (3 bytes) off the head of a text, and a last line may lack its line break: a file that
+    misses two or three bytes is a whole one.  A file that holds a header and no rows is a good, empty file.
     """
     def files(kind: str):
         reader = spark.read.format(kind).options(**FILES)
@@ -71,10 +77,12 @@ def file_rejects(spark: SparkSession, root: str, modified_after: str | None = No
 
     key = S.file_key(F.col("source_file"))
     sizes = files("binaryFile").load(root).select(S.file_key(F.col("path")).alias("_key"), "length")
-    seen = (files("text").option("wholetext", True).option("ignoreCorruptFiles", True).load(root)
+    seen = (text_lines(files("text")).load(root)
             .groupBy(S.file_key(F.col("_metadata.file_path")).alias("_key"))
-            .agg(F.sum(F.octet_length("value")).alias("bytes")))
-    half_read = sizes.join(seen, "_key", "left").where(F.coalesce("bytes", F.lit(0)) < F.col("length")).select("_key")
+            .agg(F.sum(F.octet_length("value") + 1).alias("bytes")))
+    missing = F.col("length") - F.coalesce("bytes", F.lit(0))
+    half_read = (sizes.join(seen, "_key", "left")
+                 .where(F.col("bytes").isNull() | (missing > 0) & ~missing.isin(2, 3)).select("_key"))
     names = list_files(spark, root, modified_after).withColumn("_key", key)
     empty = names.join(sizes, "_key", "left_anti")  # an empty file is in no scan
     return (names.join(half_read, "_key", "left_semi").unionByName(empty)

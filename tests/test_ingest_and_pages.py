@@ -265,3 +265,37 @@ def test_page_reader_is_linear_and_keeps_nesting():
     assert [e[0] for e in found] == ["div", "p", "div", "br", "span", "b"]
     assert found[2][2] == "34" and found[5][2] == "7" and found[4][1] == "" and page.elements[4].attribute("id") == "k"
     assert [page.text(e) for e in innermost([e for e in page.elements if e.has_class(re.compile("a"))])] == ["34"]
+
+
+def test_pieces_together_are_the_page_in_both_ways_of_cutting():
+    import random
+
+    from fareloom.functions import markup
+    bits = ["<div class='a x'>", "</div>", "<p>", "text &amp; more", "<br>", '<img src="a>b">', "<span id=k />", "</span >", "<", "<b",
+            "'", '"', "₹ 1", "<a:b c>", "<i x='>'>", "<!-- c -->", "<script>1<2</script >", "<style a='</style x'>"]
+    rng, plain = random.Random(3), 0
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        pieces = markup._pieces(html)
+        assert "".join(pieces) == html
+        if markup._plain_pieces(html) is not None:
+            plain += 1
+            assert pieces == markup._PIECE.findall(html)
+    assert plain > 300
+
+
+def test_lines_of_a_large_capture_file_are_read_in_parts(spark, tmp_path):
+    rows = "origin,destination\r\n" + "DEL,BOM\r\n" * 3000
+    marked = "﻿" + rows
+    for name, text in (("whole", rows), ("open_end", rows + "x"), ("marked", marked), ("marked_open", marked + "x"), ("blank", "\n")):
+        (tmp_path / f"indigo_{name}.csv").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        lines = captures.text_lines(spark.read.format("text")).load(str(tmp_path / "indigo_whole.csv"))
+        assert lines.rdd.getNumPartitions() > 5 and lines.count() == 3001
+        assert captures.file_rejects(spark, str(tmp_path)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / ".indigo_whole.csv.crc").write_bytes(b"crc\x00\x00\x00\x02\x00" + b"\x01" * 4 * 53)  # no part of the text fits its checksum
+    assert [r["source_file"].rsplit("/", 1)[1] for r in captures.file_rejects(spark, str(tmp_path)).collect()] == ["indigo_whole.csv"]

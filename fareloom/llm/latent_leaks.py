@@ -4,9 +4,8 @@
    functions, and their low ``BITS`` bits are the terms.  One pass over all texts counts in how many
    passages of ``DF_WORDS`` words each term occurs; only the term table (stated size) comes together.
 2. A randomised SVD of TF-IDF passages gives the latent space: a seeded random block is multiplied by
-   A'A in tasks over passages, orthonormalised, multiplied again and rotated.  It is fitted on texts
-   kept by hash, ``FIT_PASSAGES`` passages at most (expected), and on the block of items; every
-   passage of every text is projected and searched.
+   A'A in tasks over passages, orthonormalised, multiplied again and rotated.  It is fitted on all
+   passages of all texts and on the block of items; every passage is projected and searched.
 3. Texts are covered by windows of 16, 32 and 64 words, half overlapping; an item is searched at the
    scale that fits its length (the largest for longer ones).  A window and an item whose latent cosine
    reaches ``COSINE`` are a candidate.
@@ -38,9 +37,9 @@ from .frames import filter_batches, over_batches
 BITS = 15
 RANK, OVER = 32, 8
 DF_WORDS = 32
-FIT_PASSAGES = 60_000
-FIT_TASKS = 8
+FIT_TASKS, TASK_PASSAGES = 8, 200_000  # least tasks of a multiplication, and passages for one more
 SCALES = (16, 32, 64)
+MULTIPLIED_WORDS = 8_000  # words of the texts that are multiplied at once, about; they stay in a core's cache
 COSINE = 0.3
 COVER = 0.8
 ITEM_BLOCK = 20_000
@@ -137,18 +136,46 @@ def _flat(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(term), np.concatenate(row)) if term else (np.empty(0, np.int64),) * 2
 
 
+def _add_passages(total: np.ndarray, texts: list[np.ndarray], idf: np.ndarray, block: np.ndarray) -> None:
+    """Add :func:`_rows_times` of the passages of texts, which have one width."""
+    width, parts = SCALES[-1], []
+    for codes in texts:
+        parts += [terms(codes), np.full(-len(codes) % width, -1, np.int32)]
+    flat = np.sort(np.concatenate(parts).reshape(-1, width), axis=1).ravel() if parts else np.empty(0, np.int32)
+    if not len(flat):
+        return
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    new[::width] = True
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, len(flat)))
+    term = flat[starts]
+    row, term, count = starts[term >= 0] // width, term[term >= 0], count[term >= 0]
+    x = count * idf[term]
+    x = (x / np.sqrt(np.bincount(row, x * x))[row]).astype(np.float32)
+    # no passage is empty, as a text is only filled up to its last one
+    y = np.add.reduceat(x[:, None] * block[term], np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
+    order = np.argsort(term.astype(np.int16), kind="stable")  # BITS of 15 fit
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
+    total[term[order][heads]] += np.add.reduceat(x[order][:, None] * y[row[order]], heads)
+
+
 def _multiplied(fit: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray:
     """A'A block over the passages of ``fit``, added up by Spark per range of terms."""
-    shared, width = fit.sparkSession.sparkContext.broadcast((idf, block)), block.shape[1]
+    shared, width = fit.sparkSession.sparkContext.broadcast((idf, block.astype(np.float32))), block.shape[1]
     ranges = 32
 
     def work(batches):
         idf, block = shared.value
         total = np.zeros((len(idf), width))
         for batch in batches:
-            texts = _arrays(batch)
-            for low in range(0, len(texts), 50):  # bounds the rows that are multiplied at once
-                total += _rows_times(*_flat(texts[low:low + 50], SCALES[-1]), idf, block)
+            held, size = [], 0
+            for codes in _arrays(batch):
+                held.append(codes)
+                size += len(codes)
+                if size > MULTIPLIED_WORDS:
+                    _add_passages(total, held, idf, block)
+                    held, size = [], 0
+            _add_passages(total, held, idf, block)
         for k, part in enumerate(np.split(total.astype(np.float32), ranges)):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()])], ["part", "data"])
 
@@ -165,10 +192,9 @@ def _multiplied(fit: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarra
 
 def latent_space(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, passages: int,
                  seed: int = 11) -> np.ndarray:
-    """(terms, RANK): right singular vectors, by two multiplications."""
-    share = min(1.0, FIT_PASSAGES * SCALES[-1] / max(1, passages * DF_WORDS))
-    order = F.shiftrightunsigned(F.xxhash64("id", "codes"), 11) / float(1 << 53)
-    fit = texts.where(order < share).select("codes").repartition(FIT_TASKS)
+    """(terms, RANK): right singular vectors, by two multiplications with all passages."""
+    # every task hands on one block, so there are as few as the passages need
+    fit = texts.select("codes").coalesce(FIT_TASKS + passages // TASK_PASSAGES)
     own = _flat(items, 1 << 30)
     q = np.random.default_rng(seed).standard_normal((len(idf), RANK + OVER))
     q, _ = np.linalg.qr(_multiplied(fit, idf, q) + _rows_times(*own, idf, q))

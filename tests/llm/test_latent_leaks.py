@@ -102,3 +102,19 @@ def test_space_spans_the_leading_singular_vectors(spark):
     used = np.flatnonzero(a.any(axis=0))
     exact = np.linalg.svd(a[:, used], full_matrices=False)[2][:4]
     assert np.allclose(np.linalg.norm(exact @ v[used], axis=1), 1, atol=0.02)
+
+
+def test_the_space_is_fitted_on_every_passage(spark):
+    """However many passages a corpus has, none is left out: the multiplication equals the one over all texts."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.4, 150) % 400) for _ in range(60)]
+    coded = L.coded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text")
+    df, n = L.term_frequencies(coded)
+    idf = L.inverse_frequencies(df, n)
+    space = L.latent_space(coded, [], idf, 3_000_000)
+    codes = [np.array(r.codes, np.int32) for r in coded.collect()]
+    want = L._rows_times(*L._flat(codes, L.SCALES[-1]), idf, space.astype(float))
+    block = np.random.default_rng(1).standard_normal((len(idf), 3))
+    assert np.allclose(L._multiplied(coded, idf, block), L._rows_times(*L._flat(codes, L.SCALES[-1]), idf, block), atol=1e-3)
+    held = np.linalg.norm(space.T @ want, axis=0)
+    assert (np.linalg.norm(want, axis=0) > 0.01).all() and (held > 0.5 * np.linalg.norm(want, axis=0)).all()

@@ -96,9 +96,16 @@ def _medians(spark, folder) -> DataFrame:
 
 
 def _daily_flagged(spark, folder) -> DataFrame:
-    """Each month's deduplicated quotes with their outlier mark, stored as in a daily run."""
+    """Each month's deduplicated quotes with their outlier mark, stored as in a daily run.
+
+    Only columns that the composite reads are shuffled, with those that come before them when ties are broken.
+    """
+    columns = [*ID, "scraped_date", *C.DAILY_KEYS, "carrier_name", "total_fare", "status", "scraped_ts", "capture_run", "source"]
+
     def build(s, d):
-        return dc.flagged_quotes(_quotes(s, d), outliers.history_maximum(_iqr(s, d)))
+        quotes = _quotes(s, d)
+        narrow = quotes.select(*[c for c in quotes.columns if c in columns])
+        return dc.flagged_quotes(narrow, outliers.history_maximum(_iqr(s, d)))
     return _stage(spark, folder, "flagged-days", build)
 
 
@@ -349,7 +356,7 @@ def quotes_with_bounds(spark, folder):
 @query
 def group_features(spark, folder):
     quotes = _quotes(spark, folder)
-    features = outliers.group_features(quotes)
+    features = materialise(outliers.group_features(quotes), "features")
     return quotes.join(features, outliers.MAD_KEYS, "left").select(
         *ID, S.rounded(F.col("grp_mean"), 2).alias("grp_mean"), S.rounded(F.col("grp_std"), 2).alias("grp_std"))
 
@@ -595,7 +602,9 @@ def iqr_flags(spark, folder):
 
 
 def _forest(spark, folder) -> DataFrame:
-    return _stage(spark, folder, "forest", lambda s, d: forest.flag_forest(_unflagged(s, d)))
+    # the columns of the model and of its readers: every row is shuffled to its point
+    columns = [*ID, *outliers.MAD_KEYS, "travel_date", "status", "total_fare", "quality_flags", "confidence_score"]
+    return _stage(spark, folder, "forest", lambda s, d: forest.flag_forest(_unflagged(s, d).select(*columns)))
 
 
 @query

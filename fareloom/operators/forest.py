@@ -140,7 +140,8 @@ def forest_points(scored: DataFrame) -> DataFrame:
     """Priced ok rows with their features (``fare`` is the fare itself)."""
     rows = scored.where((F.col("status") == "ok") & F.col("total_fare").isNotNull())
     day = F.weekday(F.col("travel_date").try_cast("date"))
-    return (rows.join(group_features(scored), MAD_KEYS)
+    features = materialise(group_features(scored), "features")  # a row per group: the rows need no shuffle
+    return (rows.join(features, MAD_KEYS)
             .select("route", "carrier_code",
                     F.col("advance_purchase_days").cast("double").alias("advance_days"),
                     F.coalesce(day, F.lit(0)).cast("double").alias("day_of_week"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..session import materialise
 from .order_stats import exact_order_stats, median_and_deviation
 
 MAD_KEYS = ["route", "carrier_code", "advance_purchase_days"]
@@ -29,13 +30,14 @@ def flag_mad(scored: DataFrame, threshold: float = C.MAD_THRESHOLD,
     ``limits`` (keys, median, reach) stands in for those of ``scored`` itself, where only some days are given.
 
     The confidence before this step is kept in ``base_confidence`` and used whenever it is
-    there, so running the step on its own output changes nothing.
+    there, so running the step on its own output changes nothing.  The limits are written out before
+    they meet the rows: their size is known then, and a small table needs no shuffle of the rows.
     """
     keys = list(keys or MAD_KEYS)
     if limits is None:
         limits = (mad_table(scored, keys).where(F.col("n_values") >= C.MAD_MIN_GROUP)
                   .withColumn("reach", threshold * F.greatest("mad", F.lit(C.MAD_FLOOR))))
-    limit = limits.select(*keys, F.col("median").alias("_median"), F.col("reach").alias("_reach"))
+    limit = materialise(limits.select(*keys, F.col("median").alias("_median"), F.col("reach").alias("_reach")), "limits")
     gap = F.abs(F.col("total_fare") - F.col("_median"))
     is_far = F.coalesce((F.col("status") == "ok") & (gap > F.col("_reach"))
                         & (gap > C.MAD_MIN_DIFFERENCE), F.lit(False))
@@ -82,7 +84,8 @@ def iqr_bounds(quotes: DataFrame, keys: list[str] | None = None,
 
 def attach_bounds(quotes: DataFrame, bounds: DataFrame, keys: list[str] | None = None
                   ) -> DataFrame:
-    return quotes.join(bounds, list(keys or IQR_KEYS), "left")
+    """Each quote with its bounds, which are written out first, as the limits of :func:`flag_mad`."""
+    return quotes.join(materialise(bounds, "bounds"), list(keys or IQR_KEYS), "left")
 
 
 def flag_iqr(quotes: DataFrame, keys: list[str] | None = None,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..session import materialise
 from .filters import crosscheck_candidates
 
 CONFIRM_KEYS = ["flight_num", "travel_date", "scraped_date"]
@@ -40,9 +41,12 @@ def confirmed_keys(quotes: DataFrame, tolerance: float = C.CROSS_SOURCE_TOLERANC
 
 
 def mark_confirmed(quotes: DataFrame, **options) -> DataFrame:
-    """Add ``cross_source_confirmed`` to every row, whatever its status."""
+    """Add ``cross_source_confirmed`` to every row, whatever its status.
+
+    The keys are written out first: where they are few, the rows are not shuffled to meet them.
+    """
     keys = list(options.get("keys") or CONFIRM_KEYS)
-    found = confirmed_keys(quotes, **options).withColumn("_confirmed", F.lit(True))
+    found = materialise(confirmed_keys(quotes, **options), "confirmed").withColumn("_confirmed", F.lit(True))
     return (quotes.join(found, keys, "left")
             .withColumn("cross_source_confirmed", F.coalesce("_confirmed", F.lit(False)))
             .drop("_confirmed"))
@@ -95,7 +99,7 @@ def quality_scores(quotes: DataFrame, stale: DataFrame | None = None,
     if stale is None:
         rows = rows.withColumn("is_stale", F.lit(False))
     else:
-        rows = rows.join(stale, "source_scraper", "left")
+        rows = rows.join(materialise(stale, "stale"), "source_scraper", "left")  # a row per source: no shuffle by source
     rules = _rules(F.coalesce("is_stale", F.lit(False)), F.col("cross_source_confirmed"))
     score = F.lit(1.0)
     for holds, _, change in rules:

@@ -11,6 +11,7 @@ from ..operators.dedup import keep_latest
 from ..operators.filters import agent_basket, direct_basket, in_agent_basket, in_direct_basket
 from ..operators.order_stats import exact_median
 from ..operators.outliers import IQR_KEYS, flag_iqr
+from ..session import materialise
 from .fare_index import weighted_fare
 
 FLIGHT_KEYS = ["origin", "destination", "flight_num", "advance_purchase_days"]
@@ -22,9 +23,10 @@ def flagged_quotes(quotes: DataFrame, history_max: DataFrame | None = None,
     """Deduplicated quotes of each day with ``outlier_flag``.
 
     Days are worked on independently and all at once; ``day=None`` takes the table as one day.
+    The newest rows are written once, as both the bounds and the flags read them.
     """
     by_day = [day] if day else []
-    rows = keep_latest(quotes, keys=[*by_day, *C.DAILY_KEYS], keep_sources=keep_sources)
+    rows = materialise(keep_latest(quotes, keys=[*by_day, *C.DAILY_KEYS], keep_sources=keep_sources), "newest")
     rows = rows.withColumn("fare_class", F.lower("fare_class"))
     if economy_only:
         rows = rows.where(F.col("fare_class") == "economy")

@@ -113,3 +113,15 @@ def test_running_total_spreads_one_group_with_one_time(spark):
     assert [r["total"] for r in rows] == list(np.cumsum(np.arange(4000) % 3))
     parts = spark.read.parquet(max(Path(run_folder(spark)).glob("running-parts-*"), key=lambda p: p.stat().st_mtime).as_posix())
     assert parts.groupBy("_part").count().count() > 1
+
+
+def test_limits_bounds_and_marks_meet_the_rows_without_a_shuffle(spark):
+    from fareloom.operators import quality
+
+    quotes = make_quotes(spark, [{"total_fare": 1000.0 + k, "flight_num": f"6E {k % 3}", "source_scraper": f"s{k % 2}"} for k in range(30)])
+    stale = spark.createDataFrame([("s0", True), ("s1", False)], "source_scraper string, is_stale boolean")
+    for frame in (outliers.flag_mad(quotes), outliers.flag_iqr(quotes), quality.quality_scores(quotes, stale),
+                  outliers.attach_bounds(quotes, outliers.iqr_bounds(quotes))):
+        assert frame.count() == 30
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan

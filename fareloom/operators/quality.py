@@ -13,24 +13,28 @@ from ..session import materialise
 from .filters import crosscheck_candidates
 
 CONFIRM_KEYS = ["flight_num", "travel_date", "scraped_date"]
+CELL_STEPS = 16
 
 
 def confirmed_keys(quotes: DataFrame, tolerance: float = C.CROSS_SOURCE_TOLERANCE,
                    keys: list[str] | None = None) -> DataFrame:
     """Keys for which two sources quote fares within ``tolerance`` of each other.
 
-    Fares are put on a logarithmic grid whose step is the tolerance; each fare is entered
-    in its own cell and the next one, so any agreeing pair shares a cell.  Inside a cell
+    Fares are put on a logarithmic grid whose step is the tolerance; a cell holds ``CELL_STEPS``
+    steps.  A fare on the last step of its cell is entered in the next one as well, so any
+    agreeing pair shares a cell and few fares are entered twice.  Inside a cell
     the closest pair from different sources is adjacent in fare order, which one ``lag``
-    finds.  No pairs are built, and a key with very many quotes is spread over its cells.
+    finds; equal offers stand beside each other and change nothing.  No pairs are built, and a key
+    with very many quotes is spread over its cells.
     """
     keys = list(keys or CONFIRM_KEYS)
     offers = (crosscheck_candidates(quotes).where(F.col("total_fare") > 0)
               .dropna(subset=[*keys, "source_scraper"])
-              .select(*keys, "source_scraper", "total_fare").distinct())
+              .select(*keys, "source_scraper", "total_fare"))
     step = -math.log1p(-tolerance) * 1.001
-    cell = F.floor(F.log("total_fare") / step)
-    placed = offers.withColumn("_cell", F.explode(F.array(cell, cell + 1)))
+    place = F.floor(F.log("total_fare") / step)
+    cells = F.array_distinct(F.array(F.floor(place / CELL_STEPS), F.floor((place + 1) / CELL_STEPS)))
+    placed = offers.withColumn("_cell", F.explode(cells))
     order = Window.partitionBy(*keys, "_cell").orderBy("total_fare", "source_scraper")
     gap = (F.col("total_fare") - F.col("_fare")) / F.col("total_fare")
     return (placed

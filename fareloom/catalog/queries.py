@@ -41,24 +41,39 @@ def query(build):
 _STAGES = {}
 
 
+def _key(spark: SparkSession, folder: str, name: str) -> tuple:
+    return spark.sparkContext.applicationId, folder.rstrip("/"), name
+
+
 def _stage(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"), name)
+    key = _key(spark, folder, name)
     if key not in _STAGES:
-        _STAGES[key] = materialise(build(spark, folder), name)
+        _STAGES[key] = materialise(build(spark, folder), name.split(":")[0])
     return _STAGES[key]
 
 
-def _quotes(spark: SparkSession, folder: str) -> DataFrame:
-    return _stage(spark, folder, "quotes", star.fare_quotes)
+def _quotes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The quotes, or some columns of them: what a query does not read is neither shuffled nor written for it."""
+    if not columns:
+        return _stage(spark, folder, "quotes", star.fare_quotes)
+    whole = _STAGES.get(_key(spark, folder, "quotes"))
 
+    def build(s, d):
+        quotes = star.fare_quotes(s, d)
+        return quotes.select(*[c for c in quotes.columns if c in columns])
+    if whole is not None:
+        return whole.select(*[c for c in whole.columns if c in columns])
+    return _stage(spark, folder, "quotes:" + ",".join(sorted({*columns})), build)
 
-def _unflagged(spark, folder) -> DataFrame:
-    return _quotes(spark, folder).withColumns({
+
+def _unflagged(spark, folder, *columns) -> DataFrame:
+    return _quotes(spark, folder, *columns).withColumns({
         "confidence_score": F.lit(1.0), "quality_flags": F.array().cast("array<string>")})
 
 
-def _mad(spark, folder) -> DataFrame:
-    return _stage(spark, folder, "mad", lambda s, d: outliers.flag_mad(_unflagged(s, d)))
+def _mad(spark, folder, *columns) -> DataFrame:
+    """``columns`` and those of the index, with the statistical flag; the limits are stored, the rows are not once more."""
+    return outliers.flag_mad(_unflagged(spark, folder, *columns, *outliers.MAD_KEYS, "scraped_date", "status", "total_fare"))
 
 
 def _stale(spark, folder) -> DataFrame:
@@ -67,16 +82,20 @@ def _stale(spark, folder) -> DataFrame:
     return quality.stale_sources(checks, NOW, known)
 
 
-def _score(spark, folder) -> DataFrame:
-    return quality.quality_scores(_quotes(spark, folder), _stale(spark, folder))
+def _score(spark, folder, *columns) -> DataFrame:
+    return quality.quality_scores(_quotes(spark, folder, *columns), _stale(spark, folder))
 
 
-def _scored(spark, folder) -> DataFrame:
-    return _stage(spark, folder, "scored", _score)
+def _scored(spark, folder, *columns) -> DataFrame:
+    """The rows' numbers, ``columns`` and those that the rules read, with score and flags."""
+    return _score(spark, folder, *ID, *columns, *quality.CONFIRM_KEYS, "source_scraper", "total_fare", "status",
+                  "data_source_method", "fare_split_estimated")
 
 
-def _iqr(spark, folder) -> DataFrame:
-    return _stage(spark, folder, "iqr", lambda s, d: outliers.flag_iqr(_quotes(s, d)))
+def _iqr(spark, folder, *columns) -> DataFrame:
+    """Quotes (or ``columns`` and those of the bounds) with ``outlier_flag``; the bounds are stored, the rows are not once more."""
+    needed = [*columns, *outliers.IQR_KEYS, "status", "total_fare"] if columns else []
+    return outliers.flag_iqr(_quotes(spark, folder, *needed))
 
 
 def _daily_index(spark, folder) -> DataFrame:
@@ -92,21 +111,22 @@ def _index_long(spark, folder) -> DataFrame:
 
 
 def _medians(spark, folder) -> DataFrame:
-    return fi.horizon_medians(filters.index_eligible(_mad(spark, folder)))
+    return _stage(spark, folder, "medians", lambda s, d: fi.horizon_medians(filters.index_eligible(_mad(s, d))))
 
 
 def _daily_flagged(spark, folder) -> DataFrame:
-    """Each month's deduplicated quotes with their outlier mark, stored as in a daily run.
+    """Each month's deduplicated quotes with their outlier mark; the quotes are stored, the marks follow from stored bounds.
 
     Only columns that the composite reads are shuffled, with those that come before them when ties are broken.
     """
-    columns = [*ID, "scraped_date", *C.DAILY_KEYS, "carrier_name", "total_fare", "status", "scraped_ts", "capture_run", "source"]
-
-    def build(s, d):
-        quotes = _quotes(s, d)
-        narrow = quotes.select(*[c for c in quotes.columns if c in columns])
-        return dc.flagged_quotes(narrow, outliers.history_maximum(_iqr(s, d)))
-    return _stage(spark, folder, "flagged-days", build)
+    read = ["scraped_date", *C.DAILY_KEYS, "carrier_name", "total_fare", "status", "source"]
+    key = _key(spark, folder, "flagged-days")
+    if key not in _STAGES:
+        # the bounds of the history are taken from the same stored columns
+        quotes = _quotes(spark, folder, *ID, *read, "scraped_ts", "capture_run")
+        history = outliers.history_maximum(outliers.flag_iqr(quotes))
+        _STAGES[key] = dc.flagged_quotes(quotes, history, columns=read)
+    return _STAGES[key]
 
 
 def _raw(spark, folder) -> DataFrame:
@@ -260,22 +280,22 @@ def chip_classes(spark, folder):
 
 @query
 def index_eligible(spark, folder):
-    return filters.index_eligible(_mad(spark, folder)).select(*ID, "route", "total_fare")
+    return filters.index_eligible(_mad(spark, folder, *ID)).select(*ID, "route", "total_fare")
 
 
 @query
 def excluded_fare_audit(spark, folder):
-    return fi.excluded_fares(_mad(spark, folder)).select(*ID, "status", "exclusion_reason")
+    return fi.excluded_fares(_mad(spark, folder, *ID)).select(*ID, "status", "exclusion_reason")
 
 
 @query
 def direct_basket(spark, folder):
-    return filters.direct_basket(_iqr(spark, folder)).select(*ID, "total_fare")
+    return filters.direct_basket(_iqr(spark, folder, *ID, "source", "carrier_name")).select(*ID, "total_fare")
 
 
 @query
 def agent_basket(spark, folder):
-    return filters.agent_basket(_iqr(spark, folder)).select(*ID, "total_fare")
+    return filters.agent_basket(_iqr(spark, folder, *ID, "source")).select(*ID, "total_fare")
 
 
 @query
@@ -373,7 +393,7 @@ def confirmed_quotes(spark, folder):
 
 @query
 def history_maximum(spark, folder):
-    return outliers.history_maximum(_iqr(spark, folder))
+    return outliers.history_maximum(_iqr(spark, folder, "origin"))
 
 
 @query
@@ -395,7 +415,7 @@ def stale_sources(spark, folder):
 
 @query
 def trajectory_with_baseline(spark, folder):
-    flagged = _iqr(spark, folder)
+    flagged = _iqr(spark, folder, "route", "capture_day")
     both = products.trajectory_with_baseline(
         products.route_trajectory(flagged),
         products.seasonal_baseline(flagged, 30, "capture_day"))
@@ -462,7 +482,7 @@ def composite_fares_unweighted(spark, folder):
 
 @query
 def horizon_composites(spark, folder):
-    return dc.horizon_composite(_iqr(spark, folder), W2).withColumn(
+    return dc.horizon_composite(_iqr(spark, folder, "scraped_date", "source", "carrier_name"), W2).withColumn(
         "composite", S.rounded(F.col("composite"), 2))
 
 
@@ -515,7 +535,7 @@ def provenance_stats(spark, folder):
 
 @query
 def route_contribution(spark, folder):
-    return products.route_contribution(_iqr(spark, folder), W2)
+    return products.route_contribution(_iqr(spark, folder, "route"), W2)
 
 
 @query
@@ -525,7 +545,7 @@ def lead_time_curve(spark, folder):
 
 @query
 def class_gap(spark, folder):
-    return products.class_gap(_iqr(spark, folder))
+    return products.class_gap(_iqr(spark, folder, "route", "fare_class"))
 
 
 @query
@@ -587,12 +607,12 @@ def rebased_route_fares(spark, folder):
 
 @query
 def quality_scores(spark, folder):
-    return _flag_text(_score(spark, folder)).select(*ID, "confidence_score", "quality_flags")
+    return _flag_text(_scored(spark, folder)).select(*ID, "confidence_score", "quality_flags")
 
 
 @query
 def mad_flags(spark, folder):
-    return _flag_text(outliers.flag_mad(_scored(spark, folder))).select(
+    return _flag_text(outliers.flag_mad(_scored(spark, folder, *outliers.MAD_KEYS))).select(
         *ID, "confidence_score", "quality_flags")
 
 
@@ -601,15 +621,15 @@ def iqr_flags(spark, folder):
     return outliers.flag_iqr(_quotes(spark, folder)).select(*ID, "outlier_flag")
 
 
-def _forest(spark, folder) -> DataFrame:
-    # the columns of the model and of its readers: every row is shuffled to its point
-    columns = [*ID, *outliers.MAD_KEYS, "travel_date", "status", "total_fare", "quality_flags", "confidence_score"]
-    return _stage(spark, folder, "forest", lambda s, d: forest.flag_forest(_unflagged(s, d).select(*columns)))
+def _forest(spark, folder, *columns) -> DataFrame:
+    """The columns of the model and ``columns``, with score and flag: every row is shuffled to its point."""
+    return forest.flag_forest(_unflagged(spark, folder, *columns, *outliers.MAD_KEYS, "travel_date", "status", "total_fare")
+                              .drop("confidence_score"))
 
 
 @query
 def forest_features(spark, folder):
-    return forest.forest_points(_unflagged(spark, folder)).groupBy("route", "carrier_code", "advance_days", "day_of_week").agg(
+    return forest.forest_points(_unflagged(spark, folder, *outliers.MAD_KEYS, "travel_date", "status", "total_fare")).groupBy("route", "carrier_code", "advance_days", "day_of_week").agg(
         F.count("*").alias("n_rows"), S.rounded(F.sum(F.col("fare").cast("decimal(20,2)")).cast("double"), 2).alias("fares"))
 
 
@@ -623,7 +643,7 @@ def forest_summary(spark, folder):
 
 @query
 def forest_flags(spark, folder):
-    return _flag_text(_forest(spark, folder)).select(*ID, "route", "anomaly_score", "quality_flags")
+    return _flag_text(_forest(spark, folder, *ID)).select(*ID, "route", "anomaly_score", "quality_flags")
 
 
 @query
@@ -667,7 +687,7 @@ def quality_flag_page(spark, folder):
 
 @query
 def route_heatmap(spark, folder):
-    return products.route_heatmap(_iqr(spark, folder), W2)
+    return products.route_heatmap(_iqr(spark, folder, "route", "scraped_date"), W2)
 
 
 @query
@@ -677,23 +697,23 @@ def index_heatmap(spark, folder):
 
 @query
 def route_heatmap_sorted(spark, folder):
-    return products.sorted_by(products.route_heatmap(_iqr(spark, folder), W2), "route", True)
+    return products.sorted_by(products.route_heatmap(_iqr(spark, folder, "route", "scraped_date"), W2), "route", True)
 
 
 @query
 def route_trajectory(spark, folder):
-    return products.route_trajectory(_iqr(spark, folder))
+    return products.route_trajectory(_iqr(spark, folder, "route"))
 
 
 @query
 def seasonal_baseline(spark, folder):
-    return products.seasonal_baseline(_iqr(spark, folder), 30, "capture_day").withColumn(
+    return products.seasonal_baseline(_iqr(spark, folder, "route", "capture_day"), 30, "capture_day").withColumn(
         "baseline", S.rounded(F.col("baseline"), 2))
 
 
 @query
 def book_or_wait(spark, folder):
-    flagged = _iqr(spark, folder)
+    flagged = _iqr(spark, folder, "route", "capture_day")
     return products.book_or_wait(products.route_trajectory(flagged),
                                  products.seasonal_baseline(flagged, 30, "capture_day")).withColumn(
         "trailing_median", S.rounded(F.col("trailing_median"), 2))

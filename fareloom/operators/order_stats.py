@@ -10,6 +10,9 @@ by many tasks:
 
 A band is a fixed range on a logarithmic scale, so its number per group is bounded by the
 width of the double range and not by the number of rows.
+
+``rescan`` is for stored rows that are cheap to read: bands are counted in a first reading, and
+in a second one only values of the bands that hold a wanted rank are shuffled, a few in a hundred.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 UPPER_MIDDLE = "upper_middle"
 _BANDS_PER_UNIT = 32
 
@@ -44,20 +49,24 @@ def _ranks(stat, total: Column) -> tuple[Column, Column, Column]:
 
 
 def exact_order_stats(df: DataFrame, keys: list[str], value: str, stats: dict,
-                      weight: str | None = None) -> DataFrame:
+                      weight: str | None = None, rescan: bool = False) -> DataFrame:
     """One row per group: ``keys``, ``n_values`` and one column per entry of ``stats``.
 
     ``stats`` maps an output name to a probability (interpolated linearly, as pandas and
     ``percentile`` do) or to ``UPPER_MIDDLE`` (element floor(n/2) of the sorted values).
     ``weight`` names a column with the multiplicity of each row.
+    ``rescan`` reads ``df`` two times, the first time at once, and shuffles few of its values.
     """
-    rows = df.dropna(subset=[*keys, value]).withColumn("_band", value_band(F.col(value)))
+    rows = (df.dropna(subset=[*keys, value]).withColumn("_band", value_band(F.col(value)))
+            .where(F.col("_band").isNotNull()))
     many = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (rows.where(F.col("_band").isNotNull())
-              .groupBy(*keys, "_band", value).agg(many.alias("_n")))
+    if not rescan:
+        counts = rows.groupBy(*keys, "_band", value).agg(many.alias("_n"))
 
     group = Window.partitionBy(*keys)
-    bands = (counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_band_n"))
+    sizes = (rows.groupBy(*keys, "_band").agg(many.alias("_band_n")) if rescan
+             else counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_band_n")))
+    bands = (sizes
              .withColumn("_upto", F.sum("_band_n").over(
                  group.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_total", F.sum("_band_n").over(group))
@@ -73,6 +82,9 @@ def exact_order_stats(df: DataFrame, keys: list[str], value: str, stats: dict,
                    inside(high, F.col("_before"), F.col("_band_n"))]
     targets = (bands.where(reduce(lambda a, b: a | b, wanted))
                .select(*keys, "_band", "_before", "_total"))
+    if rescan:
+        targets = materialise(targets, "bands")
+        counts = rows.join(targets.select(*keys, "_band"), [*keys, "_band"]).groupBy(*keys, "_band", value).agg(many.alias("_n"))
 
     in_band = Window.partitionBy(*keys, "_band").orderBy(value)
     placed = (counts.join(targets, [*keys, "_band"])
@@ -97,15 +109,20 @@ def exact_order_stats(df: DataFrame, keys: list[str], value: str, stats: dict,
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
-                 weight: str | None = None) -> DataFrame:
-    return exact_order_stats(df, keys, value, {name: 0.5}, weight).drop("n_values")
+                 weight: str | None = None, rescan: bool = False) -> DataFrame:
+    return exact_order_stats(df, keys, value, {name: 0.5}, weight, rescan).drop("n_values")
 
 
-def median_and_deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def median_and_deviation(df: DataFrame, keys: list[str], value: str, rescan: bool = False) -> DataFrame:
     """``keys, n_values, median, mad``: the median and the median distance from it.
 
-    The value counts have one shuffle, which both steps use, so the rows are read one time.
+    The value counts have one shuffle, which both steps use, so the rows are read one time; with ``rescan``
+    they are read four times instead, and few values are shuffled.
     """
+    if rescan:
+        centre = materialise(exact_median(df, keys, value, rescan=True), "medians")
+        distance = df.join(centre, keys).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("_distance"))
+        return exact_order_stats(distance, [*keys, "median"], "_distance", {"mad": 0.5}, rescan=True)
     # the filter that the order statistics set as well, so that both steps have the same plan below the shuffle
     counts = value_counts(df.where(value_band(F.col(value)).isNotNull()), keys, value)
     centre = exact_median(counts, keys, value, "median", weight="n")

@@ -20,7 +20,7 @@ def _priced_ok(quotes: DataFrame) -> DataFrame:
 
 def mad_table(quotes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, n_values, median, mad`` over priced ok quotes."""
-    return median_and_deviation(_priced_ok(quotes), list(keys or MAD_KEYS), "total_fare")
+    return median_and_deviation(_priced_ok(quotes), list(keys or MAD_KEYS), "total_fare", rescan=True)
 
 
 def flag_mad(scored: DataFrame, threshold: float = C.MAD_THRESHOLD,
@@ -66,7 +66,7 @@ def iqr_bounds(quotes: DataFrame, keys: list[str] | None = None,
     ``origin, destination, max_fare``), or ten times a default for a new route.
     """
     keys = list(keys or IQR_KEYS)
-    stats = exact_order_stats(_priced_ok(quotes), keys, "total_fare", {"q1": 0.25, "q3": 0.75})
+    stats = exact_order_stats(_priced_ok(quotes), keys, "total_fare", {"q1": 0.25, "q3": 0.75}, rescan=True)
     if history_max is None:
         stats = stats.withColumn("max_fare", F.lit(None).cast("double"))
     else:

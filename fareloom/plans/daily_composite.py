@@ -19,14 +19,17 @@ FLIGHT_KEYS = ["origin", "destination", "flight_num", "advance_purchase_days"]
 
 def flagged_quotes(quotes: DataFrame, history_max: DataFrame | None = None,
                    day: str | None = "scraped_date", keep_sources: bool = False,
-                   economy_only: bool = False, bounds_by_class: bool = False) -> DataFrame:
+                   economy_only: bool = False, bounds_by_class: bool = False,
+                   columns: list[str] | None = None) -> DataFrame:
     """Deduplicated quotes of each day with ``outlier_flag``.
 
     Days are worked on independently and all at once; ``day=None`` takes the table as one day.
-    The newest rows are written once, as both the bounds and the flags read them.
+    The newest rows are written once, as both the bounds and the flags read them; ``columns`` names those
+    that the reader wants, where others only break ties.
     """
     by_day = [day] if day else []
-    rows = materialise(keep_latest(quotes, keys=[*by_day, *C.DAILY_KEYS], keep_sources=keep_sources), "newest")
+    newest = keep_latest(quotes, keys=[*by_day, *C.DAILY_KEYS], keep_sources=keep_sources)
+    rows = materialise(newest.select(*columns) if columns else newest, "newest")
     rows = rows.withColumn("fare_class", F.lower("fare_class"))
     if economy_only:
         rows = rows.where(F.col("fare_class") == "economy")
@@ -64,7 +67,7 @@ def horizon_composite(flagged: DataFrame, weights: dict[str, float],
                       day: str | None = "scraped_date") -> DataFrame:
     """Weighted mean of route medians per horizon, weights renormalised over those present."""
     by_day = [day] if day else []
-    medians = exact_median(direct_basket(flagged), [*by_day, *IQR_KEYS], "total_fare", "fare")
+    medians = exact_median(direct_basket(flagged), [*by_day, *IQR_KEYS], "total_fare", "fare", rescan=True)
     route = S.route_name(F.col("origin"), F.col("destination"))
     wide = medians.groupBy(*by_day, "advance_purchase_days").agg(
         *[F.max(F.when(route == r, F.col("fare"))).alias(f"fare_{r}") for r in weights])

@@ -16,7 +16,7 @@ from ..operators.order_stats import exact_median
 def horizon_medians(eligible: DataFrame) -> DataFrame:
     """Median fare per (date, route, horizon)."""
     keys = ["scraped_date", "route", "advance_purchase_days"]
-    return exact_median(eligible, keys, "total_fare", "fare")
+    return exact_median(eligible, keys, "total_fare", "fare", rescan=True)
 
 
 def route_days(medians: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def sorted_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame
 
 def route_trend(quotes: DataFrame) -> DataFrame:
     """Median fare per route and date (any status, all horizons), first date = 100."""
-    daily = exact_median(quotes, ["route", "scraped_date"], "total_fare", "fare")
+    daily = exact_median(quotes, ["route", "scraped_date"], "total_fare", "fare", rescan=True)
     first = F.first("fare").over(Window.partitionBy("route").orderBy("scraped_date"))
     base = F.when(first == 0, F.lit(1.0)).otherwise(first)
     return daily.select("route", F.col("scraped_date").alias("date"),
@@ -123,7 +123,7 @@ def route_heatmap(flagged: DataFrame, weights: dict[str, float] | None = None) -
     newest = good.select("scraped_date").where("scraped_date is not null").distinct().orderBy(F.desc("scraped_date")).limit(2)
     marked = newest.withColumn("is_last", F.row_number().over(Window.orderBy(F.desc("scraped_date"))) == 1)
     recent = good.join(F.broadcast(marked), "scraped_date")
-    fares = exact_median(recent, ["route", "is_last"], "total_fare", "fare")
+    fares = exact_median(recent, ["route", "is_last"], "total_fare", "fare", rescan=True)
     is_last = F.col("is_last")
     pair = (fares.groupBy("route")
             .agg(F.max(F.when(is_last, F.col("fare"))).alias("current_fare"),
@@ -164,7 +164,7 @@ def day_over_day(daily: DataFrame) -> DataFrame:
 def route_contribution(flagged: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Share of each route in the weighted fare level, from upper-middle medians."""
     medians = exact_order_stats(accepted(flagged), ["route"], "total_fare",
-                                {"median_fare": UPPER_MIDDLE})
+                                {"median_fare": UPPER_MIDDLE}, rescan=True)
     table = route_weights(flagged.sparkSession, weights or C.WEIGHTS_V2)
     weighted = (medians.join(table, "route", "left")
                 .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
@@ -246,8 +246,8 @@ def route_trajectory(flagged: DataFrame) -> DataFrame:
     """
     good = accepted(flagged)
     by_window = exact_order_stats(good, ["route", "advance_purchase_days"], "total_fare",
-                                  {"fare": UPPER_MIDDLE})
-    overall = exact_order_stats(good, ["route"], "total_fare", {"route_median": UPPER_MIDDLE})
+                                  {"fare": UPPER_MIDDLE}, rescan=True)
+    overall = exact_order_stats(good, ["route"], "total_fare", {"route_median": UPPER_MIDDLE}, rescan=True)
     wide = (by_window.groupBy("route").pivot("advance_purchase_days", C.HORIZONS)
             .agg(F.max("fare")).join(overall, "route"))
     seen = {h: F.when(F.col(f"`{h}`") != 0, F.col(f"`{h}`")) for h in C.HORIZONS}
@@ -271,7 +271,7 @@ def seasonal_baseline(flagged: DataFrame, days: int = 30, date: str = "scraped_d
     newest = F.lit(as_of) if as_of else good.select(F.max(date)).scalar()
     start = F.date_sub(newest.cast("date"), days)
     trailing = good.where((F.col(date).cast("date") > start) & (F.col(date) <= newest))
-    return exact_median(trailing, ["route", "advance_purchase_days"], "total_fare", "baseline")
+    return exact_median(trailing, ["route", "advance_purchase_days"], "total_fare", "baseline", rescan=True)
 
 
 def trajectory_with_baseline(trajectory: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import materialise, prepare
 
 BASKET_WEIGHTS = {
     "ASIA-EUROPE": 0.25, "ASIA-AMERICA": 0.20, "EUROPE-AMERICA": 0.18,
@@ -57,48 +57,55 @@ def _regions(spark: SparkSession, folder: str, prefix: str, name: str) -> DataFr
 
 
 def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """One quote per line item."""
+    """One quote per line item.
+
+    What follows from the line item alone is worked out before the join, and orders meet their customers first,
+    so the line items move once and only with the columns that the reader wants.  The suppliers' regions are
+    written out: their size is known then, and where it is small the line items need no second shuffle.
+    """
     origin = (table(spark, folder, "customer")
               .join(_regions(spark, folder, "c", "origin"), "c_nationkey"))
-    destination = (table(spark, folder, "supplier")
-                   .join(_regions(spark, folder, "s", "destination"), "s_nationkey"))
-    # dealt out by the key of the first join: a small or badly split file still feeds all tasks
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = (table(spark, folder, "lineitem").repartition(tasks, "l_orderkey")
-              .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(origin, F.col("o_custkey") == F.col("c_custkey"))
-              .join(destination, F.col("l_suppkey") == F.col("s_suppkey")))
-    line, part = F.col("l_linenumber"), F.col("l_partkey")
-    horizon = (F.when(line.isin(1, 6), 1).when(line.isin(2, 7), 7).when(line == 3, 15)
-               .when(line == 4, 30).otherwise(45))
+    destination = materialise(
+        table(spark, folder, "supplier").join(_regions(spark, folder, "s", "destination"), "s_nationkey")
+        .select("s_suppkey", "destination"), "destinations")
+    orders = (table(spark, folder, "orders").withColumn("capture_month", F.trunc("o_orderdate", "month"))
+              .join(origin, F.col("o_custkey") == F.col("c_custkey")))
+    number, part, price = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_extendedprice")
+    horizon = (F.when(number.isin(1, 6), 1).when(number.isin(2, 7), 7).when(number == 3, 15)
+               .when(number == 4, 30).otherwise(45))
     status = (F.when(F.col("l_quantity") <= 2, F.lit("parse_error"))
               .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"),
                     F.lit("sold_out")).otherwise(F.lit("ok")))
-    price = F.col("l_extendedprice")
-    fare = F.when((F.col("status") == "ok") & (F.col("l_quantity") != 3),
+    fare = F.when((status == "ok") & (F.col("l_quantity") != 3),
                   F.when(part % 97 == 0, price * 6).otherwise(price))
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice",
+        F.trunc("l_shipdate", "month").alias("travel_month"), horizon.alias("advance_purchase_days"), status.alias("status"), fare.alias("total_fare"),
+        F.when(F.col("l_quantity") > 45, F.lit("business")).otherwise(F.lit("economy")).alias("fare_class"))
+    # dealt out by the key of the first join: a small or badly split file still feeds all tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = (lines.repartition(tasks, "l_orderkey")
+              .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(destination, F.col("l_suppkey") == F.col("s_suppkey")))
     source = F.when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"),
                     F.lit("ota")).otherwise(F.lit("airline_direct"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     stamp = F.when(part % 7 == 0, F.concat(day, F.lit("T20:30:00+00:00"))).otherwise(
         F.concat(day, F.lit("T02:30:00+05:30")))
-    return joined.withColumn("status", status).select(
-        F.col("l_orderkey").alias("order_key"), line.alias("line_number"),
+    return joined.select(
+        F.col("l_orderkey").alias("order_key"), number.alias("line_number"),
         part.alias("part_key"), F.col("l_suppkey").alias("supp_key"), price.alias("price"),
         "origin", "destination", F.concat("origin", F.lit("-"), "destination").alias("route"),
         F.col("c_mktsegment").alias("carrier_code"),
         F.initcap("c_mktsegment").alias("carrier_name"),
         F.concat(F.substring("c_mktsegment", 1, 2), F.lit(" "), (part % 40).cast("string"))
         .alias("flight_num"),
-        F.date_format(F.trunc("l_shipdate", "month"), "yyyy-MM-dd").alias("travel_date"),
-        horizon.alias("advance_purchase_days"),
-        F.when(F.col("l_quantity") > 45, F.lit("business")).otherwise(F.lit("economy"))
-        .alias("fare_class"),
-        fare.alias("total_fare"), (part % 7 == 0).alias("fare_split_estimated"), "status",
+        F.date_format("travel_month", "yyyy-MM-dd").alias("travel_date"),
+        "advance_purchase_days", "fare_class", "total_fare", (part % 7 == 0).alias("fare_split_estimated"), "status",
         F.when(F.col("status") == "parse_error", F.when(part % 2 == 0, F.lit("error"))
                .otherwise(F.lit("parse_error"))).otherwise(F.upper("status")).alias("raw_status"),
         stamp.alias("scraped_at"), F.col("o_orderdate").alias("scraped_ts"), day.alias("capture_day"),
-        F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("scraped_date"),
+        F.date_format("capture_month", "yyyy-MM-dd").alias("scraped_date"),
         F.concat(F.lit("RUN_"), "o_orderstatus").alias("capture_run"), source.alias("source"),
         F.lower("o_orderpriority").alias("source_name"),
         F.col("o_orderpriority").alias("source_scraper"),

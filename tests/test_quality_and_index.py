@@ -163,3 +163,41 @@ def test_day_run_is_idempotent(spark, tmp_path):
     days = read_table(spark, composite).orderBy("date").collect()
     assert [(r["date"], r["composite_score"], r["ota_premium_pct"]) for r in days] == [
         ("2026-09-01", 5100.0, 0.0), ("2026-09-02", 5100.0, 0.0)]
+
+
+def _tables(spark, folder, lines=400):
+    """A small star schema: every order has its customer, every line item its order and its supplier."""
+    from fareloom.sources.star import LAYOUTS
+
+    number = "CAST(id AS INT)"
+    made = {
+        "region": (5, f"{number} AS r_regionkey, concat('R', id) AS r_name"),
+        "nation": (25, f"{number} AS n_nationkey, concat('N', id) AS n_name, CAST(id % 5 AS INT) AS n_regionkey"),
+        "customer": (30, "id AS c_custkey, 'c' AS c_name, CAST(id % 25 AS INT) AS c_nationkey, 0D AS c_acctbal, concat('SEG', id % 3) AS c_mktsegment"),
+        "supplier": (10, "id AS s_suppkey, 's' AS s_name, CAST(id % 25 AS INT) AS s_nationkey, 0D AS s_acctbal"),
+        "orders": (100, "id AS o_orderkey, id % 30 AS o_custkey, 'F' AS o_orderstatus, 1D AS o_totalprice, "
+                        "TIMESTAMP_NTZ'1995-01-05' + make_dt_interval(id) AS o_orderdate, concat(id % 5, '-P') AS o_orderpriority"),
+        "lineitem": (lines, "id % 100 AS l_orderkey, id AS l_partkey, id % 10 AS l_suppkey, CAST(id % 7 + 1 AS INT) AS l_linenumber, "
+                            "CAST(id % 50 AS DOUBLE) AS l_quantity, 1000D + id AS l_extendedprice, 0D AS l_discount, 0D AS l_tax, "
+                            "'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ'1995-03-05' AS l_shipdate")}
+    for name, (rows, columns) in made.items():
+        spark.range(rows).createOrReplaceTempView("ids")
+        frame = spark.sql(f"SELECT {columns} FROM ids")
+        assert [f.name for f in frame.schema] == [c.split()[0] for c in LAYOUTS[name].split(", ")]
+        frame.write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_line_items_move_once_with_the_columns_that_are_read(spark, tmp_path):
+    from fareloom.catalog import queries
+    from fareloom.sources import star
+
+    folder = str(tmp_path)
+    _tables(spark, folder)
+    narrow = star.fare_quotes(spark, folder).select("route", "status", "total_fare")
+    assert narrow.count() == 400
+    plan = narrow._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "hashpartitioning(l_suppkey" not in plan and "l_shipdate" not in plan
+    index = queries.QUERIES["fare_index_daily"](spark, folder).collect()
+    stored = queries._STAGES[queries._key(spark, folder, "quotes:advance_purchase_days,carrier_code,route,scraped_date,status,total_fare")]
+    assert stored.count() == 400 and len(index) == 4
+    assert queries._key(spark, folder, "quotes") not in queries._STAGES

@@ -125,3 +125,17 @@ def test_limits_bounds_and_marks_meet_the_rows_without_a_shuffle(spark):
         assert frame.count() == 30
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_second_reading_shuffles_only_bands_with_a_wanted_rank(spark):
+    rng = np.random.default_rng(5)
+    groups = {"wide": list(np.round(rng.lognormal(8.5, 1.0, 8000), 2)), "same": [700.0] * 300, "signs": list(rng.normal(0, 50, 301)),
+              "one": [42.0], "holes": [None, 3.0, None, 1.0], None: [5.0]}
+    frame, specs = _frame(spark, groups), {"q1": 0.25, "m": 0.5, "middle": UPPER_MIDDLE}
+    once, twice = (sorted(exact_order_stats(frame, ["k"], "v", specs, rescan=r).collect()) for r in (False, True))
+    assert once == twice and len(once) == 5
+    once, twice = (sorted(median_and_deviation(frame, ["k"], "v", rescan=r).collect()) for r in (False, True))
+    assert once == twice
+    exact_order_stats(frame, ["k"], "v", specs, rescan=True)
+    bands = spark.read.parquet(max(Path(run_folder(spark)).glob("bands-*"), key=lambda p: p.stat().st_mtime).as_posix())
+    assert bands.where("k = 'wide'").count() <= 2 * len(specs)

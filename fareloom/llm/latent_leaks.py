@@ -12,7 +12,9 @@
 4. A candidate is checked on the words' hashes, in the same task: the longest common subsequence of
    the item and the words around the window has to cover ``COVER`` of the item, and its answer has to
    be there: the words of the answer column, or else the rarer half of the item's words, again to
-   ``COVER``.  A bound by shared words comes first; it never rejects what the subsequence would accept.
+   ``COVER``.  Bounds by shared words come first; they never reject what the subsequence would accept.
+   ``COVER`` lets few words of an item be absent, so a text with fewer than ``RARE`` of as many and
+   ``RARE`` more of its rarest words is passed over after one look at its terms.
 
 Items are searched in blocks of ``ITEM_BLOCK``, which bounds what a task is sent.  No text is shuffled.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,9 +42,10 @@ RANK, OVER = 32, 8
 DF_WORDS = 32
 FIT_TASKS, TASK_PASSAGES = 8, 200_000  # least tasks of a multiplication, and passages for one more
 SCALES = (16, 32, 64)
-MULTIPLIED_WORDS = 8_000  # words of the texts that are multiplied at once, about; they stay in a core's cache
+MULTIPLIED = 32  # passages that are multiplied at once, with the terms that occur in them; they stay in a core's cache
 COSINE = 0.3
 COVER = 0.8
+RARE = 4
 ITEM_BLOCK = 20_000
 _STEP = 8  # words of a segment; windows are sums of segments
 #: ASCII but digits and lower-case letters, Latin-1 signs, general and CJK punctuation
@@ -137,45 +141,40 @@ def _flat(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_passages(total: np.ndarray, texts: list[np.ndarray], idf: np.ndarray, block: np.ndarray) -> None:
-    """Add :func:`_rows_times` of the passages of texts, which have one width."""
+    """Add :func:`_rows_times` of the passages of texts, which have one width; ``idf`` and ``block`` are single floats."""
     width, parts = SCALES[-1], []
     for codes in texts:
         parts += [terms(codes), np.full(-len(codes) % width, -1, np.int32)]
-    flat = np.sort(np.concatenate(parts).reshape(-1, width), axis=1).ravel() if parts else np.empty(0, np.int32)
-    if not len(flat):
-        return
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    new[::width] = True
-    starts = np.flatnonzero(new)
-    count = np.diff(np.append(starts, len(flat)))
-    term = flat[starts]
-    row, term, count = starts[term >= 0] // width, term[term >= 0], count[term >= 0]
-    x = count * idf[term]
-    x = (x / np.sqrt(np.bincount(row, x * x))[row]).astype(np.float32)
-    # no passage is empty, as a text is only filled up to its last one
-    y = np.add.reduceat(x[:, None] * block[term], np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
-    order = np.argsort(term.astype(np.int16), kind="stable")  # BITS of 15 fit
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
-    total[term[order][heads]] += np.add.reduceat(x[order][:, None] * y[row[order]], heads)
+    passages = np.concatenate(parts).reshape(-1, width) if parts else np.empty((0, width), np.int32)
+    place = np.empty(len(idf) + 1, np.int32)  # the last one is for the filling of a text's last passage
+    for low in range(0, len(passages), MULTIPLIED):
+        some = passages[low:low + MULTIPLIED]
+        used = np.zeros(len(idf) + 1, bool)
+        used[some] = True
+        used[-1] = False
+        own = np.flatnonzero(used)
+        columns = len(own) + 1
+        place[own] = np.arange(len(own))
+        place[-1] = len(own)
+        cells = place[some] + np.arange(0, len(some) * columns, columns, dtype=np.int32)[:, None]
+        count = np.bincount(cells.ravel(), minlength=len(some) * columns).reshape(-1, columns)
+        x = count[:, :-1].astype(np.float32)
+        x *= idf[own]
+        # no passage is empty, as a text is only filled up to its last one
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        total[own] += x.T @ (x @ block[own])
 
 
 def _multiplied(fit: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray:
     """A'A block over the passages of ``fit``, added up by Spark per range of terms."""
-    shared, width = fit.sparkSession.sparkContext.broadcast((idf, block.astype(np.float32))), block.shape[1]
+    shared, width = fit.sparkSession.sparkContext.broadcast((idf.astype(np.float32), block.astype(np.float32))), block.shape[1]
     ranges = 32
 
     def work(batches):
         idf, block = shared.value
         total = np.zeros((len(idf), width))
         for batch in batches:
-            held, size = [], 0
-            for codes in _arrays(batch):
-                held.append(codes)
-                size += len(codes)
-                if size > MULTIPLIED_WORDS:
-                    _add_passages(total, held, idf, block)
-                    held, size = [], 0
-            _add_passages(total, held, idf, block)
+            _add_passages(total, _arrays(batch), idf, block)
         for k, part in enumerate(np.split(total.astype(np.float32), ranges)):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()])], ["part", "data"])
 
@@ -224,6 +223,7 @@ class Items:
 
     def __init__(self, codes: list[np.ndarray], answers: list[np.ndarray], table: np.ndarray, idf: np.ndarray):
         self.codes = [c.tolist() for c in codes]
+        self.words = [Counter(c) for c in self.codes]
         self.answers = []
         for code, answer in zip(self.codes, answers):
             given = answer.tolist()
@@ -235,26 +235,40 @@ class Items:
                                for c in self.codes], np.int64)
         v = np.array([table[terms(c)].sum(axis=0) for c in codes], np.float32).reshape(len(codes), table.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        self.sizes = np.array([len(c) for c in self.codes], np.int64)
-        self.flat = terms(np.concatenate(codes or [np.empty(0, np.int32)]))
-        self.owner = np.repeat(np.arange(len(codes)), self.sizes)
-
-    def possible(self, used: np.ndarray) -> np.ndarray:
-        """Items of which enough words occur anywhere in a text; ``used``: by term."""
-        shared = np.bincount(self.owner, used[self.flat], minlength=len(self.sizes))
-        return np.flatnonzero((self.sizes > 0) & (shared >= COVER * self.sizes))
-
-    def check(self, item: int, region: list) -> int:
-        """Matched words of the item, 0 unless both checks hold."""
-        code = self.codes[item]
-        bag = Counter(region)
-        need = COVER * len(code)
-        if sum(min(n, bag[c]) for c, n in Counter(code).items()) < need:
-            return 0
-        length = lcs(code, region)
-        answer = self.answers[item]
-        there = sum(min(n, bag[c]) for c, n in answer.items())
-        return length if length >= need and there >= COVER * sum(answer.values()) else 0
+        self.terms = [terms(c) for c in codes]
+        self.holders: dict = {}  # items by each of their rarest words, as often as they hold it
+        self.least = []  # of these words that a text needs
+        for item, own in enumerate(self.terms):
+            present = np.arange(len(own) + 1)
+            absent = len(own) - int(np.flatnonzero(present >= COVER * len(own))[0])
+            rare = own[np.argsort(-idf[own], kind="stable")][:absent + RARE].tolist()
+            self.least.append(len(rare) - absent)
+            for t in rare:
+                self.holders.setdefault(t, []).append(item)
+        self.rare = np.zeros(len(idf), bool)
+        self.rare[list(self.holders)] = True
+
+    def possible(self, term: np.ndarray) -> np.ndarray:
+        """Items of which enough words occur anywhere in a text of these terms."""
+        seen = Counter(chain.from_iterable(self.holders[t] for t in set(term[self.rare[term]].tolist())))
+        some = sorted(item for item, n in seen.items() if n >= self.least[item])
+        if not some:
+            return np.empty(0, np.int64)
+        used = np.zeros(len(self.rare), bool)
+        used[term] = True
+        return np.array([i for i in some if np.count_nonzero(used[self.terms[i]]) >= COVER * len(self.terms[i])], np.int64)
+
+    def within(self, item: int, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which of the regions ``first`` to ``last`` of a text share enough words with the item and with its answer."""
+        enough = np.ones(len(first), bool)
+        for bag in (self.words[item], self.answers[item]):
+            shared = np.zeros(len(first), np.int64)
+            for code, n in bag.items():
+                at = np.flatnonzero(codes == code)
+                if len(at):
+                    shared += np.minimum(n, np.searchsorted(at, last) - np.searchsorted(at, first))
+            enough &= shared >= COVER * bag.total()
+        return np.flatnonzero(enough)
 
 
 def _windows(sums: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,9 +287,7 @@ def leaks_of(codes: np.ndarray, items: Items, table: np.ndarray, cosine: float =
     if not len(codes):
         return []
     term = terms(codes)
-    used = np.zeros(len(table), bool)
-    used[term] = True
-    possible = items.possible(used)
+    possible = items.possible(term)
     if not len(possible):
         return []
     sums = np.add.reduceat(table[term], np.arange(0, len(codes), _STEP))
@@ -288,14 +300,14 @@ def leaks_of(codes: np.ndarray, items: Items, table: np.ndarray, cosine: float =
         for low in range(0, len(own), 2000):
             some = own[low:low + 2000]
             close = vectors @ items.vectors[some].T
-            row, column = np.nonzero(close >= cosine)
-            for r, c in zip(row.tolist(), column.tolist()):
-                item = int(some[c])
+            for item, near in zip(some.tolist(), close.T):
+                at = np.flatnonzero(near >= cosine)
                 size = len(items.codes[item])
-                first, last = max(0, int(starts[r]) - size), int(starts[r]) + width + size
-                matched = items.check(item, codes[first:last].tolist())
-                if matched and (item not in best or matched > best[item][0]):
-                    best[item] = (matched, first, min(last, len(codes)), float(close[r, c]))
+                first, last = np.maximum(0, starts[at] - size), starts[at] + width + size
+                for k in items.within(item, codes, first, last).tolist():
+                    matched = lcs(items.codes[item], codes[first[k]:last[k]].tolist())
+                    if matched >= COVER * size and (item not in best or matched > best[item][0]):
+                        best[item] = (matched, int(first[k]), min(int(last[k]), len(codes)), float(near[at[k]]))
     return [(item, *found) for item, found in best.items()]
 
 

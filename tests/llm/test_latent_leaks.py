@@ -118,3 +118,51 @@ def test_the_space_is_fitted_on_every_passage(spark):
     assert np.allclose(L._multiplied(coded, idf, block), L._rows_times(*L._flat(codes, L.SCALES[-1]), idf, block), atol=1e-3)
     held = np.linalg.norm(space.T @ want, axis=0)
     assert (np.linalg.norm(want, axis=0) > 0.01).all() and (held > 0.5 * np.linalg.norm(want, axis=0)).all()
+
+
+def _items(rng, n, words):
+    codes = [rng.integers(0, words, size).astype(np.int32) for size in rng.integers(1, 70, n)]
+    idf = L.inverse_frequencies(np.arange(1 << L.BITS)[::-1], 1 << L.BITS)
+    table = rng.standard_normal((1 << L.BITS, L.RANK)).astype(np.float32)
+    return codes, L.Items(codes, [np.empty(0, np.int32)] * n, table, idf)
+
+
+def test_a_look_at_the_rarest_words_passes_over_no_item_that_may_be_there():
+    rng = np.random.default_rng(8)
+    codes, items = _items(rng, 60, 90)
+    found = passed = 0
+    for _ in range(300):
+        text = rng.integers(0, 90, int(rng.integers(1, 150))).astype(np.int32)
+        there = set(text.tolist())
+        want = [k for k, c in enumerate(codes) if sum(w in there for w in c.tolist()) >= L.COVER * len(c)]
+        assert items.possible(L.terms(text)).tolist() == want
+        found, passed = found + len(want), passed + len(codes) - len(want)
+    assert found > 1000 and passed > 1000
+    # only a few words of an item are looked up, so a text of its other words costs one look
+    longest = max(range(len(codes)), key=lambda k: len(codes[k]))
+    looked = sum(k == longest for held in items.holders.values() for k in held)
+    assert len(codes[longest]) > 60 and looked <= 0.2 * len(codes[longest]) + L.RARE
+
+
+def test_regions_with_too_few_shared_words_are_told_apart_at_once():
+    rng = np.random.default_rng(9)
+    codes, items = _items(rng, 20, 40)
+    for k, c in enumerate(codes):
+        text = rng.integers(0, 40, 400).astype(np.int32)
+        first = rng.integers(0, 300, 50)
+        last = first + rng.integers(1, 200, 50)
+        bags = [(items.words[k], len(c)), (items.answers[k], sum(items.answers[k].values()))]
+        want = [i for i, (a, b) in enumerate(zip(first, last))
+                if all(sum(min(n, text[a:b].tolist().count(w)) for w, n in bag.items()) >= L.COVER * size for bag, size in bags)]
+        assert items.within(k, text, first, last).tolist() == want
+
+
+def test_passages_are_multiplied_in_bounded_blocks():
+    """Texts of one word up to several blocks of passages give the product of the plain form."""
+    rng = np.random.default_rng(10)
+    texts = [rng.integers(-2**31, 2**31, int(n)).astype(np.int32) % 3000 for n in (1, 0, 63, 64, 65, 64 * L.MULTIPLIED, 200 * L.SCALES[-1] + 7)]
+    idf = rng.random(1 << L.BITS) + 0.1
+    block, total = rng.standard_normal((1 << L.BITS, 5)), np.zeros((1 << L.BITS, 5))
+    L._add_passages(total, texts, idf.astype(np.float32), block.astype(np.float32))
+    assert np.allclose(total, L._rows_times(*L._flat(texts, L.SCALES[-1]), idf, block), atol=1e-3)
+    L._add_passages(total, [], idf, block)

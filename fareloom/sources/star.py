@@ -21,6 +21,7 @@ BASKET_WEIGHTS_V2 = {
 }
 BASKET = list(BASKET_WEIGHTS)
 ROW_ID = ["order_key", "line_number", "part_key", "supp_key", "price"]
+LINES_PER_TASK = 1_000_000  # that a task sorts for the join at most, about: even with all columns they fit its memory
 
 
 # Layouts of the tables, so that planning a query reads no file footers.
@@ -82,8 +83,9 @@ def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice",
         F.trunc("l_shipdate", "month").alias("travel_month"), horizon.alias("advance_purchase_days"), status.alias("status"), fare.alias("total_fare"),
         F.when(F.col("l_quantity") > 45, F.lit("business")).otherwise(F.lit("economy")).alias("fare_class"))
-    # dealt out by the key of the first join: a small or badly split file still feeds all tasks
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by the key of the first join: a small or badly split file still feeds all tasks, and a large
+    # table takes as many as it needs, so that no sort spills
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_PER_TASK))
     joined = (lines.repartition(tasks, "l_orderkey")
               .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
               .join(destination, F.col("l_suppkey") == F.col("s_suppkey")))

@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 
@@ -201,3 +202,16 @@ def test_line_items_move_once_with_the_columns_that_are_read(spark, tmp_path):
     stored = queries._STAGES[queries._key(spark, folder, "quotes:advance_purchase_days,carrier_code,route,scraped_date,status,total_fare")]
     assert stored.count() == 400 and len(index) == 4
     assert queries._key(spark, folder, "quotes") not in queries._STAGES
+
+
+def test_more_line_items_take_more_tasks(spark, tmp_path, monkeypatch):
+    """The rows that one task sorts are bounded, whatever number of shuffle partitions is set."""
+    from fareloom.sources import star
+
+    _tables(spark, str(tmp_path))
+    dealt = r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)"
+    for most, tasks in ((30, 14), (1000, int(spark.conf.get("spark.sql.shuffle.partitions")))):
+        monkeypatch.setattr(star, "LINES_PER_TASK", most)
+        quotes = star.fare_quotes(spark, str(tmp_path))
+        plan = quotes._jdf.queryExecution().executedPlan().toString()
+        assert {int(n) for n in re.findall(dealt, plan)} == {tasks} and quotes.count() == 400

@@ -45,6 +45,8 @@ TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 TOP = 50
 BLOCK_DOCS, BLOCK_CHARS = 4096, 8_000_000
 QUERY_TERMS = 100_000
+#: A block is a large row: Spark reads a row group of arrays as a whole, so each block has one of its own, at any file size.
+ROW_GROUPS = {"parquet.block.row.count.limit": 1}
 NO_ID = np.iinfo(np.int64).min  #: stands for a null document id inside tasks
 _BLOCK = ("block long, ids array<long>, sizes array<long>, docs long, total long, terms array<string>, "
           "starts array<int>, places array<int>, counts array<int>")
@@ -325,7 +327,7 @@ def ranked(index: DataFrame, texts: list[str | None], most: int = TOP) -> DataFr
     words = [set(terms_of(t)) for t in texts]
     queries = Queries(words, document_frequencies(index, sorted(set().union(*words))), average[0])
     shared = context.broadcast(queries)
-    lists = materialise(query_lists(index, shared, average), "lists")
+    lists = materialise(query_lists(index, shared, average), "lists", **ROW_GROUPS)
 
     # first round: each query in the block that promises most gives its threshold
     def totals(batches):
@@ -356,7 +358,7 @@ def search_items(docs: DataFrame, items: DataFrame, most: int = TOP, item: str =
                  query_terms: int = QUERY_TERMS, **sizes) -> DataFrame:
     """item, rank, doc_id, score: the ``most`` best documents for every row of ``items``."""
     spark = docs.sparkSession
-    index = materialise(build_index(docs, **sizes), "index")
+    index = materialise(build_index(docs, **sizes), "index", **ROW_GROUPS)
     kind = items.schema[item].dataType.simpleString()
     asked = items.select(F.col(item).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     length = asked.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -84,3 +84,21 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([("a", "w1")], "item_id string, text string")
     assert M.search_items(docs, items).count() == 0
     assert M.search_items(spark.createDataFrame([(1, "w1", 1, "x")], DOCS), items.limit(0)).count() == 0
+
+
+def test_every_block_has_a_row_group_of_its_own(spark, monkeypatch):
+    """Else a reader holds all blocks of a file in memory at once, which grows with the input."""
+    import pyarrow.parquet as pq
+    docs, items = made(5)
+    files, write = [], M.materialise
+
+    def kept(*args, **options):
+        written = write(*args, **options)
+        files.extend(written.inputFiles())
+        return written
+    monkeypatch.setattr(M, "materialise", kept)
+    M.search_items(spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(items, "item_id string, text string"),
+                   block_docs=100).count()
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert max(m.num_rows for m in found) > 1
+    assert all(m.num_row_groups == m.num_rows for m in found)

@@ -802,7 +802,7 @@ def direct_cards(spark, folder):
 
 @query
 def agent_cards(spark, folder):
-    return pages.extract_cards(star.agent_pages(_quotes(spark, folder)), pages.AGENT_CARDS)[0].select(
+    return pages.extract_cards(star.agent_pages(_quotes(spark, folder, *star.SEARCHED)), pages.AGENT_CARDS)[0].select(
         "page_id", "carrier_code", "carrier_name", "flight_num", "departure_time", "total_fare",
         "status", "source")
 

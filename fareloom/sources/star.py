@@ -57,6 +57,12 @@ def _regions(spark: SparkSession, folder: str, prefix: str, name: str) -> DataFr
                           F.col("r_name").alias(name))
 
 
+def tasks_of(lines: DataFrame) -> int:
+    """Tasks for a shuffle of ``lines``: the shuffle partitions, or more where a task had too many lines."""
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, -(-lines.count() // LINES_PER_TASK))
+
+
 def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """One quote per line item.
 
@@ -85,8 +91,7 @@ def fare_quotes(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_quantity") > 45, F.lit("business")).otherwise(F.lit("economy")).alias("fare_class"))
     # dealt out by the key of the first join: a small or badly split file still feeds all tasks, and a large
     # table takes as many as it needs, so that no sort spills
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_PER_TASK))
-    joined = (lines.repartition(tasks, "l_orderkey")
+    joined = (lines.repartition(tasks_of(lines), "l_orderkey")
               .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
               .join(destination, F.col("l_suppkey") == F.col("s_suppkey")))
     source = F.when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"),
@@ -174,6 +179,7 @@ def selector_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 _SEARCH = ["page_id", "origin", "destination", "travel_date", "advance_purchase_days",
            "scraped_at", "capture_run"]
+SEARCHED = [*ROW_ID, *_SEARCH[1:]]  # columns of the quotes that searches are made from
 
 
 def _searches(q: DataFrame) -> DataFrame:

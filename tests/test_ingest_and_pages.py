@@ -284,6 +284,60 @@ def test_pieces_together_are_the_page_in_both_ways_of_cutting():
     assert plain > 300
 
 
+def test_one_pass_over_the_tags_finds_what_the_page_reader_finds():
+    import random
+
+    from fareloom.functions import markup
+    bits = ["<div class='a x'>", "<div class=a>", "</div>", "<p class='y'>", "</p>", "text &amp; more", "<br class='y'>", '<img src="a>b" class="y">',
+            "<span id=k />", "<span class='y' />", "<b>", "</b >", " ₹ 1 ", "<DIV CLASS='a'>", "<a:b c>", "<i x='>'>", "<!-- <b> -->", "<", "</i>"]
+
+    def asked(tag, classes, raw):
+        return (tag, classes) if tag == "div" or "y" in classes else None
+    rng, kinds, nested = random.Random(5), {}, 0
+    for n in range(4000):
+        html = "".join(rng.choice(bits[:-3] if n % 2 else bits) for _ in range(rng.randint(0, 20)))
+        page, found = markup.Page(html), markup.Found(html, kinds, asked)
+        wanted = [e for e in page.elements if asked(e.tag, e.classes, e.raw)]
+        assert [h[0] for h in found.hits] == [(e.tag, e.classes) for e in wanted]
+        assert [found.text(h) for h in found.hits] == [page.text(e) for e in wanted]
+        assert [found.text(h, " ") for h in found.hits] == [page.text(e, " ") for e in wanted]
+        for e, h in zip(wanted, found.hits):
+            inside = [x for x in wanted if e.first <= x.first - 1 < e.last]
+            assert [(x.tag, x.classes) for x in inside] == [x[0] for x in found.hits[h[3]:h[4]]]
+            nested += len(inside)
+    assert nested > 1000
+
+
+def _page_tables(spark, folder, n=400):
+    """A small star schema whose line items differ in part, with one order per ten lines."""
+    tables = {
+        "region": (5, "CAST(id AS INT) AS r_regionkey, element_at(array('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'), "
+                      "CAST(id + 1 AS INT)) AS r_name"),
+        "nation": (5, "CAST(id AS INT) AS n_nationkey, 'n' AS n_name, CAST(id AS INT) AS n_regionkey"),
+        "customer": (10, "id AS c_custkey, 'c' AS c_name, CAST(id % 5 AS INT) AS c_nationkey, 0D AS c_acctbal, 'AUTO' AS c_mktsegment"),
+        "supplier": (10, "id AS s_suppkey, 's' AS s_name, CAST(id % 5 AS INT) AS s_nationkey, 0D AS s_acctbal"),
+        "orders": (n // 10, "id AS o_orderkey, id % 10 AS o_custkey, 'F' AS o_orderstatus, 1D AS o_totalprice, "
+                            "TIMESTAMP_NTZ '2001-02-03 00:00:00' AS o_orderdate, '5-LOW' AS o_orderpriority"),
+        "lineitem": (n, f"id % {n // 10} AS l_orderkey, id AS l_partkey, id % 10 AS l_suppkey, CAST(id % 7 + 1 AS INT) AS l_linenumber, "
+                        "10D AS l_quantity, 1000D + id AS l_extendedprice, 0D AS l_discount, 0D AS l_tax, 'N' AS l_returnflag, "
+                        "'O' AS l_linestatus, TIMESTAMP_NTZ '2001-03-04 00:00:00' AS l_shipdate")}
+    for name, (rows, columns) in tables.items():
+        spark.range(rows).selectExpr(f"struct({columns}) AS row").select("row.*").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_agent_cards_store_what_their_pages_are_made_from(spark, tmp_path):
+    from fareloom.catalog.queries import _STAGES, QUERIES
+    folder = _page_tables(spark, tmp_path)
+    cards = QUERIES["agent_cards"](spark, folder)
+    stored = [set(df.columns) for key, df in _STAGES.items() if key[1] == folder]
+    assert len(stored) == 1 and not stored[0] & {"carrier_name", "flight_num", "total_fare", "source", "source_file"}
+    rows = {r.flight_num: r for r in cards.collect()}
+    assert set(rows) == {f"QP {i}" for i in range(400)}
+    fares = {i: 1000.0 + i if i % 2 == 0 and i else 2000.0 if i % 3 == 0 else None for i in range(400)}
+    assert {i: rows[f"QP {i}"].total_fare for i in range(400)} == fares
+
+
 def test_lines_of_a_large_capture_file_are_read_in_parts(spark, tmp_path):
     rows = "origin,destination\r\n" + "DEL,BOM\r\n" * 3000
     marked = "﻿" + rows

@@ -821,10 +821,12 @@ def inline_offers(spark, folder):
 
 @query
 def placeholder_quotes(spark, folder):
-    searches = star.inline_pages(_quotes(spark, folder))
-    quotes = pages.extract_inline(searches)[0]
-    return pages.with_placeholders(searches, quotes).select(
-        "page_id", "flight_num", "departure_time", "total_fare", "status")
+    shown = ["page_id", "flight_num", "departure_time", "total_fare", "status"]
+    lines = _quotes(spark, folder, *star.SEARCHED)
+    searches = star.inline_pages(lines)
+    # read twice from here on, so the pages are read once for both
+    quotes = materialise(pages.extract_inline(searches)[0].select(*shown), "inline-quotes")
+    return pages.with_placeholders(searches.repartition(star.tasks_of(lines), "page_id"), quotes).select(*shown)
 
 
 @query

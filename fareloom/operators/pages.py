@@ -266,7 +266,7 @@ def _as_quotes(rows: DataFrame) -> DataFrame:
 def with_placeholders(requests: DataFrame, quotes: DataFrame,
                       status: str = "no_flights_or_timeout") -> DataFrame:
     """Quotes plus one placeholder row for every search that gave none."""
-    silent = requests.join(quotes.select("page_id").distinct(), "page_id", "left_anti")
+    silent = requests.join(quotes.select("page_id"), "page_id", "left_anti")
     fixed = {"carrier_code": "unknown", "carrier_name": "unknown", "flight_num": "unknown",
              "fare_class": "economy", "departure_time": "unknown", "status": status,
              "source": "airline_direct", "source_name": "unknown"}

@@ -326,6 +326,21 @@ def _page_tables(spark, folder, n=400):
     return str(folder)
 
 
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_placeholders_read_each_page_once(spark, tmp_path):
+    from fareloom.catalog.queries import QUERIES
+    shown = QUERIES["placeholder_quotes"](spark, _page_tables(spark, tmp_path))
+    assert "ArrowEvalPython" not in _plan_of(shown)  # the pages' quotes are stored, and were parsed for that once
+    rows = shown.collect()
+    found = {i for i in range(400) if i % 10 and i % 4}
+    assert len(rows) == 400
+    assert sorted(r.flight_num for r in rows if r.status == "ok") == sorted(f"QP{i}" for i in found)
+    assert sum((r.flight_num, r.status, r.total_fare) == ("unknown", "no_flights_or_timeout", None) for r in rows) == 400 - len(found)
+
+
 def test_agent_cards_store_what_their_pages_are_made_from(spark, tmp_path):
     from fareloom.catalog.queries import _STAGES, QUERIES
     folder = _page_tables(spark, tmp_path)
